@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veristrata.catalog.tables import table
-from veristrata.llm import languages, sentences
+from veristrata.llm import groups, languages, mixing, neighbours, pieces, sentences, tokens
 
 
 def _p4_items(spark: SparkSession, d: str) -> tuple[DataFrame, languages.Labeller]:
@@ -13,10 +13,35 @@ def _p4_items(spark: SparkSession, d: str) -> tuple[DataFrame, languages.Labelle
     return languages.items_of(documents, table(spark, d, "texts")), languages.labeller_on(documents)
 
 
+def _p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def _p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    counts, targets = mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(counts, targets), counts, targets)
+
+
 QUERIES = {
+    "p2_found": lambda spark, d: pieces.oversized(table(spark, d, "texts")),
+    "p2_pieces": lambda spark, d: pieces.renumbered_pieces(table(spark, d, "texts")),
+    "p3_found": lambda spark, d: groups.grouped_pairs(table(spark, d, "observations"), table(spark, d, "aliases")),
+    "p3_groups": lambda spark, d: groups.candidate_groups(table(spark, d, "observations"), table(spark, d, "aliases")),
     "p4_found": lambda spark, d: languages.unnamed_languages(*_p4_items(spark, d)),
     "p4_segments": lambda spark, d: languages.language_segments(*_p4_items(spark, d)),
+    "p5_found": lambda spark, d: neighbours.similar_pairs(table(spark, d, "text_embeddings")),
+    "p5_neighbours": lambda spark, d: neighbours.nearest_texts(table(spark, d, "text_embeddings")),
+    "p6_ids": lambda spark, d: tokens.encode_column(table(spark, d, "documents")),
+    "p7_mix": _p7_mix,
+    "p7_shares": _p7_shares,
     "p8_found": lambda spark, d: sentences.split_sentences(table(spark, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p2_found": r"""
+WITH t AS (SELECT DISTINCT text_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8232)||chr(8233)||chr(12288)) AS x FROM texts WHERE text IS NOT NULL)
+SELECT DISTINCT text_id, CASE WHEN list_max(list_transform(regexp_split_to_array(x, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}。！？]'), lambda s: length(s))) > 1400
+  THEN 'forced' ELSE 'natural' END AS cut
+FROM t WHERE length(x) > 1400
+""",
+}
