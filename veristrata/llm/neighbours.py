@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,7 +32,7 @@ SAMPLE = 20_000
 #: ... one for about so many vectors, and at most so many.
 LIST_SIZE, MAX_LISTS = 400, 4096
 ITERATIONS = 8
-PROBES = 24
+PROBES = 12
 BLOCK_ROWS = 4096
 COLUMN_BLOCK = 16
 #: Significance of the test: a pair is abandoned if its partial distance exceeds the threshold by the factor (1 + EPSILON / sqrt(columns read)).
@@ -42,37 +42,54 @@ SALTS = 32
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
-    """(grp, model, revision, text_id, unit): each text of a model and revision once, with its vector at length 1.
+    """(grp, model, revision, text_id, ukey, vec): each text of a model and revision once; ukey is equal for equal directions.
 
     Left out are null text_ids, null vectors or dimensions, vectors of another length than their
     dimension, with an entry that is null or not finite, or with zeros only. Of several vectors of
     one text the smallest counts. Null models and revisions form groups of their own.
     """
-    x = F.transform("vector", lambda v: v.cast("double"))
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, wanted = batch.column("vector"), batch.column("dimension").to_numpy(zero_copy_only=False)
+            sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            at, keys, kept = [], [], []
+            for d in np.unique(sizes).tolist():
+                rows = np.flatnonzero((sizes == d) & (wanted == d))
+                if not len(rows):
+                    continue
+                flat = vectors.take(pa.array(rows)).flatten()
+                x = flat.to_numpy(zero_copy_only=False).reshape(len(rows), int(d))  # null entries become NaN
+                wide = x.astype(np.float64)
+                norm = np.sqrt((wide * wide).sum(axis=1))
+                good = np.isfinite(wide).all(axis=1) & (norm > 0) & np.isfinite(norm)
+                unit = wide[good] / norm[good][:, None] + 0.0
+                at += rows[good].tolist()
+                keys += [blake2b(u.tobytes(), digest_size=16).digest() for u in unit]
+                kept += list(x[good])
+            take = pa.array(at, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("grp", "model", "revision", "text_id")] + [pa.array(keys, type=pa.binary()), pa.array(kept, type=pa.list_(pa.float32()))], names=["grp", "model", "revision", "text_id", "ukey", "vec"])
+
+    name = F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("m"), "model"), F.lit("-")), F.coalesce(F.concat(F.lit("r"), "revision"), F.lit("-")), F.col("dimension").cast("string"))
     rows = embeddings.where(F.col("text_id").isNotNull() & (F.size("vector") == F.col("dimension")) & (F.col("dimension") > 0))
-    rows = rows.select("model", "revision", "text_id", x.alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    rows = rows.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    unit = F.transform("x", lambda v: v / F.col("norm"))
-    grp = F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("m"), "model"), F.lit("-")), F.coalesce(F.concat(F.lit("r"), "revision"), F.lit("-")), F.size("x").cast("string"))
-    return rows.select(grp.alias("grp"), "model", "revision", "text_id", unit.alias("unit")).groupBy("grp", "model", "revision", "text_id").agg(F.min("unit").alias("unit"))
+    rows = rows.select(name.alias("grp"), "model", "revision", "text_id", F.col("dimension").cast("double").alias("dimension"), F.col("vector").cast("array<float>").alias("vector"))
+    found = rows.mapInArrow(run, "grp string, model string, revision string, text_id string, ukey binary, vec array<float>")
+    return found.groupBy("grp", "model", "revision", "text_id").agg(F.min(F.struct("ukey", "vec")).alias("v")).select("grp", "model", "revision", "text_id", "v.ukey", "v.vec")
 
 
 def vector_classes(vectors: DataFrame, keep: int = NEIGHBOURS + 1) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors as one: (grp, rep, unit, members) and (grp, rep, text_id).
+    """Vectors of one direction as one: (grp, rep, vec, members) and (grp, model, revision, rep, text_id).
 
     members: the ``keep`` smallest text_ids, as no other can be a neighbour. The smallest are found
     first by salted hash, then over the salts, so that a large class is no single task.
     """
-    unit_key = F.xxhash64("unit")
-    salted = vectors.withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)))
-    near = Window.partitionBy("grp", "unit", "salt").orderBy("text_id")
+    salted = vectors.select("grp", "ukey", "text_id", "vec", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).alias("salt"))
+    near = Window.partitionBy("grp", "ukey", "salt").orderBy("text_id")
     few = salted.withColumn("n", F.row_number().over(near)).where(F.col("n") <= keep)
-    top = few.groupBy("grp", "unit").agg(F.slice(F.sort_array(F.collect_list("text_id")), 1, keep).alias("members"))
-    classes = top.select("grp", F.element_at("members", 1).alias("rep"), "unit", "members").withColumn("h", unit_key)
-    owner = vectors.join(classes.select("grp", "rep", "unit"), ["grp", "unit"]).select("grp", "model", "revision", "rep", "text_id")
-    return classes.drop("h"), owner
+    top = few.groupBy("grp", "ukey").agg(F.slice(F.sort_array(F.collect_list("text_id")), 1, keep).alias("members"), F.min_by("vec", "text_id").alias("vec"))
+    classes = cut(top.select("grp", "ukey", F.element_at("members", 1).alias("rep"), "vec", "members"))
+    owner = vectors.select("grp", "ukey", "model", "revision", "text_id").join(classes.select("grp", "ukey", "rep"), ["grp", "ukey"]).select("grp", "model", "revision", "rep", "text_id")
+    return classes.drop("ukey"), owner
 
 
 class Index:
@@ -119,14 +136,19 @@ def fit_index(classes: DataFrame) -> Index:
     for grp, n in sorted(sizes.items()):
         share = min(1.0, 1.5 * SAMPLE / n)
         part = classes.where((F.col("grp") == grp) & (F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * share)))
-        table = part.select("unit").limit(2 * SAMPLE).toArrow()
-        x = _matrix(table.column("unit").combine_chunks())
+        x = _units(part.select("vec").limit(2 * SAMPLE).toArrow().column("vec").combine_chunks())
         turn = rotations.setdefault(x.shape[1], rotation(x.shape[1]))
         k = max(1, min(MAX_LISTS, math.ceil(n / LIST_SIZE), len(x)))
         centres[grp] = k_means((np.unique(x, axis=0) @ turn).astype(np.float32), k)
     return Index(centres, rotations)
 
 
+def _units(column) -> np.ndarray:
+    """Rows of a list column of equal lengths, at length 1 in double precision."""
+    x = _matrix(column).astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None] if len(x) else x
+
+
 def _matrix(column) -> np.ndarray:
     """Rows of a list column of equal lengths."""
     if isinstance(column, pa.ChunkedArray):
@@ -136,7 +158,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def assign(classes: DataFrame, index: Index) -> DataFrame:
-    """(grp, list, rep, unit, members, gap): the list of every vector and the distance to its centre."""
+    """(grp, list, rep, vec, members, gap): the list of every vector and the distance to its centre."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +168,12 @@ def assign(classes: DataFrame, index: Index) -> DataFrame:
             lists, gaps = np.zeros(len(groups), dtype=np.int32), np.zeros(len(groups))
             for grp in set(groups.tolist()):
                 rows = np.flatnonzero(groups == grp)
-                x = _matrix(batch.column("unit").take(pa.array(rows)))
+                x = _units(batch.column("vec").take(pa.array(rows)))
                 at, gap = nearest((x @ index.rotations[x.shape[1]]).astype(np.float32), index.centres[grp])
                 lists[rows], gaps[rows] = at, gap
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(lists), batch.column("rep"), batch.column("unit"), batch.column("members"), pa.array(gaps)], names=["grp", "list", "rep", "unit", "members", "gap"])
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(lists), batch.column("rep"), batch.column("vec"), batch.column("members"), pa.array(gaps)], names=["grp", "list", "rep", "vec", "members", "gap"])
 
-    return classes.select("grp", "rep", "unit", "members").mapInArrow(run, "grp string, list int, rep string, unit array<double>, members array<string>, gap double")
+    return classes.select("grp", "rep", "vec", "members").mapInArrow(run, "grp string, list int, rep string, vec array<float>, members array<string>, gap double")
 
 
 def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +218,7 @@ def _search(queries: pa.Table, base: pa.Table, index: Index, own: bool) -> pa.Ta
     if not len(queries) or not len(base):
         return pa.table(out, schema=kinds)
     grp = queries.column("grp")[0].as_py()
-    uq, ux = _matrix(queries.column("unit")), _matrix(base.column("unit"))
+    uq, ux = _units(queries.column("vec")), _units(base.column("vec"))
     turn = index.rotations[uq.shape[1]]
     q, x = (uq @ turn).astype(np.float32), (ux @ turn).astype(np.float32)
     k = NEIGHBOURS + 1  # of classes, as the vector itself may be one
@@ -235,8 +257,8 @@ def _meet(queries: DataFrame, base: DataFrame, index: Index, own: bool) -> DataF
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(left, right, shared.value, own)
 
-    columns = [*keys, "rep", "unit"] + ([] if own else ["limit"])
-    right = base.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1))).select(*keys, "rep", "unit", "members")
+    columns = [*keys, "rep", "vec"] + ([] if own else ["limit"])
+    right = base.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1))).select(*keys, "rep", "vec", "members")
     left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, PAIRS)
 
@@ -249,7 +271,7 @@ def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """
     vectors = cut(usable_vectors(embeddings))
     classes, owner = vector_classes(vectors)
-    classes, owner = cut(classes), cut(owner)
+    owner = cut(owner)
     if classes.isEmpty():
         return owner.select("model", "revision", "text_id", F.col("text_id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
     index = fit_index(classes)
@@ -260,7 +282,7 @@ def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     limits = near.groupBy("grp", "rep").agg(F.min("limit").alias("limit"))
     radii = {(r.grp, r.list): r.radius for r in listed.groupBy("grp", "list").agg(F.max("gap").alias("radius")).collect()}  # a row for each list: at most MAX_LISTS a group
     index.radius = {g: np.array([radii.get((g, i), -9.0) for i in range(len(c))], dtype=np.float32) for g, c in index.centres.items()}
-    asking = listed.join(limits, ["grp", "rep"], "left").select("grp", F.col("list").alias("own"), "rep", "unit", F.coalesce("limit", F.lit(4.0)).alias("limit"))
+    asking = listed.join(limits, ["grp", "rep"], "left").select("grp", F.col("list").alias("own"), "rep", "vec", F.coalesce("limit", F.lit(4.0)).alias("limit"))
     probes = _probes(asking, index)
     sizes = listed.groupBy("grp", "list").agg(F.first("blocks").alias("blocks"))
     asked = probes.groupBy("grp", "list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("qblocks"))
@@ -272,7 +294,7 @@ def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def _probes(asking: DataFrame, index: Index) -> DataFrame:
-    """(grp, list, rep, unit, limit): each query with every other list that may hold something nearer than its threshold, at most PROBES."""
+    """(grp, list, rep, vec, limit): each query with every other list that may hold something nearer than its threshold, at most PROBES."""
     shared = asking.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +306,7 @@ def _probes(asking: DataFrame, index: Index) -> DataFrame:
             own = batch.column("own").to_numpy(zero_copy_only=False)
             for grp in set(groups.tolist()):
                 rows = np.flatnonzero(groups == grp)
-                x = _matrix(batch.column("unit").take(pa.array(rows)))
+                x = _units(batch.column("vec").take(pa.array(rows)))
                 q, c = (x @ index.rotations[x.shape[1]]).astype(np.float32), index.centres[grp]
                 for a in range(0, len(rows), 2048):
                     part = rows[a : a + 2048]
@@ -300,9 +322,9 @@ def _probes(asking: DataFrame, index: Index) -> DataFrame:
                     lists_out.append(j)
             at = pa.array(np.concatenate(rows_out) if rows_out else np.zeros(0, dtype=np.int64))
             lists = pa.array((np.concatenate(lists_out) if lists_out else np.zeros(0)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("grp").take(at), lists, batch.column("rep").take(at), batch.column("unit").take(at), batch.column("limit").take(at)], names=["grp", "list", "rep", "unit", "limit"])
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(at), lists, batch.column("rep").take(at), batch.column("vec").take(at), batch.column("limit").take(at)], names=["grp", "list", "rep", "vec", "limit"])
 
-    return cut(asking.mapInArrow(run, "grp string, list int, rep string, unit array<double>, limit double"))
+    return asking.mapInArrow(run, "grp string, list int, rep string, vec array<float>, limit double")
 
 
 def _ranked(pairs: DataFrame, owner: DataFrame, k: int) -> DataFrame:
