@@ -23,13 +23,13 @@ def difference(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """
     values = sorted(set(old.columns) - set(keys))
     tag = F.xxhash64(*keys, *[F.col(k).isNull() for k in keys])
-    one = old.select(*keys, tag.alias("__k"), _hash(old, values).alias("__old"))
-    two = new.select(*keys, tag.alias("__k"), _hash(new, values).alias("__new"))
-    same = one["__k"] == two["__k"]
+    one = old.select(*[F.col(k).alias(f"__o_{k}") for k in keys], tag.alias("__ok"), _hash(old, values).alias("__old"))
+    two = new.select(*[F.col(k).alias(f"__n_{k}") for k in keys], tag.alias("__nk"), _hash(new, values).alias("__new"))
+    same = F.col("__ok") == F.col("__nk")
     for k in keys:
-        same = same & one[k].eqNullSafe(two[k])
+        same = same & F.col(f"__o_{k}").eqNullSafe(F.col(f"__n_{k}"))
     change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") == F.col("__new"), "unchanged").otherwise("changed")
-    return one.join(two, same, "full_outer").select(*[F.coalesce(one[k], two[k]).alias(k) for k in keys], change.alias("change"))
+    return one.join(two, same, "full_outer").select(*[F.coalesce(f"__o_{k}", f"__n_{k}").alias(k) for k in keys], change.alias("change"))
 
 
 def change_counts(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def latest_valid(cache: DataFrame, key: str, at: str, expires: str, now: F.Colum
 
 def slot_delays(requests: DataFrame, provider: str, at: str, interval: float, now: F.Column) -> DataFrame:
     """(provider, delay): seconds to wait before the next request, from 0 to ``interval``."""
-    left = F.unix_micros(F.max(at)) / 1e6 + interval - F.unix_micros(now) / 1e6
+    left = F.unix_micros(F.max(F.col(at).cast("timestamp"))) / 1e6 + interval - F.unix_micros(now.cast("timestamp")) / 1e6
     return requests.groupBy(provider).agg(F.greatest(F.lit(0.0), F.least(F.lit(float(interval)), left)).alias("delay"))
 
 
