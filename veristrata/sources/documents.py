@@ -15,7 +15,7 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#
 
 def decoded(content: Column) -> Column:
     """UTF-8 text with replacement characters, without a byte order mark."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^﻿", "")
 
 
 def format_of(head: Column, mime: Column) -> Column:
@@ -108,7 +108,7 @@ def is_text(content: Column) -> Column:
 def split_evidence(blobs: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
     """Evidence that is text (with its ``text``), and the rest with the reason why it is not indexed."""
     ok = is_text(F.col(content))
-    reason = F.when(F.ltrim(F.decode(F.col(content), "UTF-8")).startswith("%PDF-"), "pdf").otherwise("binary")
+    reason = F.when(F.ltrim(F.make_valid_utf8(F.col(content).cast("string"))).startswith("%PDF-"), "pdf").otherwise("binary")
     return blobs.where(ok).withColumn("text", decoded(F.col(content))), blobs.where(~ok).withColumn("reason", reason)
 
 
