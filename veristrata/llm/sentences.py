@@ -31,9 +31,11 @@ TRAIN_TEXTS = 3000
 #: ... of at most so many characters each.
 TRAIN_CHARS = 20_000
 TRAIN_SEED = 17
+#: A worker remembers the scores of at most so many kinds of places.
+KNOWN_PLACES = 300_000
 
 PARAGRAPH = re.compile(r"\r?\n[^\S\n]*\n\s*")
-MARKS = re.compile(r"[.!?…。！？｡．‥⁇⁈⁉‼]+")
+MARKS = re.compile(r"(?:[!?…。！？｡．‥⁇⁈⁉‼]|\.(?![a-z0-9]))[.!?…。！？｡．‥⁇⁈⁉‼]*")  # a point within a name, number or address is no mark
 THAI = re.compile(r"[฀-๿]")
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ]")
 BLANK = re.compile(r"\s+")
@@ -96,10 +98,14 @@ def _pairs(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], set[
 class Candidate:
     """A place where a unit may end: [.., end) and the next may start at nxt."""
 
-    __slots__ = ("end", "nxt", "mark", "left", "quote", "gap")
+    __slots__ = ("end", "nxt", "mark", "left", "quote")
 
     def __init__(self, end: int, nxt: int, mark: str, left: int, quote: str) -> None:
-        self.end, self.nxt, self.mark, self.left, self.quote = end, nxt, mark, left, quote
+        self.end = end
+        self.nxt = nxt
+        self.mark = mark
+        self.left = left
+        self.quote = quote
 
 
 def _mark_class(marks: str) -> str:
@@ -121,6 +127,8 @@ def _candidates(text: str, start: int, end: int) -> list[Candidate]:
         a, e = m.span()
         if a <= start or a < done:
             continue
+        if e < end and text[e].islower() and text[a] < "\x7f":
+            continue
         while e < end:
             c = text[e]
             if e in closers or c in CLOSERS:
@@ -217,11 +225,13 @@ def _shape(word: str) -> str:
     return "~x" if c.islower() else "~0" if c == "0" else "~h" if c.isalpha() else "~" + c
 
 
-def _features(text: str, start: int, end: int, c: Candidate) -> list[str]:
-    lk, left = _left(text, start, c.left)
-    rk, right = _right(text, c.nxt, end)
+def _space(text: str, c: Candidate) -> str:
+    return "0" if c.nxt == c.end else "n" if "\n" in text[c.end : c.nxt] else " "
+
+
+def _features(c: Candidate, space: str, lk: str, left: list[str], rk: str, right: list[str]) -> list[str]:
+    """Keys of what is seen at a candidate; they depend on the mark, the space, the quotation and the longest keys of either side."""
     mark = c.mark
-    space = "0" if c.nxt == c.end else "n" if "\n" in text[c.end : c.nxt] else " "
     out = [f"m{mark}{space}", f"q{c.quote}{mark}", f"P{mark}{_tail(left[1]) if lk == 'w' else 'u'}{_shape(right[1]) if rk == 'w' else 'u'}"]
     out += [f"L{lk}{x}" for x in left]
     out += [f"R{rk}{x}" for x in right]
@@ -241,10 +251,23 @@ class SentenceModel:
 
     def __init__(self, weights: dict[str, float], transitions: dict[tuple[int, int], float]) -> None:
         self.weights, self.transitions = weights, transitions
+        self._known: dict[tuple, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "transitions": self.transitions, "_known": {}}
 
     def _score(self, text: str, start: int, end: int, c: Candidate) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in _features(text, start, end, c))
+        lk, left = _left(text, start, c.left)
+        rk, right = _right(text, c.nxt, end)
+        space = _space(text, c)
+        key = (c.mark, space, c.quote, lk, left[0], rk, right[0])
+        score = self._known.get(key)
+        if score is None:
+            if len(self._known) > KNOWN_PLACES:
+                self._known.clear()
+            get = self.weights.get
+            score = self._known[key] = sum([get(f, 0.0) for f in _features(c, space, lk, left, rk, right)])
+        return score
 
     def cuts(self, text: str, start: int, end: int) -> list[Candidate]:
         """The candidates of a paragraph that end a unit: Viterbi over the tags inside (0) and boundary (1)."""
@@ -396,7 +419,7 @@ def fit(texts: Iterable[str], epochs: int = 6) -> SentenceModel:
             last, tag = a, 1
             for c in found:
                 y = int(id(c) in chosen)
-                data.append((_features(text, a, b, c), y))
+                data.append((_features(c, _space(text, c), *_left(text, a, c.left), *_right(text, c.nxt, b)), y))
                 gaps[tag, _gap(c.end - last), y] += 1
                 last, tag = c.nxt, y
     seen: Counter[str] = Counter()
