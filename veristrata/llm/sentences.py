@@ -45,7 +45,10 @@ CLOSERS = set("”»」』)）]】’")
 WORDISH = re.compile(r"[A-Za-z0-9À-ɏ._\-/:@#%&+=?~]+")
 DIGITS = re.compile(r"\d+")
 LOWER_WORD = re.compile(r"[a-zß-öø-ÿа-яё]+(?![\w.\-])")
-EDGE = " \t\r\n 　"
+#: Lengths of the keys in scripts without blanks.
+WIDTHS = (10, 6, 4, 3, 2, 1)
+#: Stripped from what stands before a place, as it is at the ends of paragraphs.
+TAIL = ".!?…。！？｡．\"”»」』)）“’;； \t\r\n\u00a0\u202f\u3000"
 
 
 class _Norms(dict):
@@ -186,10 +189,10 @@ def _candidates(text: str, start: int, end: int) -> list[Candidate]:
 
 def _left(text: str, start: int, at: int) -> tuple[str, list[str]]:
     """Script kind and keys, long ones first, of what ends at ``at``."""
-    piece = text[max(start, at - 28) : at].rstrip()
+    piece = text[max(start, at - 28) : at].rstrip(TAIL)
     if UNSPACED.search(piece, max(0, len(piece) - 8)):
         s = "^" * (len(piece) < 6) + WORDISH.sub("N", piece)
-        return "u", [s[-10:], s[-6:], s[-4:], s[-3:], s[-2:], s[-1:]]
+        return "u", [s[-k:] for k in WIDTHS if k < len(s) or k == 1]  # what is all of a paragraph so far says little about its end
     words = piece.split()
     if not words:
         return "w", ["^", "^", "^"]
@@ -202,7 +205,7 @@ def _right(text: str, at: int, end: int) -> tuple[str, list[str]]:
     piece = text[at : min(end, at + 28)]
     if UNSPACED.search(piece, 0, 12):
         s = WORDISH.sub("N", piece.replace("\n", " "))
-        return "u", [s[:10], s[:6], s[:4], s[:3], s[:2], s[:1]]
+        return "u", [s[:k] for k in WIDTHS]
     words = piece.split(None, 2)
     first = NORMS[words[0]] if words else "$"
     two = first + " " + (NORMS[words[1]] if len(words) > 1 else "$")
@@ -234,9 +237,10 @@ def _features(c: Candidate, space: str, lk: str, left: list[str], rk: str, right
     mark = c.mark
     out = [f"m{mark}{space}", f"q{c.quote}{mark}", f"P{mark}{_tail(left[1]) if lk == 'w' else 'u'}{_shape(right[1]) if rk == 'w' else 'u'}"]
     out += [f"L{lk}{x}" for x in left]
-    out += [f"R{rk}{x}" for x in right]
-    out.append(f"M{mark}{right[-1]}")
-    out.append(f"K{mark}{left[1] if lk == 'w' else left[4]}")
+    q = c.quote[:1]  # what follows a quotation is another matter than what follows a mark
+    out += [f"R{q}{rk}{x}" for x in right]
+    out.append(f"M{q}{mark}{right[-1]}")
+    out.append(f"K{mark}{left[1] if lk == 'w' else left[0][-2:]}")
     if c.quote:
         out.append(f"Q{c.quote}{right[-1] if rk == 'w' else right[3]}")
     return out
@@ -333,24 +337,27 @@ class _Odds:
         self.edge: Counter[str] = Counter()
         self.any: Counter[str] = Counter()
         self.edges = self.all = 0
-        self.step = 1  # of the places inside paragraphs, every so many is counted
 
-    def add(self, keys: list[str], edge: bool) -> None:
+    def add(self, keys: list[str], edge: bool, weight: int = 1) -> None:
+        """Count the keys of a place; weight: places that it stands for."""
         if edge:
             self.edges += 1
             self.edge.update(set(keys))
         else:
-            self.all += 1
-            self.any.update(set(keys))
+            self.all += weight
+            for key in set(keys):
+                self.any[key] += weight
 
     def score(self, keys: list[str]) -> float:
         for key in keys:
             e, a = self.edge[key], self.any[key]
             if e + a >= 4:
                 if not e:  # about a fifth of all sentences stand at an edge; a key that begins or ends sentences would have been seen there
-                    return -min(4.0, 0.2 * a * self.step)
-                base = self.edges / max(1, self.all * self.step)
-                return max(-4.0, min(3.0, math.log((e + 0.3) / (base * a * self.step + 0.3))))
+                    if a < 24:
+                        continue
+                    return -min(4.0, 0.12 * a)
+                base = self.edges / max(1, self.all)
+                return max(-4.0, min(3.0, math.log((e + 0.3) / (base * a + 0.3))))
         return -0.5
 
 
@@ -372,12 +379,10 @@ def fit(texts: Iterable[str], epochs: int = 6) -> SentenceModel:
     texts = [t for t in dict.fromkeys(texts) if t and t.strip()]
     ends: dict[str, _Odds] = defaultdict(_Odds)
     starts: dict[str, _Odds] = defaultdict(_Odds)
-    ends["u"].step = starts["u"].step = 3
-    strip = ".!?…。！？｡．\"”»」』)）“’;；"
     for text in texts:
         for a, b in _paragraphs(text):
             bare = b
-            while bare > a and (text[bare - 1] in strip or text[bare - 1].isspace()):
+            while bare > a and (text[bare - 1] in TAIL or text[bare - 1].isspace()):
                 bare -= 1
             if bare - a < 12:
                 continue
@@ -390,13 +395,13 @@ def fit(texts: Iterable[str], epochs: int = 6) -> SentenceModel:
                 kind, keys = _right(text, a + m.end(), b)
                 starts[kind].add(keys, False)
                 kind, keys = _left(text, a, a + m.start())
-                ends[kind].add([k.rstrip(strip) for k in keys] if kind == "w" else keys, False)
+                ends[kind].add(keys, False)
             if UNSPACED.search(text, a, b) and not THAI.search(text, a, b):
                 for i in range(a + 1, bare, 3):
                     kind, keys = _right(text, i, b)
-                    starts[kind].add(keys, False)
+                    starts[kind].add(keys, False, 3)
                     kind, keys = _left(text, a, i)
-                    ends[kind].add(keys, False)
+                    ends[kind].add(keys, False, 3)
     data: list[tuple[list[str], int]] = []
     gaps: Counter[tuple[int, int, int]] = Counter()
     first_trans = {(t, 0): -2.5 for t in (0, 1)} | {(t, 1): -1.0 for t in (0, 1)}
@@ -412,8 +417,10 @@ def fit(texts: Iterable[str], epochs: int = 6) -> SentenceModel:
                 s = PRIOR[c.mark] + ends[lk].score(left) + starts[rk].score(right)
                 if c.quote[:1] == "s":
                     s -= 3.0
-                if c.mark == "." and lk == "w" and (len(left[1]) == 1 and left[1].isupper() or left[1][-1:] == "0" == right[1][:1]):
+                if c.mark == "." and lk == "w" and (len(left[1]) == 1 and left[1].isupper() or left[1][-1:] == "0" and right[1] == "0."):
                     s -= 3.0  # an initial, or a number between numbers
+                if c.mark == "." and c.end - a < 6:
+                    s -= 3.0  # a short first word
                 scores.append(s)
             chosen = {id(c) for c in decode(found, scores, a, first_trans)}
             last, tag = a, 1
