@@ -37,7 +37,47 @@ QUERIES = {
     "p8_found": lambda spark, d: sentences.split_sentences(table(spark, d, "documents")),
 }
 
+_CLEAN = r"nullif(lower(regexp_replace({0}, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '')"
+_DOI = r"nullif(regexp_extract({0}, '^(?:doi:\s*|https://doi\.example/|http://dx\.doi\.example/)?(10\.[0-9]{4,9}/[^\s\p{Z}]+)$', 1), '')"
+
+
+def _clean(x: str) -> str:
+    return _CLEAN.replace("{0}", x)
+
+
+def _doi(x: str) -> str:
+    return _DOI.replace("{0}", _clean(x))
+
+
+def _alias(x: str) -> str:
+    return f"CASE WHEN starts_with({_clean(x)}, 'doi:') THEN 'doi:' || {_doi(x)} ELSE {_clean(x)} END"
+
+
+_GROUPS = f"""
+WITH RECURSIVE o AS (SELECT DISTINCT candidate_id, {_clean("provider")} AS provider, {_clean("json_extract_string(payload, '$.provider_id')")} AS pid, {_doi("json_extract_string(payload, '$.doi')")} AS doi
+  FROM observations WHERE candidate_id IS NOT NULL AND json_valid(payload)),
+n AS (SELECT candidate_id, unnest([provider || ':' || pid, 'doi:' || doi, 'openalex:' || nullif(regexp_extract(pid, '(?:^|/)(w[0-9]+)/*$', 1), '')]) AS name FROM o),
+l AS (SELECT 'c' || candidate_id AS a, 'n' || name AS b FROM n WHERE name IS NOT NULL
+  UNION SELECT 'n' || x, 'n' || y FROM (SELECT {_alias("alias")} AS x, {_alias("work_key")} AS y FROM aliases) WHERE x IS NOT NULL AND y IS NOT NULL),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT 'c' || candidate_id AS id, 'c' || candidate_id AS at_ FROM observations WHERE candidate_id IS NOT NULL UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at_),
+g AS (SELECT substr(id, 2) AS candidate_id, substr(min(at_), 2) AS group_id FROM r GROUP BY id)
+"""
+
+_NEAR = """
+WITH u AS (SELECT model, revision, text_id, min(vector)::double[] AS v FROM text_embeddings
+  WHERE text_id IS NOT NULL AND vector IS NOT NULL AND len(vector) = dimension AND NOT list_bool_or(list_transform(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(vector, lambda x: x <> 0)) GROUP BY ALL),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS s FROM u),
+p AS (SELECT a.model, a.revision, a.text_id AS t, b.text_id AS o, round(list_dot_product(a.v, b.v) / (a.s * b.s), 6) AS sim FROM n a JOIN n b
+  ON a.model IS NOT DISTINCT FROM b.model AND a.revision IS NOT DISTINCT FROM b.revision AND len(a.v) = len(b.v) AND a.text_id <> b.text_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY model, revision, t ORDER BY sim DESC, o) AS rank FROM p QUALIFY rank <= 5)
+"""
+
 ORACLE = {
+    "p3_found": _GROUPS + "SELECT group_id, candidate_id FROM g WHERE group_id <> candidate_id",
+    "p3_groups": _GROUPS + "SELECT candidate_id, group_id FROM g",
+    "p5_found": _NEAR + "SELECT DISTINCT model, revision, least(t, o) AS text_a, greatest(t, o) AS text_b FROM k",
+    "p5_neighbours": _NEAR + "SELECT model, revision, t AS text_id, o AS neighbour, sim AS similarity, rank::int AS rank FROM k",
     "p2_found": r"""
 WITH t AS (SELECT DISTINCT text_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8232)||chr(8233)||chr(12288)) AS x FROM texts WHERE text IS NOT NULL)
 SELECT DISTINCT text_id, CASE WHEN list_max(list_transform(regexp_split_to_array(x, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}。！？]'), lambda s: length(s))) > 1400
