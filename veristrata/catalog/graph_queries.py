@@ -72,15 +72,16 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 def _open_copies(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("url IS NOT NULL")
     one = docs.select(F.col("doc_id").alias("rank"), F.to_json(F.struct(F.array(F.struct(F.concat("url", F.lit(".pdf")).alias("url_for_pdf"), F.substring_index("url", "/", 3).alias("url_for_landing_page"), F.lit("v1").alias("version"))).alias("oa_locations"))).alias("body"))
-    code = F.when(F.col("doc_id") % 2 == 0, "OA").otherwise("S")
+    code = F.when(F.col("source") == "openalex", "OA").otherwise("S")
     two = docs.select(F.col("doc_id").alias("rank"), F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.substring_index("url", "/", 4).alias("url"), code.alias("availabilityCode"))).alias("fullTextUrl")).alias("fullTextUrlList"))).alias("result")).alias("resultList"))).alias("body"))
     return providers.open_copies(one, two)
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("run_key IS NOT NULL")
-    attempts = docs.select("run_key", F.when(F.col("doc_id") % 97 == 0, "blocked").otherwise("ok").alias("status"))
-    return providers.lookup_status(attempts, docs.where("doc_id % 50 = 1").select("run_key"), "run_key")
+    """Lookups of works: an attempt for each document, candidates where it was read in full."""
+    docs = table(spark, d, "documents").where("work_key IS NOT NULL").withColumn("read", F.get_json_object("metadata", "$.status"))
+    attempts = docs.select("work_key", F.when(F.col("read") == "metadata", "blocked").otherwise("ok").alias("status"))
+    return providers.lookup_status(attempts, docs.where("read = 'full'").select("work_key"), "work_key")
 
 
 _LATEST = "o AS (SELECT run_key, candidate_id, r.* FROM (SELECT run_key, candidate_id, arg_max({'provider': provider, 'payload': payload}, {'a': observed_at, 'p': payload}) AS r FROM observations WHERE candidate_id IS NOT NULL GROUP BY ALL))"
@@ -164,11 +165,11 @@ UNION ALL SELECT 'trace', id, CASE WHEN p IN (SELECT id FROM q) THEN 'questions'
     "provider_candidates": f"WITH {_CANDS} SELECT * FROM cand",
     "work_dedupe": f"WITH {_CANDS} SELECT work_key, count(DISTINCT candidate_id) AS observations, array_to_string(list_sort(list_distinct(list(provider))), ',') AS providers FROM cand GROUP BY work_key",
     "resolver_candidates": """
-WITH d AS (SELECT doc_id, url, string_split(url, '/') AS p FROM documents WHERE url IS NOT NULL)
+WITH d AS (SELECT doc_id, source, url, string_split(url, '/') AS p FROM documents WHERE url IS NOT NULL)
 SELECT DISTINCT url || '.pdf' AS url, 'unpaywall' AS resolver, 'v1' AS version, 'pdf' AS format FROM d
 UNION SELECT DISTINCT array_to_string(p[1:3], '/'), 'unpaywall', 'v1', 'landing' FROM d
-UNION SELECT DISTINCT array_to_string(p[1:4], '/'), 'europepmc', 'unspecified', 'landing' FROM d WHERE doc_id % 2 = 0
+UNION SELECT DISTINCT array_to_string(p[1:4], '/'), 'europepmc', 'unspecified', 'landing' FROM d WHERE source = 'openalex'
 """,
-    "lookup_status": "SELECT run_key, CASE WHEN bool_or(doc_id % 50 = 1) THEN 'candidates_found' WHEN bool_and(doc_id % 97 <> 0) THEN 'no_candidates_in_checked_indexes' ELSE 'lookup_incomplete' END AS status FROM documents WHERE run_key IS NOT NULL GROUP BY run_key",
+    "lookup_status": "SELECT work_key, CASE WHEN bool_or(coalesce(r = 'full', false)) THEN 'candidates_found' WHEN bool_and(coalesce(r <> 'metadata', true)) THEN 'no_candidates_in_checked_indexes' ELSE 'lookup_incomplete' END AS status FROM (SELECT work_key, json_extract_string(metadata, '$.status') AS r FROM documents WHERE work_key IS NOT NULL) GROUP BY work_key",
     "candidate_page": f"WITH {_CANDS} SELECT DISTINCT candidate_id FROM cand WHERE candidate_id > 'P-8' ORDER BY 1 LIMIT 50",
 }

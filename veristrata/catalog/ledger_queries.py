@@ -14,7 +14,9 @@ from veristrata.operators import incremental, validation
 from veristrata.sources import documents as sources
 from veristrata.streaming import refresh
 
-NOW = "TIMESTAMP '2025-06-01 00:00:00'"
+#: Points in time at which tables are looked at.
+CUTOFF = "TIMESTAMP_NTZ '2024-12-01 00:00:00'"
+EVENTS_CUTOFF, EVENTS_NOW = "TIMESTAMP_NTZ '2024-01-20 00:00:00'", "TIMESTAMP_NTZ '2024-01-30 12:00:00'"
 LENSES = ("breadth", "primary", "counter", "applicability")
 
 
@@ -30,10 +32,9 @@ def _unknown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unread(spark: SparkSession, d: str) -> DataFrame:
-    """Record edges of texts: objects of documents that no document of the same run has."""
-    docs = table(spark, d, "documents").where("doc_id % 9 <> 0").select("run_key", F.col("global_id").alias("id"))
-    refs = table(spark, d, "texts").where("kind = 'document'").select("text_id", "run_key", "object_id")
-    return validation.unknown_references(refs, "texts", "text_id", "object_id", docs, listed=False, within=["run_key"])
+    """Works of documents that no observation of the same run has."""
+    seen = table(spark, d, "observations").select("run_key", F.col("work_key").alias("id"))
+    return validation.unknown_references(table(spark, d, "documents"), "documents", "global_id", "work_key", seen, listed=False, within=["run_key"])
 
 
 def _duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -41,10 +42,11 @@ def _duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _one_sided(spark: SparkSession, d: str) -> DataFrame:
-    """Customers list their orders, orders list their customer shifted for some: links that do not come back."""
-    left = _orders_by_customer(spark, d).withColumn("orders", F.transform("orders", lambda x: x.cast("string"))).withColumn("o_custkey", F.col("o_custkey").cast("string"))
-    right = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.array(F.when(F.col("o_orderkey") % 50 == 0, F.lit("0")).otherwise(F.col("o_custkey").cast("string"))).alias("refs"))
-    return validation.one_sided_links(left, right, "customer", "o_custkey", "orders", "k", "refs")
+    """Aliases that name a work which does not name them back."""
+    pairs = table(spark, d, "aliases").where("alias IS NOT NULL AND work_key IS NOT NULL")
+    left = pairs.select(F.col("alias").alias("k"), F.array("work_key").alias("refs"))
+    right = pairs.select(F.col("alias").alias("w"), F.array("work_key").alias("back"))
+    return validation.one_sided_links(left, right, "aliases", "k", "refs", "w", "back")
 
 
 def _uncovered(spark: SparkSession, d: str) -> DataFrame:
@@ -58,13 +60,13 @@ def _no_support(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
-    pieces = texts_of(spark, d).where("kind = 'document' AND text IS NOT NULL").select("text_id", F.col("object_id").alias("global_id"), F.col("text").alias("piece"))
-    return validation.missing_passages(pieces, table(spark, d, "documents").select("global_id", F.when(F.col("doc_id") % 10 == 0, F.upper("text")).otherwise(F.col("text")).alias("text")), "texts", "text_id", "piece", "global_id", "text")
+    """Titles that are no part of their document's text."""
+    docs = table(spark, d, "documents")
+    return validation.missing_passages(docs.where("title IS NOT NULL").select("doc_id", "title"), docs.select("doc_id", "text"), "documents", "doc_id", "title", "doc_id", "text")
 
 
 def _changed(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return validation.changed_content(docs.withColumn("text", F.when(F.col("doc_id") % 40 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), "documents", "doc_id", F.col("text"), "sha256")
+    return validation.changed_content(table(spark, d, "documents"), "documents", "doc_id", F.col("text"), "sha256")
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
@@ -93,29 +95,29 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _two_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The documents before and after some were removed, added and changed."""
-    docs = table(spark, d, "documents").select("run_key", "doc_id", "text", "title", "work_key")
-    old = docs.where("doc_id % 10 <> 3")
-    new = docs.where("doc_id % 10 <> 4").withColumn("title", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("title", F.lit("")), F.lit(" (new)"))).otherwise(F.col("title")))
-    return old, new
+    """The candidates of every run as they were known at CUTOFF, and as the latest rows have them."""
+    rows = table(spark, d, "observations").where("candidate_id IS NOT NULL")
+    state = lambda r: validation.last_by(r, ["run_key", "candidate_id"], ["observed_at", "payload"], ["provider", "work_key", "payload"])
+    return state(rows.where(f"observed_at < {CUTOFF}")), state(rows)
 
 
 def _diff(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.difference(*_two_versions(spark, d), ["run_key", "doc_id"])
+    return incremental.difference(*_two_versions(spark, d), ["run_key", "candidate_id"])
 
 
 def _event_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The last event of each kind of each user before EVENTS_CUTOFF, and the events from then on."""
     rows = table(spark, d, "events").select("user_id", "event_type", "ts", "value", "event_id")
-    last = incremental.replaced(rows.limit(0), rows, ["user_id", "event_type"], ["ts", "event_id"])
-    new = rows.where("event_id % 5 = 0")
-    return last, new
+    old = rows.where(f"ts < {EVENTS_CUTOFF}")
+    return incremental.replaced(old.limit(0), old, ["user_id", "event_type"], ["ts", "event_id"]), rows.where(f"ts >= {EVENTS_CUTOFF}")
 
 
 def _upsert(spark: SparkSession, d: str) -> DataFrame:
-    cust = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    k = F.col("c_custkey")
-    new = cust.where(k % 3 == 0).select((k + 100).alias("c_custkey"), F.when(k % 2 == 0, F.lit("renamed")).alias("c_name"), F.when(k % 5 == 0, F.lit("NEW")).alias("c_mktsegment"), F.when(k % 7 == 0, F.lit(0.0)).alias("c_acctbal"))
-    return incremental.coalesced(cust, new, ["c_custkey"])
+    """Registrations of runs: the first row of each, then the latest over it; a null fingerprint leaves the old one."""
+    runs = table(spark, d, "runs").where("run_key IS NOT NULL")
+    last = validation.last_by(runs, ["run_key"], ["synced_at", "fingerprint"], ["root", "fingerprint"])
+    first = runs.groupBy("run_key").agg(F.min_by(F.struct("root", "fingerprint"), F.struct("synced_at", "fingerprint")).alias("r")).select("run_key", "r.*")
+    return incremental.coalesced(first, last, ["run_key"])
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +125,7 @@ def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("run_key", "global_id", "sha256")
     a = incremental.fingerprints(docs, ["run_key"], ["global_id", "sha256"])
     b = incremental.fingerprints(docs.unionByName(docs).repartition(7), ["run_key"], ["sha256", "global_id"])
-    c = incremental.fingerprints(docs.where("length(coalesce(global_id, '')) % 2 = 0 AND right(global_id, 1) <> '0'"), ["run_key"], ["global_id", "sha256"])
+    c = incremental.fingerprints(docs.where("sha256 < 'f'"), ["run_key"], ["global_id", "sha256"])
     x = a.join(b.select("run_key", F.col("fingerprint").alias("fb"), F.col("rows").alias("rb")), "run_key").join(c.select("run_key", F.col("fingerprint").alias("fc")), "run_key", "left")
     return x.select("run_key", "rows", "rb", (F.col("fingerprint") == F.col("fb")).alias("same"), (F.coalesce(F.col("fingerprint") == F.col("fc"), F.lit(False))).alias("same_without_some"))
 
@@ -136,17 +138,16 @@ def _forget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_states(spark: SparkSession, d: str) -> DataFrame:
+    """Runs as registered at CUTOFF against their latest fingerprints."""
     runs = table(spark, d, "runs")
     now = runs.where("run_key IS NOT NULL").groupBy("run_key").agg(F.max("fingerprint").alias("fingerprint"))
-    n = F.pmod(F.conv(F.substring("run_key", 5, 4), 16, 10).cast("int"), F.lit(4))
-    now = now.where(n != 3).withColumn("fingerprint", F.when(n == 1, F.lit("other")).otherwise(F.coalesce("fingerprint", F.lit("first"))))
-    return incremental.run_states(runs, now)
+    return incremental.run_states(runs.where(f"synced_at < {CUTOFF}"), now)
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.col("user_id"), "ts", "event_id", (F.col("ts") + F.expr("make_dt_interval(0, 24)")).alias("expires"))
-    rows = rows.withColumn("expires", F.when(F.col("event_id") % 4 == 0, F.expr(NOW) + F.expr("make_dt_interval(1)")).otherwise(F.col("expires")))
-    return incremental.latest_valid(rows, "user_id", "ts", "expires", F.expr(NOW)).select("user_id", "event_id")
+    """Events as cached answers that are valid for as many hours as their value."""
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("ts") + F.expr("make_dt_interval(0, cast(floor(value) AS int))")).alias("expires"))
+    return incremental.latest_valid(rows, "user_id", "ts", "expires", F.expr(EVENTS_NOW)).select("user_id", "event_id")
 
 
 def _delays(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +197,7 @@ QUERIES = {
     "duplicate_ids": _duplicates,
     "required_text": lambda s, d: validation.required_text(table(s, d, "documents"), "documents", "doc_id", ["text", "title", "source"]),
     "enum_violations": lambda s, d: validation.allowed_values(table(s, d, "documents"), "documents", "doc_id", "lang", ("en", "de", "fr", "es", "pt", "ru", "ko", "ja", "zh", "th")),
-    "timestamp_invalid": lambda s, d: validation.timestamps(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("yesterday")).when(F.col("event_id") % 9 == 1, F.lit("2024-05-01T10:00:00")).when(F.col("event_id") % 9 == 2, None).otherwise(F.lit("2024-05-01T10:00:00Z")).alias("at")), "events", "event_id", "at"),
+    "timestamp_invalid": lambda s, d: validation.timestamps(table(s, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.lit("yesterday")).when(F.col("event_type") == "view", F.lit("2024-05-01T10:00:00")).when(F.col("event_type") == "signup", None).otherwise(F.lit("2024-05-01T10:00:00Z")).alias("at")), "events", "event_id", "at"),
     "empty_refs": lambda s, d: validation.empty_references(table(s, d, "customer").join(_orders_by_customer(s, d), F.col("c_custkey") == F.col("o_custkey"), "left"), "customer", "c_custkey", "orders"),
     "unknown_refs": _unknown,
     "unread_evidence": _unread,
@@ -212,13 +213,13 @@ QUERIES = {
     "finding_last_state": _states,
     "reconcile_diff": _diff,
     "text_delta": lambda s, d: incremental.change_counts(_diff(s, d), ["run_key"]),
-    "reconcile_writes": lambda s, d: incremental.reconciled(*_two_versions(s, d), ["run_key", "doc_id"]).select("run_key", "doc_id", "title"),
+    "reconcile_writes": lambda s, d: incremental.reconciled(*_two_versions(s, d), ["run_key", "candidate_id"]).select("run_key", "candidate_id", "payload"),
     "insert_or_replace": lambda s, d: incremental.replaced(*_event_versions(s, d), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"),
     "insert_or_ignore": lambda s, d: incremental.kept_first(_event_versions(s, d)[1], _event_versions(s, d)[0], ["user_id", "event_type", "event_id"], ["ts"]).groupBy("user_id").agg(F.count("*").alias("n")),
     "upsert_coalesce": _upsert,
     "run_fingerprint": _fingerprints,
     "forget_run": _forget,
-    "run_identity_conflicts": lambda s, d: incremental.registered_twice(table(s, d, "runs").unionByName(table(s, d, "runs").where("run_key < 'run:3'").withColumn("root", F.concat("root", F.lit("/copy"))))),
+    "run_identity_conflicts": lambda s, d: incremental.registered_twice(table(s, d, "runs").unionByName(table(s, d, "runs").withColumn("root", F.regexp_replace("root", "/[^/]*$", "")))),
     "run_states": _run_states,
     "status_counts": lambda s, d: validation.record_counts({n: table(s, d, n) for n in ("runs", "record_edges", "observations", "documents", "texts", "text_embeddings", "aliases")}),
     "access_counts": lambda s, d: table(s, d, "documents").groupBy(F.get_json_object("metadata", "$.status").alias("access")).agg(F.count("*").alias("n")),
@@ -237,12 +238,11 @@ QUERIES = {
 
 _SP = r"[\s\p{Z}\x{85}]+"
 _BLANK = "coalesce(length(regexp_replace({0}, '" + _SP + "', '', 'g')), 0) = 0"
-_VERSIONS = """
-old AS (SELECT run_key, doc_id, text, title, work_key FROM documents WHERE doc_id % 10 <> 3),
-new AS (SELECT run_key, doc_id, text, CASE WHEN doc_id % 7 = 0 THEN coalesce(title, '') || ' (new)' ELSE title END AS title, work_key FROM documents WHERE doc_id % 10 <> 4),
-df AS (SELECT coalesce(o.run_key, n.run_key) AS run_key, coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed'
-  WHEN o.text IS NOT DISTINCT FROM n.text AND o.title IS NOT DISTINCT FROM n.title AND o.work_key IS NOT DISTINCT FROM n.work_key THEN 'unchanged' ELSE 'changed' END AS change
-  FROM old o FULL JOIN new n ON o.doc_id = n.doc_id AND o.run_key IS NOT DISTINCT FROM n.run_key)"""
+_STATE = "SELECT run_key, candidate_id, arg_max({'provider': provider, 'work_key': work_key, 'payload': payload}, {'a': observed_at, 'p': payload}) AS r FROM observations WHERE candidate_id IS NOT NULL"
+_VERSIONS = f"""
+old AS ({_STATE} AND observed_at < TIMESTAMP '2024-12-01' GROUP BY ALL), new AS ({_STATE} GROUP BY ALL),
+df AS (SELECT coalesce(o.run_key, n.run_key) AS run_key, coalesce(o.candidate_id, n.candidate_id) AS candidate_id, CASE WHEN o.candidate_id IS NULL THEN 'added' WHEN n.candidate_id IS NULL THEN 'removed'
+  WHEN o.r IS NOT DISTINCT FROM n.r THEN 'unchanged' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.candidate_id = n.candidate_id AND o.run_key IS NOT DISTINCT FROM n.run_key)"""
 _UNKNOWN = "SELECT DISTINCT 'UNKNOWN_REF' AS code, 'documents' AS \"table\", global_id AS record, work_key AS detail FROM documents WHERE work_key IS NOT NULL AND work_key NOT IN (SELECT alias FROM aliases WHERE alias IS NOT NULL UNION ALL SELECT work_key FROM aliases WHERE work_key IS NOT NULL)"
 _COVER = """
 SELECT 'COVERAGE_MISSING' AS code, 'questions' AS "table", k AS record, lens AS detail FROM
@@ -256,15 +256,15 @@ ORACLE = {
     "duplicate_ids": "SELECT 'DUPLICATE_ID' AS code, array_to_string(list_sort(list_distinct(list(t))), ',') AS \"table\", id AS record, count(*)::varchar AS detail FROM (SELECT 'documents' AS t, global_id AS id FROM documents UNION ALL SELECT 'texts', text_id FROM texts) WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
     "required_text": " UNION ALL ".join(_REQ.replace("{0}", c) for c in ("text", "title", "source")),
     "enum_violations": "SELECT 'INVALID_VALUE' AS code, 'documents' AS \"table\", doc_id::varchar AS record, coalesce(lang, 'null') AS detail FROM documents WHERE coalesce(lang NOT IN ('en', 'de', 'fr', 'es', 'pt', 'ru', 'ko', 'ja', 'zh', 'th'), true)",
-    "timestamp_invalid": "SELECT 'INVALID_TIMESTAMP' AS code, 'events' AS \"table\", event_id::varchar AS record, CASE event_id % 9 WHEN 0 THEN 'yesterday' WHEN 1 THEN '2024-05-01T10:00:00' ELSE 'null' END AS detail FROM events WHERE event_id % 9 < 3",
+    "timestamp_invalid": "SELECT 'INVALID_TIMESTAMP' AS code, 'events' AS \"table\", event_id::varchar AS record, CASE event_type WHEN 'error' THEN 'yesterday' WHEN 'view' THEN '2024-05-01T10:00:00' ELSE 'null' END AS detail FROM events WHERE event_type IN ('error', 'view', 'signup')",
     "empty_refs": "SELECT 'EMPTY_REFS' AS code, 'customer' AS \"table\", c_custkey::varchar AS record, 'orders' AS detail FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))",
     "unknown_refs": _UNKNOWN,
-    "unread_evidence": "SELECT DISTINCT 'UNKNOWN_REF' AS code, 'texts' AS \"table\", text_id AS record, object_id AS detail FROM texts t WHERE kind = 'document' AND object_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 9 <> 0 AND x.run_key = t.run_key AND x.global_id = t.object_id)",
-    "question_claim_mismatch": "SELECT 'ONE_SIDED_LINK' AS code, 'customer' AS \"table\", o_custkey::varchar AS record, o_orderkey::varchar AS detail FROM orders WHERE o_orderkey % 50 = 0 AND o_custkey <> 0 AND o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    "unread_evidence": "SELECT DISTINCT 'UNKNOWN_REF' AS code, 'documents' AS \"table\", global_id AS record, work_key AS detail FROM documents t WHERE work_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM observations x WHERE x.run_key = t.run_key AND x.work_key = t.work_key)",
+    "question_claim_mismatch": "SELECT DISTINCT 'ONE_SIDED_LINK' AS code, 'aliases' AS \"table\", alias AS record, work_key AS detail FROM aliases t WHERE alias IS NOT NULL AND work_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM aliases b WHERE b.alias = t.work_key AND b.work_key = t.alias)",
     "coverage_missing": _COVER,
     "no_support": "WITH e AS (SELECT concat_ws('/', run_key, trim(source_id)) AS claim, relation FROM record_edges WHERE source_kind = 'claims' AND source_id IS NOT NULL) SELECT DISTINCT 'NO_SUPPORT' AS code, 'claims' AS \"table\", claim AS record, 'claim' AS detail FROM e WHERE claim NOT IN (SELECT claim FROM e WHERE relation = 'supports')",
-    "report_text_missing": f"WITH {_TEXTS} SELECT 'TEXT_MISSING' AS code, 'texts' AS \"table\", text_id AS record, 'global_id' AS detail FROM t LEFT JOIN (SELECT global_id, CASE WHEN doc_id % 10 = 0 THEN upper(text) ELSE text END AS text FROM documents) x ON x.global_id = t.object_id WHERE t.kind = 'document' AND t.text IS NOT NULL AND NOT coalesce(contains(x.text, t.text), false)",
-    "hash_integrity": "WITH c AS (SELECT doc_id, sha256 AS old, sha256(CASE WHEN doc_id % 40 = 0 THEN text || '!' ELSE text END) AS now FROM documents) SELECT 'CONTENT_CHANGED' AS code, 'documents' AS \"table\", doc_id::varchar AS record, coalesce(now, 'null') AS detail FROM c WHERE now IS DISTINCT FROM old",
+    "report_text_missing": "SELECT 'TEXT_MISSING' AS code, 'documents' AS \"table\", doc_id::varchar AS record, 'doc_id' AS detail FROM documents WHERE title IS NOT NULL AND NOT coalesce(contains(text, title), false)",
+    "hash_integrity": "SELECT 'CONTENT_CHANGED' AS code, 'documents' AS \"table\", doc_id::varchar AS record, coalesce(sha256(text), 'null') AS detail FROM documents WHERE sha256(text) IS DISTINCT FROM sha256",
     "register_subset": f"""WITH r AS (SELECT concat_ws('/', run_key, source_id, target_id) AS k, list_filter({_LOC}, lambda x, i: list_position({_LOC}, x) = i) AS l FROM record_edges),
 v AS (SELECT k, l, list_filter(l, lambda x: NOT list_contains(list_transform(range(1, 21), lambda i: 'page:' || i), x)) AS extra FROM r)
 SELECT 'NOT_A_SUBSET' AS code, 'record_edges' AS "table", k AS record, coalesce(array_to_string(extra, ','), '') AS detail FROM v WHERE coalesce(len(l), 0) = 0 OR len(extra) > 0""",
@@ -278,24 +278,23 @@ UNION ALL SELECT code, "table" FROM ({_UNKNOWN}) UNION ALL SELECT code, "table"
     "finding_last_state": "SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_state FROM events",
     "reconcile_diff": f"WITH {_VERSIONS} SELECT * FROM df",
     "text_delta": f"WITH {_VERSIONS} SELECT run_key, " + ", ".join(f"sum((change = '{k}')::int)::bigint AS {k}" for k in ("added", "removed", "changed", "unchanged")) + " FROM df GROUP BY run_key",
-    "reconcile_writes": f"WITH {_VERSIONS} SELECT n.run_key, n.doc_id, n.title FROM new n JOIN df ON df.doc_id = n.doc_id AND df.run_key IS NOT DISTINCT FROM n.run_key WHERE change IN ('added', 'changed')",
-    "insert_or_replace": """WITH last AS (SELECT *, 0 AS g FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1), a AS (SELECT * FROM last UNION ALL SELECT *, 1 FROM events WHERE event_id % 5 = 0)
+    "reconcile_writes": f"WITH {_VERSIONS} SELECT n.run_key, n.candidate_id, n.r.payload AS payload FROM new n JOIN df ON df.candidate_id = n.candidate_id AND df.run_key IS NOT DISTINCT FROM n.run_key WHERE change IN ('added', 'changed')",
+    "insert_or_replace": """WITH last AS (SELECT *, 0 AS g FROM events WHERE ts < TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1), a AS (SELECT * FROM last UNION ALL SELECT *, 1 FROM events WHERE ts >= TIMESTAMP '2024-01-20')
 SELECT user_id, event_type, event_id FROM a QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY g DESC, ts DESC, event_id DESC) = 1""",
-    "insert_or_ignore": """WITH last AS (SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
-SELECT user_id, count(*) AS n FROM (SELECT user_id, event_type, event_id FROM last UNION SELECT user_id, event_type, event_id FROM events WHERE event_id % 5 = 0) GROUP BY user_id""",
-    "upsert_coalesce": """WITH n AS (SELECT c_custkey + 100 AS k, CASE WHEN c_custkey % 2 = 0 THEN 'renamed' END AS a, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' END AS b, CASE WHEN c_custkey % 7 = 0 THEN 0.0::double END AS c FROM customer WHERE c_custkey % 3 = 0)
-SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(a, c_name) AS c_name, coalesce(b, c_mktsegment) AS c_mktsegment, coalesce(c, c_acctbal) AS c_acctbal FROM customer FULL JOIN n ON c_custkey = k""",
-    "run_fingerprint": "SELECT run_key, count(*) AS rows, 2 * count(*) AS rb, true AS same, bool_and(coalesce(length(coalesce(global_id, '')) % 2 = 0 AND right(global_id, 1) <> '0', false)) AS same_without_some FROM documents WHERE run_key IS NOT NULL GROUP BY run_key",
+    "insert_or_ignore": """WITH last AS (SELECT user_id, event_type, event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, count(*) AS n FROM (SELECT user_id, event_type, event_id FROM last UNION SELECT user_id, event_type, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20') GROUP BY user_id""",
+    "upsert_coalesce": """WITH f AS (SELECT run_key, arg_min({'root': root, 'fingerprint': fingerprint}, {'a': synced_at, 'b': fingerprint}) AS r, arg_max({'root': root, 'fingerprint': fingerprint}, {'a': synced_at, 'b': coalesce(fingerprint, '')}) AS l FROM runs WHERE run_key IS NOT NULL GROUP BY run_key)
+SELECT run_key, coalesce(l.root, r.root) AS root, coalesce(l.fingerprint, r.fingerprint) AS fingerprint FROM f""",
+    "run_fingerprint": "SELECT run_key, count(*) AS rows, 2 * count(*) AS rb, true AS same, bool_and(coalesce(sha256 < 'f', false)) AS same_without_some FROM documents WHERE run_key IS NOT NULL GROUP BY run_key",
     "forget_run": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t} WHERE run_key IS NULL OR run_key <> (SELECT min(run_key) FROM runs)" for t in ("documents", "texts", "observations", "record_edges")),
-    "run_identity_conflicts": "WITH r AS (SELECT run_key, root FROM runs UNION ALL SELECT run_key, root || '/copy' FROM runs WHERE run_key < 'run:3') SELECT 'path' AS kind, root AS value, count(DISTINCT run_key) AS conflicts FROM r WHERE root IS NOT NULL GROUP BY root HAVING count(DISTINCT run_key) > 1 UNION ALL SELECT 'run', run_key, count(DISTINCT root) FROM r WHERE run_key IS NOT NULL GROUP BY run_key HAVING count(DISTINCT root) > 1",
-    "run_states": """WITH l AS (SELECT run_key, fingerprint AS recorded FROM runs WHERE run_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY synced_at DESC NULLS LAST, fingerprint DESC NULLS LAST) = 1),
-m AS (SELECT run_key, max(fingerprint) AS f, ('0x' || substr(run_key, 5, 4))::int % 4 AS n FROM runs WHERE run_key IS NOT NULL GROUP BY run_key),
-p AS (SELECT run_key, CASE WHEN n = 1 THEN 'other' ELSE coalesce(f, 'first') END AS f FROM m WHERE n <> 3)
+    "run_identity_conflicts": "WITH r AS (SELECT run_key, root FROM runs UNION ALL SELECT run_key, regexp_replace(root, '/[^/]*$', '') FROM runs) SELECT 'path' AS kind, root AS value, count(DISTINCT run_key) AS conflicts FROM r WHERE root IS NOT NULL GROUP BY root HAVING count(DISTINCT run_key) > 1 UNION ALL SELECT 'run', run_key, count(DISTINCT root) FROM r WHERE run_key IS NOT NULL GROUP BY run_key HAVING count(DISTINCT root) > 1",
+    "run_states": """WITH l AS (SELECT run_key, fingerprint AS recorded FROM runs WHERE run_key IS NOT NULL AND synced_at < TIMESTAMP '2024-12-01' QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY synced_at DESC NULLS LAST, fingerprint DESC NULLS LAST) = 1),
+p AS (SELECT run_key, max(fingerprint) AS f FROM runs WHERE run_key IS NOT NULL GROUP BY run_key)
 SELECT run_key, CASE WHEN f IS NULL THEN 'missing' WHEN recorded IS NULL THEN 'new' WHEN recorded = f THEN 'current' ELSE 'stale' END AS status FROM l FULL JOIN p USING (run_key)""",
     "status_counts": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in ("runs", "record_edges", "observations", "documents", "texts", "text_embeddings", "aliases")),
     "access_counts": "SELECT json_extract_string(metadata, '$.status') AS access, count(*) AS n FROM documents GROUP BY 1",
-    "cache_latest_valid": f"""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 4 = 0 THEN {NOW} + INTERVAL 1 DAY ELSE ts + INTERVAL 24 HOUR END AS expires FROM events)
-SELECT user_id, event_id FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, expires DESC) = 1) WHERE expires > {NOW}""",
+    "cache_latest_valid": """WITH e AS (SELECT user_id, ts, event_id, ts + to_hours(floor(value)::bigint) AS expires FROM events)
+SELECT user_id, event_id FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, expires DESC) = 1) WHERE expires > TIMESTAMP '2024-01-30 12:00:00'""",
     "rate_slot_delay": "SELECT user_id, round(greatest(0.0, least(86400.0, epoch(max(ts)) + 86400.0 - (SELECT epoch(max(ts)) FROM events))), 3)::double AS delay FROM events GROUP BY user_id",
     "html_extract": "SELECT doc_id, sha256('T' || chr(10) || text || chr(10) || 'End ©') AS sha FROM documents WHERE text IS NOT NULL",
     "format_sniff": r"""SELECT doc_id, CASE WHEN k = 0 THEN 'pdf' WHEN k = 1 THEN 'html' WHEN k = 2 THEN 'xml' WHEN regexp_matches(h, '^\s*%PDF-') THEN 'pdf' WHEN k = 3 THEN 'invalid_content' WHEN k = 4 OR contains(lower(h), '<html') OR contains(lower(h), '<!doctype html') THEN 'html' WHEN regexp_matches(lower(h), '^\s*<\?xml') THEN 'xml' ELSE 'text' END AS format

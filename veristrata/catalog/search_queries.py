@@ -105,7 +105,7 @@ QUERIES = {
     "nonempty_text": lambda s, d: table(s, d, "documents").select("doc_id", nonempty(F.col("text")).alias("has_text"), F.length(stripped(F.coalesce("title", F.lit("")))).alias("title_chars")),
     "read_scope_locators": lambda s, d: table(s, d, "record_edges").where("evidence IS NOT NULL").select(F.col("evidence"), F.array_join(locators(F.col("evidence")), ",").alias("places")).distinct(),
     "strict_json_errors": lambda s, d: _payload(s, d).where(~records.is_strict_object(F.col("payload"))).select("run_key", "candidate_id"),
-    "zoned_timestamps": lambda s, d: table(s, d, "events").select("event_id", records.zoned_timestamp(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))).alias("at")),
+    "zoned_timestamps": lambda s, d: table(s, d, "events").select("event_id", records.zoned_timestamp(F.when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))).alias("at")),
     "http_status_codes": lambda s, d: table(s, d, "events").select((F.col("event_id") % 600).cast("int").alias("status")).groupBy("status").agg(F.count("*").alias("n")).select("status", "n", records.problem_code(F.col("status")).alias("problem")),
 }
 
@@ -172,6 +172,6 @@ FROM (SELECT *, string_split(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '',
 SELECT DISTINCT evidence, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS places FROM (SELECT evidence, regexp_extract_all(evidence, '\bpage:\d+\b|\bdocument\b') AS l FROM record_edges WHERE evidence IS NOT NULL)
 """,
     "strict_json_errors": "SELECT run_key, candidate_id FROM observations WHERE payload IS NULL OR NOT json_valid(payload) OR json_type(payload) <> 'OBJECT'",
-    "zoned_timestamps": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS at FROM events",
+    "zoned_timestamps": "SELECT event_id, CASE WHEN event_type <> 'view' THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS at FROM events",
     "http_status_codes": "SELECT status::int AS status, count(*) AS n, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 401 THEN 'auth_required' WHEN status = 403 THEN 'blocked' WHEN status = 404 THEN 'not_found' WHEN status = 429 THEN 'rate_limited' ELSE 'http_error' END AS problem FROM (SELECT event_id % 600 AS status FROM events) GROUP BY status",
 }

@@ -44,13 +44,9 @@ def _token_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of the documents, damaged in some documents, and what is wrong with them."""
-    spans = _token_windows(spark, d)
-    k = F.col("doc_id") % 11
-    damaged = spans.where(~((k == 1) & (F.col("window") == 0))).withColumn("start", F.when((k == 2) & (F.col("window") == 1), F.col("start") + 40).otherwise(F.col("start"))).withColumn("tokens", F.when(k == 3, F.col("tokens") + 600).otherwise(F.col("tokens")))
-    damaged = damaged.withColumn("end", F.when((k == 4) & (F.col("window") == 0), F.col("end") - 1).otherwise(F.col("end")))
+    """Windows of up to 512 tokens held against a budget of 400."""
     lengths = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length("text").alias("length"))
-    return semantic.span_problems(damaged.drop("window"), ["doc_id"], lengths, 512)
+    return semantic.span_problems(_token_windows(spark, d).drop("window"), ["doc_id"], lengths, 400)
 
 
 def _window_snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +55,10 @@ def _window_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _new_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    texts = texts_of(spark, d).withColumn("run_key", F.col("kind"))  # contents repeat across runs
-    return texts, texts.where(F.pmod(F.conv(F.substring("text_id", 5, 4), 16, 10).cast("int"), F.lit(3)) > 0)
+    """All texts, and those that were known by the end of November 2024; contents repeat across runs, so kinds stand in for them."""
+    texts = texts_of(spark, d).withColumn("run_key", F.col("kind"))
+    known = table(spark, d, "texts").where("synced_at < TIMESTAMP_NTZ '2024-12-01 00:00:00'").select("text_id").distinct()
+    return texts, texts.join(known, "text_id", "left_semi")
 
 
 def _reuse(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +96,19 @@ QUERIES = {
 
 _PENDING = f"t2 AS (SELECT DISTINCT run_key, text_id, text_sha256 FROM t), r AS (SELECT DISTINCT text_id, text_sha256 FROM text_embeddings WHERE model = '{MODEL}' AND revision = '{REVISION}' AND chunk_version = {VERSION} AND vector IS NOT NULL), p AS (SELECT * FROM t2 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.text_id = t2.text_id AND r.text_sha256 = t2.text_sha256))"
 
+_SPANS = """WITH RECURSIVE d AS (SELECT doc_id, text AS x, length(text) AS n FROM documents WHERE text IS NOT NULL),
+c AS (
+  SELECT doc_id, x, n, 0 AS s, 0 AS k FROM d
+  UNION ALL
+  SELECT doc_id, x, n, greatest(s + 1, e - 16), k + 1 FROM (SELECT *, CASE WHEN s + 510 >= n THEN n WHEN last > 0 THEN s + 255 + last ELSE s + 510 END AS e FROM (
+    SELECT *, greatest(CASE WHEN strpos(r, ' ') > 0 THEN 256 - strpos(r, ' ') ELSE 0 END, CASE WHEN strpos(r, chr(10)) > 0 THEN 256 - strpos(r, chr(10)) ELSE 0 END) AS last FROM (SELECT *, reverse(substr(x, s + 256, 255)) AS r FROM c))) WHERE e < n),
+w AS (SELECT doc_id, k, s, n, CASE WHEN s + 510 >= n THEN n WHEN last > 0 THEN s + 255 + last ELSE s + 510 END AS e FROM (
+    SELECT *, greatest(CASE WHEN strpos(r, ' ') > 0 THEN 256 - strpos(r, ' ') ELSE 0 END, CASE WHEN strpos(r, chr(10)) > 0 THEN 256 - strpos(r, chr(10)) ELSE 0 END) AS last FROM (SELECT *, reverse(substr(x, s + 256, 255)) AS r FROM c)))
+"""
+
 ORACLE = {
+    "token_windows": _SPANS + 'SELECT doc_id, k AS "window", s AS start, e AS "end", e - s + 2 AS tokens FROM w',
+    "span_validation": _SPANS + "SELECT DISTINCT doc_id, 'budget' AS problem FROM w WHERE e - s + 2 > 400",
     "semantic_maxsim": _max_sql("SELECT vector FROM w ORDER BY text_id LIMIT 2", "true", 20),
     "semantic_maxsim_run_scoped": _max_sql("SELECT vector FROM w ORDER BY text_id DESC LIMIT 1", "w.run_key IN (SELECT run_key FROM runs WHERE fingerprint IS NOT NULL)", 50),
     "vector_validity": f"SELECT text_id, backend, model, revision, {_PROBLEM} AS problem FROM text_embeddings WHERE ({_PROBLEM}) IS NOT NULL",
@@ -107,7 +117,7 @@ ORACLE = {
     "embedding_pending": f"WITH {_TEXTS}, {_PENDING} SELECT run_key, text_id, text_sha256 FROM p",
     "embedding_ready_status": f"WITH {_TEXTS}, {_PENDING}, a AS (SELECT run_key, count(*) AS total FROM t2 GROUP BY 1), b AS (SELECT run_key, count(*) AS pending FROM p GROUP BY 1) SELECT a.run_key, total, total - coalesce(pending, 0) AS ready, coalesce(pending, 0) AS pending, CASE WHEN coalesce(pending, 0) > 0 THEN 'pending' ELSE 'ready' END AS status FROM a LEFT JOIN b ON a.run_key IS NOT DISTINCT FROM b.run_key",
     "embedding_not_configured": f"WITH {_TEXTS} SELECT run_key, count(*) AS total, 0::bigint AS ready, count(*) AS pending, 'not_configured' AS status FROM t GROUP BY run_key",
-    "vector_reuse": f"""WITH {_TEXTS}, tk AS (SELECT * REPLACE (kind AS run_key) FROM t), old AS (SELECT * FROM tk WHERE ('0x' || substr(text_id, 5, 4))::int % 3 > 0),
+    "vector_reuse": f"""WITH {_TEXTS}, tk AS (SELECT * REPLACE (kind AS run_key) FROM t), old AS (SELECT * FROM tk WHERE text_id IN (SELECT text_id FROM texts WHERE synced_at < TIMESTAMP '2024-12-01')),
 w AS (SELECT DISTINCT run_key, text_id, text_sha256 FROM tk WHERE text_id NOT IN (SELECT text_id FROM old)),
 st AS (SELECT DISTINCT o.run_key, o.text_sha256, e.backend, e.model, e.revision, o.text_id FROM old o JOIN text_embeddings e ON e.text_id = o.text_id AND e.text_sha256 = o.text_sha256 WHERE e.vector IS NOT NULL),
 dn AS (SELECT run_key, text_sha256, backend, model, revision, min(text_id) AS from_text_id FROM st GROUP BY ALL)
