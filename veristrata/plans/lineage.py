@@ -22,16 +22,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, once: bool = False) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and return it without its lineage.
 
     A checkpointed frame keeps the estimated size of its plan; over the rounds of an iterative plan
     the estimates of joins are multiplied until planning takes longer than running. The frame is
     therefore rebuilt on the checkpointed rows, and adaptive execution measures the real sizes.
+
+    A checkpoint computes the last stage of the plan a second time to write it. ``once`` keeps the
+    rows (in memory or on disk) between the two, for stages that are dear, such as Python ones.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
+    if once:
+        df = df.persist()
     kept = df.checkpoint(eager=True)
+    if once:
+        df.unpersist()
     rows = kept._jdf.queryExecution().toRdd()
     plain = spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False)
     return DataFrame(plain, spark)
