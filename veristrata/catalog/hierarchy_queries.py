@@ -8,11 +8,11 @@ from veristrata.operators import hierarchy
 QUERIES = {
     "p1_found": lambda spark, d: hierarchy.roots_reached(table(spark, d, "record_edges")),
     "p1_hierarchy": lambda spark, d: hierarchy.full_hierarchy(table(spark, d, "record_edges")),
+    "p1_paths": lambda spark, d: hierarchy.full_hierarchy(table(spark, d, "record_edges")).drop("pre", "last"),
     "p1_descendants": lambda spark, d: hierarchy.descendant_pairs(table(spark, d, "record_edges")),
 }
 
-ORACLE = {
-    "p1_found": r"""
+_KNOTS = r"""
 WITH RECURSIVE e AS (
   SELECT DISTINCT run_key, lower(regexp_replace(relation, '^\s+|\s+$', '', 'g')) AS relation,
          regexp_replace(source_id, '^\s+|\s+$', '', 'g') AS child, regexp_replace(target_id, '^\s+|\s+$', '', 'g') AS parent
@@ -25,7 +25,22 @@ up AS (
     ON h.run_key IS NOT DISTINCT FROM up.run_key AND h.relation = up.relation AND h.child = up.anc),
 knots AS (
   SELECT a.run_key, a.relation, a.node, min(a.anc) AS name FROM up a JOIN up b
-    ON a.run_key IS NOT DISTINCT FROM b.run_key AND a.relation = b.relation AND a.node = b.anc AND a.anc = b.node GROUP BY ALL),
+    ON a.run_key IS NOT DISTINCT FROM b.run_key AND a.relation = b.relation AND a.node = b.anc AND a.anc = b.node GROUP BY ALL)"""
+
+_FOREST = (
+    _KNOTS
+    + """,
+f AS (SELECT run_key, relation, child, min(parent) AS parent FROM h WHERE NOT EXISTS (SELECT 1 FROM knots k WHERE k.run_key IS NOT DISTINCT FROM h.run_key AND k.relation = h.relation AND k.node = h.child) GROUP BY ALL),
+d AS (
+  SELECT run_key, relation, child AS node, parent AS anc FROM f
+  UNION ALL
+  SELECT d.run_key, d.relation, d.node, f.parent FROM d JOIN f ON f.run_key IS NOT DISTINCT FROM d.run_key AND f.relation = d.relation AND f.child = d.anc)
+"""
+)
+
+ORACLE = {
+    "p1_found": _KNOTS
+    + """,
 tops AS (
   SELECT up.run_key, up.relation, up.node, up.anc AS root FROM up
   WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.run_key IS NOT DISTINCT FROM up.run_key AND h.relation = up.relation AND h.child = up.anc)
@@ -33,5 +48,19 @@ tops AS (
   SELECT up.run_key, up.relation, up.node, k.name FROM up JOIN knots k
     ON k.run_key IS NOT DISTINCT FROM up.run_key AND k.relation = up.relation AND k.node = up.anc)
 SELECT DISTINCT run_key, relation, node AS node_id, root AS root_id FROM tops
+""",
+    "p1_descendants": _FOREST + "SELECT run_key, relation, anc AS ancestor_id, node AS node_id FROM d",
+    "p1_paths": _FOREST
+    + """,
+n AS (SELECT run_key, relation, child AS node FROM h UNION SELECT run_key, relation, parent FROM h),
+t AS (
+  SELECT run_key, relation, node, node AS top, 0::bigint AS depth, node AS path FROM n
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.run_key IS NOT DISTINCT FROM n.run_key AND f.relation = n.relation AND f.child = n.node)
+  UNION ALL
+  SELECT f.run_key, f.relation, f.child, t.top, t.depth + 1, t.path || '/' || f.child FROM t JOIN f ON f.run_key IS NOT DISTINCT FROM t.run_key AND f.relation = t.relation AND f.parent = t.node),
+c AS (SELECT run_key, relation, anc, count(*) AS many FROM d GROUP BY ALL)
+SELECT t.run_key, t.relation, t.node AS node_id, t.top AS top_id, t.depth, t.path, coalesce(c.many, 0) AS descendants, k.name AS cycle_id
+FROM t LEFT JOIN c ON c.run_key IS NOT DISTINCT FROM t.run_key AND c.relation = t.relation AND c.anc = t.node
+LEFT JOIN knots k ON k.run_key IS NOT DISTINCT FROM t.run_key AND k.relation = t.relation AND k.node = t.node
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.catalog.hierarchy_queries import ORACLE as HIERARCHY
+from veristrata.catalog.hierarchy_queries import _KNOTS as KNOTS
 from veristrata.catalog.search_queries import _TEXTS, texts_of
 from veristrata.catalog.tables import table
 from veristrata.functions.records import canonical_json, date_of_parts, text_of
@@ -273,7 +273,7 @@ SELECT 'MISSING_ID' AS code, 'record_edges' AS "table" FROM record_edges WHERE {
 UNION ALL SELECT code, "table" FROM ({" UNION ALL ".join(_REQ.replace("{0}", c) for c in ("text", "title", "source", "work_key"))})
 UNION ALL SELECT 'INVALID_VALUE', 'texts' FROM texts WHERE coalesce(kind NOT IN ('document', 'evidence', 'report', 'query'), true)
 UNION ALL SELECT code, "table" FROM ({_UNKNOWN}) UNION ALL SELECT code, "table" FROM ({_COVER})) GROUP BY ALL""",
-    "cycle_detection": HIERARCHY["p1_found"][: HIERARCHY["p1_found"].index("tops AS (")].rstrip().rstrip(",") + " SELECT CASE relation WHEN 'parent' THEN 'TRACE_CYCLE' ELSE 'SOURCE_CYCLE' END AS code, relation AS \"table\", concat_ws('/', run_key, node) AS record, name AS detail FROM knots",
+    "cycle_detection": KNOTS + " SELECT CASE relation WHEN 'parent' THEN 'TRACE_CYCLE' ELSE 'SOURCE_CYCLE' END AS code, relation AS \"table\", concat_ws('/', run_key, node) AS record, name AS detail FROM knots",
     "latest_review": "SELECT user_id, event_type, r.event_id AS event_id, r.value AS value FROM (SELECT user_id, event_type, arg_max({'event_id': event_id, 'value': value}, {'t': ts, 'e': event_id}) AS r FROM events GROUP BY ALL)",
     "finding_last_state": "SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_state FROM events",
     "reconcile_diff": f"WITH {_VERSIONS} SELECT * FROM df",
