@@ -24,17 +24,17 @@ def is_strict_object(column: Column) -> Column:
     return F.coalesce(F.schema_of_variant(strict_json(column)).startswith("OBJECT"), F.lit(False))
 
 
-def _strings(value, out: list[str]) -> None:
-    if isinstance(value, str):
-        if kept := value.strip():
-            out.append(kept)
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            if k not in HASH_KEYS:
-                _strings(v, out)
-    elif isinstance(value, list):
-        for v in value:
-            _strings(v, out)
+def strings_in(value) -> Iterator[str]:
+    """The texts of a parsed JSON value in the order of the file."""
+    waiting = [value]
+    while waiting:
+        match waiting.pop():
+            case str() as text:
+                yield text
+            case list() as items:
+                waiting += reversed(items)
+            case dict() as fields:
+                waiting += [fields[name] for name in reversed(fields) if name not in HASH_KEYS]
 
 
 @F.pandas_udf(T.StringType())
@@ -48,9 +48,7 @@ def text_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if raw is None:
             return None
         try:
-            out: list[str] = []
-            _strings(json.loads(raw), out)
-            return "\n".join(out)
+            return "\n".join(filter(None, map(str.strip, strings_in(json.loads(raw)))))
         except ValueError:
             return None
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Chunks of a text: fixed values, as stored chunks must be reproducible.
 CHUNK_CHARS, CHUNK_OVERLAP = 1400, 160
+BLANK_RUN = re.compile(r"[ \t]+")
 TOKEN = r"[\p{L}\p{N}]+"
 SNIPPET_TOKENS = 40
 
@@ -69,25 +72,23 @@ def chunk_spans(text: str | None, size: int = CHUNK_CHARS, overlap: int = CHUNK_
     Blanks and tabs are collapsed first. A chunk that is not the last ends behind the last line
     break or ``". "`` of its second half, if there is one. Chunks are stripped, empty ones left out.
     """
-    import re
-
-    if not text:
-        return []
-    whole = re.sub(r"[ \t]+", " ", text).strip()
-    n, at, out = len(whole), 0, []
-    while at < n:
-        stop = min(n, at + size)
-        if stop < n:
-            half = at + size // 2
-            line, sentence = whole.rfind("\n", half, stop), whole.rfind(". ", half, stop)
-            if max(line, sentence) >= 0:
-                stop = max(line, sentence) + 1
-        if piece := whole[at:stop].strip():
-            out.append(piece)
-        if stop >= n:
-            break
-        at = max(at + 1, stop - overlap)
-    return out
+    whole = BLANK_RUN.sub(" ", text or "").strip()
+    lines = [m.end() for m in re.finditer("\n", whole)]
+    stops = [m.start() + 1 for m in re.finditer(r"\. ", whole)]
+
+    def last(cuts: list[int], above: int, upto: int) -> int:
+        k = bisect_right(cuts, upto)
+        return cuts[k - 1] if k and cuts[k - 1] > above else 0
+
+    spans: list[tuple[int, int]] = []
+    begin = 0
+    while begin + size < len(whole):
+        top, half = begin + size, begin + size // 2
+        end = max(last(lines, half, top), last(stops, half, top - 1)) or top
+        spans.append((begin, end))
+        begin = max(begin, end - overlap - 1) + 1
+    spans.append((begin, len(whole)))
+    return [piece for a, b in spans if (piece := whole[a:b].strip())]
 
 
 def chunked(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

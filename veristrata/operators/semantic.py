@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,15 +41,8 @@ def windows_of(text: str, count: Callable[[str], int], maximum: int, overlap: in
         out.append((start, end, count(text[start:end])))
         if end == n:
             return out
-        back = end
-        low, high = start + 1, end
-        while low <= high and overlap:
-            mid = (low + high) // 2
-            if count(text[mid:end]) - special <= overlap:
-                back, high = mid, mid - 1
-            else:
-                low = mid + 1
-        start = back
+        repeats = range(start + 1, end)
+        start += 1 + bisect_left(repeats, True, key=lambda p: count(text[p:end]) - special <= overlap)
 
 
 def _longest(text: str, start: int, count: Callable[[str], int], maximum: int) -> int:
