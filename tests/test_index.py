@@ -41,7 +41,7 @@ def test_graph_is_rebuilt_from_observations_alone(spark):
     keys = lambda df: {(r.candidate_id, r.work_key) for r in index.graph_tables(df)["identities"].collect()}
     assert keys(both) == {("c1", "doi:10.1234/a"), ("c2", "doi:10.1234/a")}
     assert keys(both.where("run_key = 'r2'")) == {("c2", "openalex:W1")}
-    assert {t: df.count() for t, df in index.graph_tables(both).items()} == {"names": 2, "identities": 2, "edges": 1, "audits": 1, "works": 2}
+    assert {t: df.count() for t, df in index.graph_tables(both).items()} == {"names": 3, "identities": 2, "edges": 1, "audits": 1, "works": 2}
 
 
 def test_initialized_refuses_an_existing_table(spark, tmp_path):
