@@ -46,7 +46,8 @@ def nonempty(column: Column) -> Column:
 
 def folded(column: Column) -> Column:
     """Lower case, Latin letters without accents: the form in which words are searched."""
-    return F.lower(F.translate(F.regexp_replace(column, f"[{MARKS}]", ""), ACCENTED, PLAIN))
+    plain = F.translate(F.regexp_replace(column, f"[{MARKS}]", ""), ACCENTED, PLAIN)
+    return F.lower(F.when(column.rlike(f"[{MARKS}\u00c0-\u024f\u1e00-\u1eff]"), plain).otherwise(column))  # most texts have none of these
 
 
 def search_tokens(column: Column) -> Column:
