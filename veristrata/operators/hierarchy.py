@@ -247,8 +247,8 @@ def _links_of(edges: DataFrame) -> DataFrame:
 class Hierarchy:
     """The hierarchies of an edge table; see ``Hierarchy.of``. All members are DataFrames keyed by ``id``."""
 
-    def __init__(self, edges: DataFrame, forest: DataFrame, reach: DataFrame) -> None:
-        self.edges, self.forest, self.reach = edges, forest, reach
+    def __init__(self, edges: DataFrame, forest: DataFrame, reach: DataFrame, above: DataFrame) -> None:
+        self.edges, self.forest, self.reach, self.above = edges, forest, reach, above
 
     @staticmethod
     def of(edges: DataFrame) -> "Hierarchy":
@@ -260,7 +260,7 @@ class Hierarchy:
         nodes = cut(nodes)
         forest = cut(nested_sets(nodes))
         many = nodes.where(F.col("n") > 1).select("id")
-        return Hierarchy(edges, forest, _reach(edges, forest, many))
+        return Hierarchy(edges, forest, *_reach(edges, forest, many))
 
     def roots(self) -> DataFrame:
         """(id, root_id) for each node that has a parent, together with each root or cycle it reaches."""
@@ -278,6 +278,28 @@ class Hierarchy:
         between = heads.where("c1 = c2").join(tops.select(F.col("id").alias("parent"), "path"), "parent").select(F.explode("path").alias("id"), F.col("c1").alias("cycle"))
         return plain.unionByName(knots).unionByName(between).distinct()
 
+    def pairs(self) -> DataFrame:
+        """(ancestor, descendant): every pair that parent links join, over any parent; a record on a cycle is its own descendant.
+
+        Below a record with several parents or on a cycle hangs a tree of single-parent links, whose
+        own pairs come from its ranges. All of such a tree also lies below what the closure has above
+        its top, so no step makes more rows than the result has, but for those reached twice.
+        """
+        rings = self.forest.where("on_cycle").select("id", "cycle")
+        bent = self.forest.where("cycle IS NOT NULL").select("id", F.when(~F.col("on_cycle"), F.col("parent")).alias("parent"), "cycle")
+        columns = ["id", "root", "pre", "size", "path", "cycle"]
+        trees = self.forest.where("cycle IS NULL").select(*columns)
+        if not bent.isEmpty():
+            trees = trees.unionByName(nested_sets(bent).drop("cycle").join(bent.select("id", "cycle"), "id").select(*columns))
+        trees = cut(trees)
+        several = self.edges.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+        over = self.edges.join(several, "id", "left_semi").select(F.col("id").alias("b"), F.col("parent").alias("id")).join(trees.select("id", "path", "cycle"), "id")
+        ring = rings.select(F.col("id").alias("ancestor"), "cycle")
+        first = over.select("b", F.explode("path").alias("ancestor")).unionByName(over.join(ring, "cycle").select("b", "ancestor")).distinct()
+        high = self.above.join(first, "b").select(F.col("a").alias("root"), "ancestor").unionByName(rings.withColumnRenamed("id", "root").join(ring, "cycle").select("root", "ancestor")).distinct()
+        through = trees.select("root", F.col("id").alias("descendant")).join(cut(high), "root").select("ancestor", "descendant")
+        return range_pairs(trees).unionByName(through).distinct()
+
 
 def _exits(edges: DataFrame, forest: DataFrame) -> DataFrame:
     """(from_id, parent, head, low): links of records with several parents, led on to the top of the parent's tree, with the smallest id passed."""
@@ -286,8 +308,8 @@ def _exits(edges: DataFrame, forest: DataFrame) -> DataFrame:
     return edges.join(several, "id", "left_semi").join(top, "parent").select(F.col("id").alias("from_id"), "parent", "head", "low", "to_cycle")
 
 
-def _reach(edges: DataFrame, forest: DataFrame, many: DataFrame) -> DataFrame:
-    """(id, terminal, scc) for each record with several parents: each root or cycle it reaches, and its own cycle.
+def _reach(edges: DataFrame, forest: DataFrame, many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, terminal, scc) for each record with several parents: each root or cycle it reaches, and its own cycle; and (a, b), the closure among them with each record itself.
 
     The reduced graph holds only records with several parents and the tops they lead to. Its
     closure is squared until it no longer grows; mutual reachability gives the cycles.
@@ -308,9 +330,9 @@ def _reach(edges: DataFrame, forest: DataFrame, many: DataFrame) -> DataFrame:
     scc = knot.join(names, "knot").select(F.col("a").alias("id"), "scc")
     ends = exits.join(many.select(F.col("id").alias("head")), "head", "left_anti").select(F.col("from_id").alias("b"), F.col("head").alias("terminal"))
     terminals = ends.unionByName(scc.select(F.col("id").alias("b"), F.col("scc").alias("terminal")))
-    self_and_above = closure.unionByName(many.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct()
+    self_and_above = cut(closure.unionByName(many.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct())
     found = self_and_above.join(terminals, "b").select(F.col("a").alias("id"), "terminal").distinct()
-    return cut(found.join(scc, "id", "left"))
+    return cut(found.join(scc, "id", "left")), self_and_above
 
 
 def split_key(df: DataFrame, column: str) -> list[Column]:
@@ -332,10 +354,9 @@ def roots_reached(record_edges: DataFrame) -> DataFrame:
     return found.select(*split_key(found, "id"), _node_of(F.col("id")).alias("node_id"), _node_of(F.col("root_id")).alias("root_id"))
 
 
-def spanning_forest(record_edges: DataFrame) -> DataFrame:
+def spanning_forest(whole: Hierarchy) -> DataFrame:
     """Keyed nested sets of the hierarchies in which each record keeps its smallest parent; members of cycles stand as tops."""
-    edges = cut(_links_of(clean_edges(record_edges)))
-    whole = Hierarchy.of(edges)
+    edges = whole.edges
     cycles = cut(whole.cycles())
     first = edges.groupBy("id").agg(F.min("parent").alias("parent"))
     nodes = edges.select("id").unionByName(edges.select(F.col("parent").alias("id"))).distinct()
@@ -347,9 +368,12 @@ def full_hierarchy(record_edges: DataFrame) -> DataFrame:
     """One row for each record: path from its top, depth, top, nested-set range, number of descendants, cycle.
 
     A record with several parents is placed below the smallest of them (``roots_reached`` has all of
-    its roots); records on a cycle stand as tops of their own and name the cycle.
+    its roots); records on a cycle stand as tops of their own and name the cycle. Range, path and depth
+    are those of this placing; ``descendants`` counts the rows of ``descendant_pairs``, over all parents.
     """
-    forest = spanning_forest(record_edges)
+    whole = Hierarchy.of(_links_of(clean_edges(record_edges)))
+    counts = whole.pairs().groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("below"))
+    forest = spanning_forest(whole).join(counts, "id", "left")
     return forest.select(
         *split_key(forest, "id"),
         _node_of(F.col("id")).alias("node_id"),
@@ -358,14 +382,14 @@ def full_hierarchy(record_edges: DataFrame) -> DataFrame:
         F.array_join(F.transform("path", lambda x: _node_of(x)), "/").alias("path"),
         "pre",
         (F.col("pre") + F.col("size") - 1).alias("last"),
-        (F.col("size") - 1).alias("descendants"),
+        F.coalesce("below", F.lit(0)).alias("descendants"),
         _node_of(F.col("cycle")).alias("cycle_id"),
     )
 
 
 def descendant_pairs(record_edges: DataFrame) -> DataFrame:
-    """(run_key, relation, ancestor_id, node_id): every descendant of every record in the spanning forest, by nested-set ranges."""
-    pairs = range_pairs(spanning_forest(record_edges))
+    """(run_key, relation, ancestor_id, node_id): every descendant of every record, over all parents and through cycles."""
+    pairs = Hierarchy.of(_links_of(clean_edges(record_edges))).pairs()
     return pairs.select(*split_key(pairs, "ancestor"), _node_of(F.col("ancestor")).alias("ancestor_id"), _node_of(F.col("descendant")).alias("node_id"))
 
 
