@@ -11,6 +11,7 @@ from veristrata.catalog.tables import table
 from veristrata.functions.records import canonical_json, date_of_parts, text_of
 from veristrata.functions.text import locators
 from veristrata.operators import incremental, validation
+from veristrata.operators.hierarchy import stripped
 from veristrata.sources import documents as sources
 from veristrata.streaming import refresh
 
@@ -50,7 +51,10 @@ def _one_sided(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _uncovered(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "record_edges").where("relation LIKE 'covered_by:%'").select(F.concat_ws("/", "run_key", "source_id").alias("question"), F.expr("substring(relation, 12)").alias("lens"))
+    """Lenses that no row covers, for every question that has any row; outer blanks and the case of the relation do not count."""
+    relation = F.lower(stripped(F.col("relation")))
+    edges = table(spark, d, "record_edges").withColumn("id", stripped(F.col("source_id"))).where("source_kind = 'questions' AND length(id) > 0")
+    rows = edges.select(F.concat_ws("/", "run_key", "id").alias("question"), F.when(relation.startswith("covered_by:"), F.substring(relation, 12, 99)).alias("lens"))
     return validation.uncovered(rows, "questions", "question", "lens", LENSES)
 
 
