@@ -466,16 +466,17 @@ def fit(texts: Iterable[str], epochs: int = 6) -> SentenceModel:
 
 
 def training_texts(df: DataFrame, text: str = "text", bound: int = TRAIN_TEXTS) -> list[str]:
-    """About ``bound`` texts at most, of at most TRAIN_CHARS characters each: those with the smallest hashes.
+    """About ``bound`` distinct texts at most, of at most TRAIN_CHARS characters each: those with the smallest hashes.
 
-    This sample is all that comes to the driver. A first cut by hash leaves about twice as many rows
-    as are wanted, whatever the size of the table, before the smallest are taken.
+    This sample is all that comes to the driver. A first cut by hash leaves about twice as many texts
+    as are wanted, whatever the size of the table, before the smallest are taken. Copies of a text
+    count once, in the cut as in the bound.
     """
-    total = df.count()
-    share = min(1.0, 2.0 * bound / max(1, total))
     short = df.where(F.length(F.trim(text)).between(1, TRAIN_CHARS)).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    total = short.select("h").distinct().count()
+    share = min(1.0, 2.0 * bound / max(1, total))
     chosen = short.where(F.pmod(F.xxhash64(F.lit(TRAIN_SEED), "h"), F.lit(1_000_000)) < int(1_000_000 * share))
-    return [r.t for r in chosen.orderBy("h", "t").limit(bound).collect()]
+    return [r.t for r in chosen.distinct().orderBy("h", "t").limit(bound).collect()]
 
 
 def fit_on(df: DataFrame, text: str = "text") -> SentenceModel:
