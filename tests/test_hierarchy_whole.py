@@ -1,6 +1,6 @@
 import random
 
-from tests.test_hierarchy import edges
+from tests.test_hierarchy import SIZES, edges
 from veristrata.operators import hierarchy as H
 
 
@@ -21,13 +21,14 @@ def closure(rows):
     return out
 
 
-def pairs(spark, rows):
-    got = [tuple(x) for x in H.descendant_pairs(edges(spark, rows)).collect()]
+def pairs(spark, rows, whole):
+    got = [tuple(x) for x in H.descendant_pairs(edges(spark, rows), whole=whole).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
 
-def test_descendants_over_second_parents_and_cycles(spark):
+@SIZES
+def test_descendants_over_second_parents_and_cycles(spark, whole):
     rng = random.Random(11)
     rows = [("d", "x", "a", "parent"), ("d", "x", "b", "parent"), ("d", "y", "x", "parent"), ("d", "b", "top", "parent")]
     rows += [("c", "b", "a", "parent"), ("c", "a", "c", "parent"), ("c", "c", "b", "parent"), ("c", "d", "c", "parent"), ("c", "e", "d", "parent"), ("c", "e", "q", "parent")]
@@ -37,6 +38,6 @@ def test_descendants_over_second_parents_and_cycles(spark):
         rows += [(f"run{k}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", rng.choice(["parent", "derived_from"])) for _ in range(int(n * rng.choice([0.8, 1.2, 1.7])))]
     want = closure(rows)
     assert ("d", "parent", "top", "y") in want and ("c", "parent", "a", "a") in want
-    assert pairs(spark, rows) == want
-    counts = {(r.run_key, r.relation, r.node_id): r.descendants for r in H.full_hierarchy(edges(spark, rows)).collect()}
+    assert pairs(spark, rows, whole) == want
+    counts = {(r.run_key, r.relation, r.node_id): r.descendants for r in H.full_hierarchy(edges(spark, rows), whole=whole).collect()}
     assert counts == {n: sum(1 for w in want if w[:3] == n) for n in counts} and {w[:3] for w in want} <= set(counts)

@@ -244,4 +244,4 @@ def provenance_roots(record_edges: DataFrame) -> DataFrame:
     """(run_key, source_id, root_id) over ``derived_from``: the independent origins of every derived source."""
     from veristrata.operators.hierarchy import roots_reached
 
-    return roots_reached(record_edges).where("relation = 'derived_from'").select("run_key", F.col("node_id").alias("source_id"), "root_id")
+    return roots_reached(record_edges, ("derived_from",)).select("run_key", F.col("node_id").alias("source_id"), "root_id")

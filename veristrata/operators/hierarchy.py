@@ -1,29 +1,31 @@
 """Parent-child links to full hierarchies: nested-set ranges, paths, roots, descendants and cycles.
 
-A forest (at most one parent for each node) is turned into nested-set ranges:
-
-1. every node's chain of parents is walked by pointer doubling, so that ``log2(depth)`` rounds find
-   its root and depth and sum the sizes of all subtrees upward;
-2. siblings get consecutive preorder offsets by a prefix sum of their subtree sizes, and the same
-   doubling adds the offsets downward, so that each node has ``[pre, pre + size)``;
-3. nodes that no round connects to a root are left unprocessed: they lie on a cycle or below one.
-
-Records with several parents make a general graph. It is first reduced: a node with a single parent
-has the roots of that parent, so the single-parent links form a forest (or plain cycles) that the
-nested-set pass collapses to its tops, and only records with several parents remain for the closure.
-
-Nothing here brings a group into one task: every step is a join or an aggregation with partial
-sums, hot parents are prefix-summed in blocks of siblings, and each round is checkpointed.
+Subtree sizes are summed upward, preorder ranges given downward by prefix sums of sibling sizes, and
+ancestors and descendants are read off the ranges; nodes that the pass leaves unprocessed hold the
+cycles. This happens at two sizes, with the same result:
+
+* A hierarchy (one run and relation) of at most ``WHOLE`` links is solved whole in one task
+  (``operators.nested``). Links are shuffled once, by hierarchy; all rows come from there.
+* A larger hierarchy is solved by rounds of joins: every node's chain of parents is walked by pointer
+  doubling, so ``log2(depth)`` rounds sum sizes and offsets. A node with a single parent has the roots
+  of that parent, so single-parent links form a forest that collapses to its tops; only records with
+  several parents remain, and a closure among them says what they add. No step brings a hierarchy
+  into one task: hot parents are prefix-summed in blocks of siblings, and rounds are cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veristrata.plans.lineage import cut
+from veristrata.operators.nested import ROWS_AT_ONCE, NestedSets
+from veristrata.plans.lineage import cut, release
 
 #: White space that is cut off identifiers and relations.
 BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -31,6 +33,8 @@ BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 SIBLING_BLOCKS = 64
 #: A forest deeper than 2 ** MAX_ROUNDS is refused instead of looping for ever.
 MAX_ROUNDS = 48
+#: A hierarchy of at most so many links is solved in one task.
+WHOLE = 200_000
 
 
 def stripped(column: Column) -> Column:
@@ -58,12 +62,6 @@ def clean_edges(edges: DataFrame, relations: tuple[str, ...] = ("derived_from",
     )
 
 
-def _key(node: str) -> Column:
-    """One string that orders the nodes of a hierarchy as their ids."""
-    run = F.coalesce(F.concat(F.lit("r"), F.col("run_key")), F.lit("n"))
-    return F.concat(run, F.lit("\u0001"), F.col("relation"), F.lit("\u0001"), F.col(node))
-
-
 def _node_of(column: Column) -> Column:
     return F.substring_index(column, "\u0001", -1)
 
@@ -101,10 +99,12 @@ def walk_up(links: DataFrame, payload: dict[str, tuple[Column, Column, str]]) ->
     left = state.where(F.col("ptr").isNotNull()).count()
     rounds = 0
     while left:
-        state = cut(_double(state, ways))
+        if rounds == MAX_ROUNDS:
+            raise RuntimeError("the hierarchy is too deep")
+        state = cut(_double(state, ways), state)
         rounds += 1
         now = state.where(F.col("ptr").isNotNull()).count()
-        if now == left or rounds >= MAX_ROUNDS:
+        if now == left:
             break
         left = now
     done = state.where(F.col("ptr").isNull()).drop("ptr")
@@ -127,7 +127,9 @@ def cycle_members(links: DataFrame, unprocessed: DataFrame) -> DataFrame:
             break
         last = (image, total)
         other = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("low2"))
-        state = cut(state.join(other, "ptr").select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low")))
+        state = cut(state.join(other, "ptr").select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low")), state)
+    else:
+        raise RuntimeError("cycles did not settle")
     ring = state.select(F.col("ptr").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
     lows = state.select(F.col("id").alias("ptr"), F.col("low").alias("cycle"))
     return state.select("id", "ptr").join(lows, "ptr").join(ring, "id", "left").select("id", "cycle", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
@@ -156,7 +158,7 @@ def subtree_sizes(links: DataFrame, rounds: int) -> DataFrame:
         given = state.where(F.col("ptr").isNotNull()).groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("more"))
         hop = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
         moved = state.where(F.col("ptr").isNotNull()).join(hop, "ptr").select("id", F.col("next").alias("ptr"), "size").unionByName(state.where(F.col("ptr").isNull()))
-        state = cut(moved.join(given, "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        state = cut(moved.join(given, "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), state)
     return state.select("id", "size")
 
 
@@ -164,59 +166,46 @@ def nested_sets(links: DataFrame) -> DataFrame:
     """Nested-set ranges of a forest with cycles.
 
     links: (id, parent) with one row for each node, null parent = root. Result: id, parent, root,
-    depth, pre, size, cycle, on_cycle, path (ids from the root to the node). ``[pre, pre + size)``
+    depth, low (smallest id on the way to the root), pre, size, cycle, on_cycle. ``[pre, pre + size)``
     holds exactly the node and its descendants within the tree of ``root``. Nodes on a cycle or
-    below one have null root, depth, pre, size and path, and name the cycle by its smallest id. An
+    below one have null root, depth, low, pre and size, and name the cycle by its smallest id. An
     empty input gives an empty result.
     """
     links = cut(links.select("id", "parent"))
-    done, rest, rounds = walk_up(links, {"up": (F.array("id"), F.array("id"), "concat")})
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    done, rest, rounds = walk_up(links, {"depth": (one, zero, "sum"), "low": (F.col("id"), F.col("id"), "min")})
     tree = cut(done.join(links, "id"))
     sizes = subtree_sizes(tree.select("id", "parent"), rounds)
-    sized = cut(tree.join(sizes, "id"))
+    sized = cut(tree.join(sizes, "id"), tree)
     offsets = sibling_offsets(sized)
     placed = sized.select("id", "parent").join(offsets, "id", "left")
-    pre, _, _ = walk_up(placed, {"pre": (F.col("offset"), F.lit(0).cast("long"), "sum")})
-    good = sized.join(pre.select("id", "pre"), "id").select(
-        "id",
-        "parent",
-        "root",
-        (F.size("up") - 1).cast("long").alias("depth"),
-        "pre",
-        "size",
-        F.lit(None).cast("string").alias("cycle"),
-        F.lit(False).alias("on_cycle"),
-        F.reverse("up").alias("path"),
-    )
+    pre, _, _ = walk_up(placed, {"pre": (F.col("offset"), zero, "sum")})
+    none = lambda kind: F.lit(None).cast(kind)
+    good = sized.join(pre.select("id", "pre"), "id").select("id", "parent", "root", "depth", "low", "pre", "size", none("string").alias("cycle"), F.lit(False).alias("on_cycle"))
     if rest.isEmpty():
         return good
-    bad = cycle_members(links, rest).join(links, "id").select(
-        "id",
-        "parent",
-        F.lit(None).cast("string").alias("root"),
-        *[F.lit(None).cast("long").alias(c) for c in ("depth", "pre", "size")],
-        "cycle",
-        "on_cycle",
-        F.lit(None).cast("array<string>").alias("path"),
-    )
+    bad = cycle_members(links, rest).join(links, "id").select("id", "parent", none("string").alias("root"), none("long").alias("depth"), none("string").alias("low"), none("long").alias("pre"), none("long").alias("size"), "cycle", "on_cycle")
     return good.unionByName(bad)
 
 
-def range_pairs(nodes: DataFrame, proper: bool = True) -> DataFrame:
-    """(ancestor, descendant) by nested-set containment, without comparing all pairs.
+def paths(links: DataFrame) -> DataFrame:
+    """(id, path): ids from the root to each node of a forest (id, parent); nodes on cycles or below have none. As large as its result."""
+    done, _, _ = walk_up(links.select("id", "parent"), {"up": (F.array("id"), F.array("id"), "concat")})
+    return done.select("id", F.reverse("up").alias("path"))
+
+
+def enclosing(nodes: DataFrame, points: DataFrame) -> DataFrame:
+    """(ancestor, point) for every range of ``nodes`` that holds a point (id, root, pre), without comparing all pairs.
 
     Each range is cut into dyadic blocks of positions of its tree (two for each power of two at
     most), and a position meets the blocks that hold it, so the join is an equality on (root, level,
-    block) and its output is the result itself.
+    block) and its output is the result itself. A node encloses itself.
     """
-    own = nodes.where(F.col("pre").isNotNull() & (F.col("size") > 1)).select(F.col("id").alias("ancestor"), "root", "pre", "size")
-    blocks = own.withColumn("part", F.explode(_dyadic(F.col("pre"), F.col("pre") + F.col("size")))).select("ancestor", "root", F.col("pre").alias("from_pre"), "part.level", "part.block")
-    blocks = cut(blocks)
+    own = nodes.where(F.col("pre").isNotNull()).select(F.col("id").alias("ancestor"), "root", "pre", "size")
+    blocks = cut(own.withColumn("part", F.explode(_dyadic(F.col("pre"), F.col("pre") + F.col("size")))).select("ancestor", "root", "part.level", "part.block"))
     levels = F.broadcast(blocks.select("level").distinct())  # 64 rows at most
-    points = nodes.where(F.col("pre").isNotNull()).select(F.col("id").alias("descendant"), "root", "pre").crossJoin(levels)
-    points = points.withColumn("block", F.expr("shiftright(pre, level)"))
-    pairs = blocks.join(points, ["root", "level", "block"])
-    return (pairs.where(F.col("pre") > F.col("from_pre")) if proper else pairs).select("ancestor", "descendant")
+    at = points.where(F.col("pre").isNotNull()).select(F.col("id").alias("point"), "root", "pre").crossJoin(levels)
+    return blocks.join(at.withColumn("block", F.expr("shiftright(pre, level)")), ["root", "level", "block"]).select("ancestor", "point")
 
 
 def _dyadic(low: Column, high: Column) -> Column:
@@ -239,11 +228,6 @@ def _dyadic(low: Column, high: Column) -> Column:
     return F.aggregate(levels, start, step, lambda s: s["out"])
 
 
-def _links_of(edges: DataFrame) -> DataFrame:
-    """Keyed distinct edges (id, parent) of cleaned edges."""
-    return edges.select(_key("child").alias("id"), _key("parent").alias("parent"))
-
-
 class Hierarchy:
     """The hierarchies of an edge table; see ``Hierarchy.of``. All members are DataFrames keyed by ``id``."""
 
@@ -273,9 +257,10 @@ class Hierarchy:
         """(id, cycle): every record that lies on a cycle and the smallest id of the cycle."""
         plain = self.forest.where("on_cycle").select("id", "cycle")
         knots = self.reach.where(F.col("scc").isNotNull()).select(F.col("id"), F.col("scc").alias("cycle")).distinct()
-        tops = self.forest.where(F.col("root").isNotNull()).select("id", F.col("root").alias("top"), "path")
+        tops = self.forest.where(F.col("root").isNotNull()).select("id", F.col("root").alias("top"), "pre")
         heads = _exits(self.edges, self.forest).join(knots.select(F.col("id").alias("from_id"), F.col("cycle").alias("c1")), "from_id").join(knots.select(F.col("id").alias("head"), F.col("cycle").alias("c2")), "head")
-        between = heads.where("c1 = c2").join(tops.select(F.col("id").alias("parent"), "path"), "parent").select(F.explode("path").alias("id"), F.col("c1").alias("cycle"))
+        ends = heads.where("c1 = c2").join(tops.select(F.col("id").alias("parent"), "pre", F.col("top").alias("root")), "parent").select(F.struct("parent", "c1").alias("id"), "root", "pre")
+        between = enclosing(self.forest.where(F.col("root").isNotNull()), ends).select(F.col("ancestor").alias("id"), F.col("point.c1").alias("cycle"))
         return plain.unionByName(knots).unionByName(between).distinct()
 
     def pairs(self) -> DataFrame:
@@ -287,24 +272,26 @@ class Hierarchy:
         """
         rings = self.forest.where("on_cycle").select("id", "cycle")
         bent = self.forest.where("cycle IS NOT NULL").select("id", F.when(~F.col("on_cycle"), F.col("parent")).alias("parent"), "cycle")
-        columns = ["id", "root", "pre", "size", "path", "cycle"]
+        columns = ["id", "root", "pre", "size", "cycle"]
         trees = self.forest.where("cycle IS NULL").select(*columns)
         if not bent.isEmpty():
             trees = trees.unionByName(nested_sets(bent).drop("cycle").join(bent.select("id", "cycle"), "id").select(*columns))
         trees = cut(trees)
         several = self.edges.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-        over = self.edges.join(several, "id", "left_semi").select(F.col("id").alias("b"), F.col("parent").alias("id")).join(trees.select("id", "path", "cycle"), "id")
+        over = self.edges.join(several, "id", "left_semi").select(F.col("id").alias("b"), F.col("parent").alias("id")).join(trees.select("id", "root", "pre", "cycle"), "id")
         ring = rings.select(F.col("id").alias("ancestor"), "cycle")
-        first = over.select("b", F.explode("path").alias("ancestor")).unionByName(over.join(ring, "cycle").select("b", "ancestor")).distinct()
+        inside = enclosing(trees, over.select(F.col("b").alias("id"), "root", "pre")).select(F.col("point").alias("b"), "ancestor")
+        first = inside.unionByName(over.join(ring, "cycle").select("b", "ancestor")).distinct()
         high = self.above.join(first, "b").select(F.col("a").alias("root"), "ancestor").unionByName(rings.withColumnRenamed("id", "root").join(ring, "cycle").select("root", "ancestor")).distinct()
         through = trees.select("root", F.col("id").alias("descendant")).join(cut(high), "root").select("ancestor", "descendant")
-        return range_pairs(trees).unionByName(through).distinct()
+        within = enclosing(trees.where("size > 1"), trees).where("ancestor <> point").select("ancestor", F.col("point").alias("descendant"))
+        return within.unionByName(through).distinct()
 
 
 def _exits(edges: DataFrame, forest: DataFrame) -> DataFrame:
     """(from_id, parent, head, low): links of records with several parents, led on to the top of the parent's tree, with the smallest id passed."""
     several = edges.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    top = forest.select(F.col("id").alias("parent"), F.coalesce("root", "cycle").alias("head"), F.array_min("path").alias("low"), F.col("cycle").isNotNull().alias("to_cycle"))
+    top = forest.select(F.col("id").alias("parent"), F.coalesce("root", "cycle").alias("head"), "low", F.col("cycle").isNotNull().alias("to_cycle"))
     return edges.join(several, "id", "left_semi").join(top, "parent").select(F.col("id").alias("from_id"), "parent", "head", "low", "to_cycle")
 
 
@@ -321,7 +308,7 @@ def _reach(edges: DataFrame, forest: DataFrame, many: DataFrame) -> tuple[DataFr
     while (now := closure.count()) != size:
         size = now
         more = closure.select("a", F.col("b").alias("m")).join(closure.select(F.col("a").alias("m"), F.col("b").alias("c")), "m").select("a", F.col("c").alias("b"))
-        closure = cut(closure.unionByName(more).distinct())
+        closure = cut(closure.unionByName(more).distinct(), closure)
     mutual = closure.join(closure.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
     knot = mutual.groupBy("a").agg(F.min("b").alias("knot"))  # smallest member among records with several parents
     knot = cut(knot)
@@ -335,62 +322,178 @@ def _reach(edges: DataFrame, forest: DataFrame, many: DataFrame) -> tuple[DataFr
     return cut(found.join(scc, "id", "left")), self_and_above
 
 
-def split_key(df: DataFrame, column: str) -> list[Column]:
-    """run_key, relation and the node id of a key column."""
-    run = F.substring_index(F.col(column), "\u0001", 1)
-    return [
-        F.when(F.substring(run, 1, 1) == "r", F.expr(f"substring(substring_index({column}, chr(1), 1), 2)")).alias("run_key"),
-        F.element_at(F.split(F.col(column), "\u0001"), 2).alias("relation"),
-    ]
+def _split(df: DataFrame, key: str) -> list[Column]:
+    """run_key and relation of a key column."""
+    run = F.substring_index(F.col(key), "\u0001", 1)
+    return [F.when(run.startswith("r"), F.expr(f"substring(substring_index({key}, chr(1), 1), 2)")).alias("run_key"), F.element_at(F.split(F.col(key), "\u0001"), 2).alias("relation")]
+
+
+def _by_size(record_edges: DataFrame, relations: tuple[str, ...], whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (grp, child, parent) of hierarchies of at most ``whole`` links, and keyed links (id, parent) of larger ones, if there are any."""
+    edges = clean_edges(record_edges, relations)
+    grp = F.concat(F.coalesce(F.concat(F.lit("r"), "run_key"), F.lit("n")), F.lit("\u0001"), F.col("relation"))
+    edges = cut(edges.select(grp.alias("grp"), "child", "parent"))
+    large = cut(edges.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("grp"))
+    if large.isEmpty():
+        release(large)
+        return edges, None
+    key = lambda c: F.concat("grp", F.lit("\u0001"), F.col(c))
+    rest = edges.join(large, "grp", "left_semi").select(key("child").alias("id"), key("parent").alias("parent"))
+    return edges.join(large, "grp", "left_anti"), rest
+
+
+def _solved(edges: DataFrame, emit: Callable[[NestedSets, np.ndarray, pa.Array, pa.Array, pa.Array], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``emit`` gives for the nested sets of whole hierarchies (grp, child, parent); hierarchies are gathered until they have ROWS_AT_ONCE links."""
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        grp = rows.column("grp").combine_chunks().dictionary_encode()
+        ids = pa.chunked_array([*rows.column("child").chunks, *rows.column("parent").chunks]).combine_chunks().dictionary_encode()
+        words = ids.dictionary
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[np.argsort(np.array(words.to_pylist(), dtype=object), kind="stable")] = np.arange(len(words))
+        names = words.take(pa.array(np.argsort(rank)))
+        code = rank[ids.indices.to_numpy()]
+        of = grp.indices.to_numpy().astype(np.int64)
+        nodes, number = np.unique(np.concatenate([of, of]) * len(words) + code, return_inverse=True)
+        group, name = nodes // len(words), names.take(pa.array(nodes % len(words)))
+        heads = [g.split("\u0001") for g in grp.dictionary.to_pylist()]
+        run = pa.array([h[0][1:] if h[0].startswith("r") else None for h in heads], type=pa.string())
+        relation = pa.array([h[1] for h in heads], type=pa.string())
+        yield from emit(NestedSets(len(nodes), number[: len(of)], number[len(of) :]), group, name, run, relation)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS_AT_ONCE:
+                rows = pa.Table.from_batches(held)
+                last = rows.column("grp")[-1]
+                split = pc.index(rows.column("grp"), last).as_py()
+                if split:
+                    yield from solve(rows.slice(0, split))
+                rest = rows.slice(split).combine_chunks()
+                held, size = rest.to_batches(), rest.num_rows if split else 0
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return edges.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, schema)
+
+
+def _emit_pairs(tops: bool, names: tuple[str, str]) -> Callable:
+    """Emits (run_key, relation, ancestor, descendant) of tops only, or of all nodes."""
+
+    def emit(sets: NestedSets, group: np.ndarray, name: pa.Array, run: pa.Array, relation: pa.Array) -> Iterator[pa.RecordBatch]:
+        for above, below in sets.descendants(sets.tops() if tops else range(sets.n)):
+            g = pa.array(group[below])
+            yield pa.RecordBatch.from_arrays([run.take(g), relation.take(g), name.take(pa.array(above)), name.take(pa.array(below))], names=["run_key", "relation", *names])
+
+    return emit
+
+
+FULL = "run_key string, relation string, node_id string, top_id string, depth bigint, path array<string>, pre bigint, last bigint, descendants bigint, cycle_id string"
+
+
+def _emit_nodes(sets: NestedSets, group: np.ndarray, name: pa.Array, run: pa.Array, relation: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Emits a row of ``full_hierarchy`` for each node."""
+    who, low, high = sets.ranges(range(sets.n))
+    below = np.bincount(who, weights=high - low, minlength=sets.n).astype(np.int64)
+    pos, size, top = (np.array(x, dtype=np.int64) for x in (sets.pos, sets.size, sets.top))
+    pre, cycle, depth = pos - pos[top], np.array(sets.cycle), np.array(sets.depth, dtype=np.int64)
+    ends = np.cumsum(depth + 1)
+    start = 0
+    while start < sets.n:  # as many nodes at once as their paths allow
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ROWS_AT_ONCE, side="right")))
+        at = np.arange(start, end)
+        steps = [sets.path(v) for v in range(start, end)]
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in steps])])
+        path = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), name.take(pa.array(np.concatenate(steps), type=pa.int64())))
+        g = pa.array(group[at])
+        ring = name.take(pa.array(cycle[at], type=pa.int64(), mask=cycle[at] < 0))
+        yield pa.RecordBatch.from_arrays(
+            [run.take(g), relation.take(g), name.take(pa.array(at)), name.take(pa.array(top[at])), pa.array(depth[at]), path, pa.array(pre[at]), pa.array(pre[at] + size[at] - 1), pa.array(below[at]), ring],
+            names=[c.split()[0] for c in FULL.split(", ")],
+        )
+        start = end
 
 
-def roots_reached(record_edges: DataFrame) -> DataFrame:
+def roots_reached(record_edges: DataFrame, relations: tuple[str, ...] = ("derived_from", "parent"), whole: int = WHOLE) -> DataFrame:
     """(run_key, relation, node_id, root_id): each record with a parent and every root or cycle it reaches.
 
-    Handles null and blank ids, uneven spelling, repeated edges, several parents, self-parents and
-    cycles of any size; an empty table gives no rows.
+    These are the ranges of the roots. Handles null and blank ids, uneven spelling, repeated edges,
+    several parents, self-parents and cycles of any size; an empty table gives no rows.
     """
-    found = Hierarchy.of(_links_of(clean_edges(record_edges))).roots()
-    return found.select(*split_key(found, "id"), _node_of(F.col("id")).alias("node_id"), _node_of(F.col("root_id")).alias("root_id"))
+    small, large = _by_size(record_edges, relations, whole)
+    columns = ("run_key", "relation", "node_id", "root_id")
+    found = _solved(small, _emit_pairs(True, ("root_id", "node_id")), "run_key string, relation string, root_id string, node_id string").select(*columns)
+    if large is None:
+        return found
+    more = Hierarchy.of(large).roots()
+    return found.unionByName(more.select(*_split(more, "id"), _node_of(F.col("id")).alias("node_id"), _node_of(F.col("root_id")).alias("root_id")))
 
 
-def spanning_forest(whole: Hierarchy) -> DataFrame:
-    """Keyed nested sets of the hierarchies in which each record keeps its smallest parent; members of cycles stand as tops."""
-    edges = whole.edges
-    cycles = cut(whole.cycles())
-    first = edges.groupBy("id").agg(F.min("parent").alias("parent"))
-    nodes = edges.select("id").unionByName(edges.select(F.col("parent").alias("id"))).distinct()
-    links = nodes.join(first, "id", "left").join(cycles, "id", "left").select("id", F.when(F.col("cycle").isNull(), F.col("parent")).alias("parent"))
-    return cut(nested_sets(links).drop("cycle", "on_cycle").join(cycles, "id", "left"))
+def descendant_pairs(record_edges: DataFrame, relations: tuple[str, ...] = ("derived_from", "parent"), whole: int = WHOLE) -> DataFrame:
+    """(run_key, relation, ancestor_id, node_id): every descendant of every record, over all parents and through cycles; a record on a cycle is its own."""
+    small, large = _by_size(record_edges, relations, whole)
+    found = _solved(small, _emit_pairs(False, ("ancestor_id", "node_id")), "run_key string, relation string, ancestor_id string, node_id string")
+    if large is None:
+        return found
+    more = Hierarchy.of(large).pairs()
+    return found.unionByName(more.select(*_split(more, "ancestor"), _node_of(F.col("ancestor")).alias("ancestor_id"), _node_of(F.col("descendant")).alias("node_id")))
 
 
-def full_hierarchy(record_edges: DataFrame) -> DataFrame:
-    """One row for each record: path from its top, depth, top, nested-set range, number of descendants, cycle.
+def full_hierarchy(record_edges: DataFrame, relations: tuple[str, ...] = ("derived_from", "parent"), whole: int = WHOLE) -> DataFrame:
+    """One row for each record: path from its top (a list of ids), depth, top, nested-set range, number of descendants, cycle.
 
     A record with several parents is placed below the smallest of them (``roots_reached`` has all of
     its roots); records on a cycle stand as tops of their own and name the cycle. Range, path and depth
     are those of this placing; ``descendants`` counts the rows of ``descendant_pairs``, over all parents.
     """
-    whole = Hierarchy.of(_links_of(clean_edges(record_edges)))
-    counts = whole.pairs().groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("below"))
-    forest = spanning_forest(whole).join(counts, "id", "left")
-    return forest.select(
-        *split_key(forest, "id"),
+    small, large = _by_size(record_edges, relations, whole)
+    found = _solved(small, _emit_nodes, FULL)
+    if large is None:
+        return found
+    hierarchy = Hierarchy.of(large)
+    edges, cycles = hierarchy.edges, cut(hierarchy.cycles())
+    first = edges.groupBy("id").agg(F.min("parent").alias("parent"))
+    nodes = edges.select("id").unionByName(edges.select(F.col("parent").alias("id"))).distinct()
+    links = cut(nodes.join(first, "id", "left").join(cycles, "id", "left").select("id", F.when(F.col("cycle").isNull(), F.col("parent")).alias("parent")))
+    counts = hierarchy.pairs().groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("below"))
+    forest = nested_sets(links).drop("cycle", "on_cycle").join(cycles, "id", "left").join(paths(links), "id").join(counts, "id", "left")
+    more = forest.select(
+        *_split(forest, "id"),
         _node_of(F.col("id")).alias("node_id"),
         _node_of(F.col("root")).alias("top_id"),
         "depth",
-        F.array_join(F.transform("path", lambda x: _node_of(x)), "/").alias("path"),
+        F.transform("path", lambda x: _node_of(x)).alias("path"),
         "pre",
         (F.col("pre") + F.col("size") - 1).alias("last"),
         F.coalesce("below", F.lit(0)).alias("descendants"),
         _node_of(F.col("cycle")).alias("cycle_id"),
     )
+    return found.unionByName(more)
+
+
+def cycle_records(record_edges: DataFrame, relations: tuple[str, ...] = ("derived_from", "parent"), whole: int = WHOLE) -> DataFrame:
+    """(run_key, relation, node_id, cycle_id): every record that lies on a cycle, and the smallest id of the cycle."""
 
+    def emit(sets: NestedSets, group: np.ndarray, name: pa.Array, run: pa.Array, relation: pa.Array) -> Iterator[pa.RecordBatch]:
+        cycle = np.array(sets.cycle)
+        at = np.flatnonzero(cycle >= 0)
+        g = pa.array(group[at])
+        yield pa.RecordBatch.from_arrays([run.take(g), relation.take(g), name.take(pa.array(at)), name.take(pa.array(cycle[at]))], names=["run_key", "relation", "node_id", "cycle_id"])
 
-def descendant_pairs(record_edges: DataFrame) -> DataFrame:
-    """(run_key, relation, ancestor_id, node_id): every descendant of every record, over all parents and through cycles."""
-    pairs = Hierarchy.of(_links_of(clean_edges(record_edges))).pairs()
-    return pairs.select(*split_key(pairs, "ancestor"), _node_of(F.col("ancestor")).alias("ancestor_id"), _node_of(F.col("descendant")).alias("node_id"))
+    small, large = _by_size(record_edges, relations, whole)
+    found = _solved(small, emit, "run_key string, relation string, node_id string, cycle_id string")
+    if large is None:
+        return found
+    more = Hierarchy.of(large).cycles()
+    return found.unionByName(more.select(*_split(more, "id"), _node_of(F.col("id")).alias("node_id"), _node_of(F.col("cycle")).alias("cycle_id")))
 
 
-EMPTY_EDGES = T.StructType([T.StructField(c, T.StringType()) for c in ("run_key", "relation", "source_id", "target_id")])
+def ancestry(record_edges: DataFrame, wanted: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(run_key, relation, node_id, ancestor_id): all records above the ``wanted`` ones (run_key, node_id), over all parents."""
+    pairs = descendant_pairs(record_edges, whole=whole)
+    keys = wanted.select(F.col("run_key").alias("__r"), F.col("node_id").alias("__n")).distinct()
+    return pairs.join(keys, pairs.run_key.eqNullSafe(keys["__r"]) & (pairs.node_id == keys["__n"]), "left_semi").select("run_key", "relation", "node_id", "ancestor_id")

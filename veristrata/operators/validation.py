@@ -103,9 +103,9 @@ def subset_violations(df: DataFrame, table: str, key: str, named: Column, availa
 
 def cycles(record_edges: DataFrame) -> DataFrame:
     """Every record on a cycle of a hierarchy (see ``operators.hierarchy``); detail: the cycle's smallest id."""
-    from veristrata.operators.hierarchy import full_hierarchy
+    from veristrata.operators.hierarchy import cycle_records
 
-    rows = full_hierarchy(record_edges).where("cycle_id IS NOT NULL")
+    rows = cycle_records(record_edges)
     return rows.select(F.when(F.col("relation") == "parent", "TRACE_CYCLE").otherwise("SOURCE_CYCLE").alias("code"), F.col("relation").alias("table"), F.concat_ws("/", "run_key", "node_id").alias("record"), F.col("cycle_id").alias("detail"))
 
 

@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made_here: dict[str, str] = {}
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
-
-    ``spark.checkpoint.dir`` wins; only where neither that setting nor a folder set by the
-    application exists (tests, a laptop) a temporary folder is made.
-    """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        wanted = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veristrata-checkpoint-")
-        context.setCheckpointDir(wanted)
-        current = context.getCheckpointDir()
-    return current
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of the session for tables between the rounds of a plan.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and return it without its lineage.
-
-    A checkpointed frame keeps the estimated size of its plan; over the rounds of an iterative plan
-    the estimates of joins are multiplied until planning takes longer than running. The frame is
-    therefore rebuilt on the checkpointed rows, and adaptive execution measures the real sizes.
+    ``spark.checkpoint.dir`` names it. Only where that is unset and the master is local (tests, a
+    laptop) a temporary folder is made, which is removed when Python ends; a cluster without the
+    setting is refused, as a folder of one machine is not seen by the others.
+    """
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if wanted:
+        return wanted.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if "local" not in _made_here:
+        _made_here["local"] = tempfile.mkdtemp(prefix="veristrata-")
+        atexit.register(shutil.rmtree, _made_here["local"], ignore_errors=True)
+    return "file://" + _made_here["local"]
+
+
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """``df``, written as a table of the shared folder and read back: without its lineage, with its real size.
+
+    A lost executor costs at most the reading of the table. ``spent`` are results of earlier cuts
+    that nothing but ``df`` still reads; their files are removed once ``df`` is written.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    kept = df.checkpoint(eager=True)
-    rows = kept._jdf.queryExecution().toRdd()
-    plain = spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False)
-    return DataFrame(plain, spark)
+    path = f"{shared_folder(spark)}/cut-{uuid4().hex}"
+    df.write.parquet(path)
+    release(*spent)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def release(*spent: DataFrame) -> None:
+    """Remove the tables of cuts that nothing reads any more; other frames are left alone."""
+    for df in spent:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._cut_path = None
