@@ -1,3 +1,4 @@
+import re
 import json
 import random
 
@@ -77,20 +78,33 @@ def test_typed_edges(spark):
     assert ("Q1", "searches", "X1", "covered_by:breadth", True) in got and ("T1", "claims", "C1", "parent", True) in got and ("T1", "trace", "T1", "parent", True) in got
 
 
-@pytest.mark.parametrize("text", ["", "plain words with blanks " * 40, "한글😀 " * 100, "x" * 1500, " " * 400])
-def test_windows_cover_the_text(text):
-    count = lambda s: len(s) + 2
-    windows = semantic.windows_of(text, count, 100)
+def characters(special=2, each=1):
+    return (lambda s: [i for i in range(1, len(s) + 1) for _ in range(each)]), special
+
+
+def words(s):
+    return [m.end() for m in re.finditer(r"\s*\S+|\s+", s)]
+
+
+@pytest.mark.parametrize("tokenizer", [characters(), characters(2, 3), (words, 1)])
+@pytest.mark.parametrize("text", ["", "plain words with blanks " * 40, "한글😀 " * 100, "x" * 1500, " " * 400, "a\nb " * 300])
+def test_windows_cover_the_text(text, tokenizer):
+    windows = semantic.windows_of(text, tokenizer, 100)
+    ends = list(tokenizer[0](text))
+    spots = sorted(set(ends))
+    before = dict(zip(spots, [0, *spots]))  # where the tokens that end here begin
     assert windows[0][0] == 0 and windows[-1][1] == len(text) and all(t <= 100 for _, _, t in windows)
+    for a, b, t in windows:  # tokens within the window, one that its end cuts included
+        assert t == tokenizer[1] + sum(1 for e in ends if a < e and before[e] < b)
     for (a, b, _), (c, d, _) in zip(windows, windows[1:]):
-        assert a < c <= b < d and b - c <= 16
+        assert a < c <= b < d and sum(1 for e in ends if c < e <= b) <= 16
 
 
 def test_windows_refuse_impossible_budgets():
     with pytest.raises(ValueError):
-        semantic.windows_of("x", lambda s: 5 * len(s) + 1, 4)
+        semantic.windows_of("x", characters(1, 5), 4)
     with pytest.raises(ValueError):
-        semantic.windows_of("x", lambda s: 9, 4)
+        semantic.windows_of("x", characters(9), 4)
 
 
 def test_damaged_spans_are_found(spark):
@@ -116,7 +130,8 @@ def test_readiness_and_reuse(spark):
     got = {r.run_key: (r.total, r.ready, r.status) for r in semantic.readiness(texts, vectors, "m", "v", 2).collect()}
     assert got == {"r": (3, 1, "pending"), "q": (1, 0, "pending")}
     old = texts.where("text_id IN ('t1', 't3')")
-    assert [(r.text_id, r.from_text_id) for r in semantic.reusable_vectors(texts, old, vectors).collect()] == [("t2", "t1")]
+    assert [(r.text_id, r.from_text_id) for r in semantic.reusable_vectors(texts, old, vectors, 2).collect()] == [("t2", "t1")]
+    assert semantic.reusable_vectors(texts, old, vectors, 3).isEmpty()
 
 
 def test_provenance_counts_independent_origins(spark):

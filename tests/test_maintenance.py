@@ -80,7 +80,7 @@ def test_pages_of_blobs(spark):
         "path string, content binary, mime string",
     )
     got = {r.path: r for r in documents.pages(blobs).collect()}
-    assert got["h"].text.split() == ["A", "&", "B", "C"] and got["x"].text == "F\n\nBi" and got["t"].text == "plain"
+    assert got["h"].text.split() == ["A", "&", "B", "C"] and got["x"].text == "F\n\nB i" and got["t"].text == "plain"
     assert got["p"].warning == "invalid_content" and got["q"].format == "pdf"
     text, rest = documents.split_evidence(spark.createDataFrame([("a", bytearray(b"fine")), ("b", bytearray(b"\xff\xfe")), ("c", bytearray(b"x\x00y"))], "path string, content binary"))
     assert [r.path for r in text.collect()] == ["a"] and sorted(r.path for r in rest.collect()) == ["b", "c"]
@@ -115,3 +115,52 @@ def test_windows_of_a_stream(spark, tmp_path):
     counts = refresh.window_counts(spark.readStream.schema(rows.schema).parquet(source), "ts", ["k"], "1 hour", "10 minutes")
     counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [(r.k, r.n) for r in spark.read.parquet(out).collect()] == [("a", 2)]
+
+
+HTML = {
+    "<p>a</p><p>b</p>": "\na\nb",
+    "caf&eacute; &#8212; &#x41; &mdash; &hellip; &amp;lt;": "café — A — … &lt;",
+    "x<script>var a = '<p>';": "x",
+    "x<style>p {}": "x",
+    "x<!-- a > b <script> -->y": "xy",
+    'x<a title="1 > 0" href=\'>\'>y</a>z': "xyz",
+    "a<br>b<BR/>c<li class='q'>d": "a\nb\nc\nd",
+    "<pre>keep</pre><title>T</title>": "keepT",
+    "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
+    "<SCRIPT src=x>n</Script >after<noscript>n</noscript>": "after",
+    "<!doctype html><?xml version='1.0'?>t": "t",
+    "": "",
+}
+
+
+def test_html_text(spark):
+    rows = spark.createDataFrame([*HTML.items(), (None, None)], "page string, text string")
+    assert [(r.page, r.got) for r in rows.select("page", "text", documents.html_text(F.col("page")).alias("got")).collect() if r.got != r.text] == []
+
+
+def test_xml_text(spark):
+    rows = {"<a><p>one</p><p>two</p></a>": "one two", "<r xmlns='n'><front>F<b>g</b></front><x>no</x><body>B</body></r>": "F g\n\nB", "<a>": None, "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>": None}
+    got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", documents.xml_text("x").alias("t")).collect()
+    assert {r.x: r.t for r in got} == rows
+
+
+def test_tables_between_rounds(spark):
+    from pathlib import Path
+
+    from veristrata.plans.lineage import cut, release, shared_folder
+
+    one = cut(spark.range(5))
+    path = Path(one._cut_path.removeprefix("file://"))
+    two = cut(one.selectExpr("id * 2 AS id"), one)
+    assert not path.exists() and sorted(r.id for r in two.collect()) == [0, 2, 4, 6, 8]
+    kept = Path(two._cut_path.removeprefix("file://"))
+    release(two, spark.range(1))
+    assert not kept.exists()
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Cluster)
+    Cluster.conf.get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs://all/x/"}.get(key, default))
+    assert shared_folder(Cluster) == "hdfs://all/x"

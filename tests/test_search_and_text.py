@@ -1,4 +1,7 @@
+import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,12 +57,12 @@ def test_snippet_is_cut_with_ellipsis(spark):
 
 @pytest.mark.parametrize("text", ["", "   \t ", "short", "a" * 5000, "word " * 1000, "line one. " * 400, "한글 " * 900 + "😀"])
 def test_chunks_cover_and_overlap(text):
-    chunks = T.chunk_spans(text)
+    chunks = T.chunks_of(text)
     assert all(0 < len(c) <= 1400 and c == c.strip() for c in chunks)
     assert bool(chunks) == bool(text.strip())
     if chunks:
         assert chunks[0][:5] == text.strip()[:5] and chunks[-1][-5:] == text.strip()[-5:]
-    assert T.chunk_spans(None) == []
+    assert T.chunks_of(None) == []
 
 
 def test_identifiers(spark):
@@ -88,3 +91,57 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "v array<double>, d int")
     assert [r.p for r in df.select(V.vector_problem(F.col("v"), F.col("d")).alias("p")).collect()] == [None, "not_unit", "dimension", "missing", "not_finite", "not_finite"]
     assert one(spark, V.similarity(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(1.0)))) == 1.0
+
+
+@pytest.mark.parametrize(
+    "raw", ['{"a":1} x', '{"a":1}{"b":2}', "1,2", "1], [2", '1, "b": 2', "1} x", "1] x", "", " ", "null x", '{"a":1,"a":2}', "NaN", "[1", "}", "]", '{"v":1}, {"v":2}', None]
+)
+def test_what_is_no_json(spark, raw):
+    assert spark.createDataFrame([(raw,)], "r string").select(R.strict_json(F.col("r")).isNull()).first()[0]
+
+
+@pytest.mark.parametrize("raw", ['{"a":1}', ' {"a": [1, {"b": null}]}\n', "null", "true", "-1.5e3", '"x, y"', "[]", "{}", '["]", "}"]', '{"v": {"v": 1}}'])
+def test_what_is_json(spark, raw):
+    got = spark.createDataFrame([(raw,)], "r string").select(F.to_json(R.strict_json(F.col("r")))).first()[0]
+    assert json.loads(got) == json.loads(raw)
+
+
+def test_texts_of_json_follow_the_file():
+    rng = random.Random(3)
+
+    def make(depth):
+        kind = rng.randrange(6 if depth else 3)
+        if kind == 3:
+            return [make(depth - 1) for _ in range(rng.randrange(4))]
+        if kind > 3:
+            return {rng.choice(["a", "b", "query_sha256", "input_digest", 'q"{', "x:y"]): make(depth - 1) for _ in range(rng.randrange(4))}
+        return rng.choice([1, None, True, "t", ' a "b" ', "{[:", "\\", "ü\n", ""])
+
+    def walk(v):
+        if isinstance(v, str):
+            return [v]
+        if isinstance(v, list):
+            return [t for x in v for t in walk(x)]
+        return [t for k, x in v.items() if k not in R.HASH_KEYS for t in walk(x)] if isinstance(v, dict) else []
+
+    for _ in range(3000):
+        value = make(4)
+        assert list(R.texts_in(json.dumps(value, ensure_ascii=rng.random() < 0.5))) == walk(value), value
+
+
+def test_chunks_equal_the_rule_applied_place_by_place():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["word ", "a. ", "\n", "x" * rng.randrange(1, 30), ".", "  ", "\t"]) for _ in range(rng.randrange(60)))
+        whole = re.sub(r"[ \t]+", " ", text).strip()
+        want, at = [], 0
+        while whole and at < len(whole):
+            end = min(len(whole), at + 40)
+            if end < len(whole):
+                places = [c for c in range(at + 21, end + 1) if whole[c - 1] == "\n" or (c < end and whole[c - 1 : c + 1] == ". ")]
+                end = max(places, default=end)
+            want.append(whole[at:end].strip())
+            if end == len(whole):
+                break
+            at = max(at + 1, end - 7)
+        assert T.chunks_of(text, 40, 7) == [w for w in want if w]

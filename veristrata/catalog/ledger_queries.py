@@ -248,10 +248,11 @@ old AS ({_STATE} AND observed_at < TIMESTAMP '2024-12-01' GROUP BY ALL), new AS
 df AS (SELECT coalesce(o.run_key, n.run_key) AS run_key, coalesce(o.candidate_id, n.candidate_id) AS candidate_id, CASE WHEN o.candidate_id IS NULL THEN 'added' WHEN n.candidate_id IS NULL THEN 'removed'
   WHEN o.r IS NOT DISTINCT FROM n.r THEN 'unchanged' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.candidate_id = n.candidate_id AND o.run_key IS NOT DISTINCT FROM n.run_key)"""
 _UNKNOWN = "SELECT DISTINCT 'UNKNOWN_REF' AS code, 'documents' AS \"table\", global_id AS record, work_key AS detail FROM documents WHERE work_key IS NOT NULL AND work_key NOT IN (SELECT alias FROM aliases WHERE alias IS NOT NULL UNION ALL SELECT work_key FROM aliases WHERE work_key IS NOT NULL)"
-_COVER = """
+_COVER = r"""
 SELECT 'COVERAGE_MISSING' AS code, 'questions' AS "table", k AS record, lens AS detail FROM
- (SELECT DISTINCT concat_ws('/', run_key, source_id) AS k FROM record_edges WHERE relation LIKE 'covered_by:%') q, (VALUES ('breadth'), ('primary'), ('counter'), ('applicability')) l(lens)
-WHERE NOT EXISTS (SELECT 1 FROM record_edges e WHERE e.relation = 'covered_by:' || lens AND concat_ws('/', e.run_key, e.source_id) = k)"""
+ (SELECT DISTINCT concat_ws('/', run_key, regexp_replace(source_id, '^\s+|\s+$', '', 'g')) AS k FROM record_edges WHERE source_kind = 'questions' AND length(regexp_replace(source_id, '^\s+|\s+$', '', 'g')) > 0) q,
+ (VALUES ('breadth'), ('primary'), ('counter'), ('applicability')) l(lens)
+WHERE NOT EXISTS (SELECT 1 FROM record_edges e WHERE e.source_kind = 'questions' AND lower(regexp_replace(e.relation, '^\s+|\s+$', '', 'g')) = 'covered_by:' || lens AND concat_ws('/', e.run_key, regexp_replace(e.source_id, '^\s+|\s+$', '', 'g')) = k)"""
 _REQ = "SELECT 'REQUIRED_TEXT' AS code, 'documents' AS \"table\", doc_id::varchar AS record, '{0}' AS detail FROM documents WHERE " + _BLANK
 _LOC = r"regexp_extract_all(evidence, '\bpage:\d+\b|\bdocument\b')"
 

@@ -34,13 +34,14 @@ def _scoped(spark: SparkSession, d: str) -> DataFrame:
     return semantic.max_similarity(windows, asked, limit=50, key="object_id", eligible=runs)
 
 
-def _char_counter():
-    return lambda text: len(text) + 2
+def _characters() -> semantic.Tokenizer:
+    """Each character is a token, and two frame a window."""
+    return (lambda text: range(1, len(text) + 1)), 2
 
 
 def _token_windows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return semantic.token_windows(docs, ["doc_id"], _char_counter, 512)
+    return semantic.token_windows(docs, ["doc_id"], _characters, 512)
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ def _new_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _reuse(spark: SparkSession, d: str) -> DataFrame:
     new, old = _new_texts(spark, d)
-    return semantic.reusable_vectors(new, old, table(spark, d, "text_embeddings"))
+    return semantic.reusable_vectors(new, old, table(spark, d, "text_embeddings"), VERSION)
 
 
 _PROBLEM = """CASE WHEN vector IS NULL OR dimension IS NULL THEN 'missing' WHEN len(vector) <> dimension THEN 'dimension'
@@ -119,7 +120,7 @@ ORACLE = {
     "embedding_not_configured": f"WITH {_TEXTS} SELECT run_key, count(*) AS total, 0::bigint AS ready, count(*) AS pending, 'not_configured' AS status FROM t GROUP BY run_key",
     "vector_reuse": f"""WITH {_TEXTS}, tk AS (SELECT * REPLACE (kind AS run_key) FROM t), old AS (SELECT * FROM tk WHERE text_id IN (SELECT text_id FROM texts WHERE synced_at < TIMESTAMP '2024-12-01')),
 w AS (SELECT DISTINCT run_key, text_id, text_sha256 FROM tk WHERE text_id NOT IN (SELECT text_id FROM old)),
-st AS (SELECT DISTINCT o.run_key, o.text_sha256, e.backend, e.model, e.revision, o.text_id FROM old o JOIN text_embeddings e ON e.text_id = o.text_id AND e.text_sha256 = o.text_sha256 WHERE e.vector IS NOT NULL),
+st AS (SELECT DISTINCT o.run_key, o.text_sha256, e.backend, e.model, e.revision, o.text_id FROM old o JOIN text_embeddings e ON e.text_id = o.text_id AND e.text_sha256 = o.text_sha256 WHERE e.vector IS NOT NULL AND e.chunk_version = {VERSION}),
 dn AS (SELECT run_key, text_sha256, backend, model, revision, min(text_id) AS from_text_id FROM st GROUP BY ALL)
 SELECT w.text_id, from_text_id, backend, model, revision FROM w JOIN dn ON w.run_key = dn.run_key AND w.text_sha256 = dn.text_sha256""",
     "window_snippets": "SELECT doc_id, substr(text, 101, 500) AS snippet FROM documents WHERE text IS NOT NULL",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,13 +11,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys whose values are fingerprints and no prose.
+#: Keys whose values are fingerprints and no prose.
 HASH_KEYS = frozenset({"evidence_sha256", "input_digest", "query_sha256"})
 
 
 def strict_json(column: Column) -> Column:
-    """The value as a VARIANT; null if it is no valid JSON (also duplicate keys, NaN and empty text)."""
-    return F.try_parse_json(column)
+    """The value as a VARIANT; null if it is no valid JSON (also duplicate keys, NaN, empty text and text behind the value).
+
+    The parser of VARIANT ignores what follows a value. The text is therefore read as the content of
+    an array and of an object field: what closes one of them too early is an error in the other, and
+    a second value shows up as a second element.
+    """
+    items = F.try_parse_json(F.concat(F.lit("["), column, F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), column, F.lit("}")))
+    single = items.isNotNull() & field.isNotNull() & F.try_variant_get(items, "$[1]", "variant").isNull()
+    return F.when(single, F.try_variant_get(field, "$.v", "variant"))
 
 
 def is_strict_object(column: Column) -> Column:
@@ -24,17 +33,34 @@ def is_strict_object(column: Column) -> Column:
     return F.coalesce(F.schema_of_variant(strict_json(column)).startswith("OBJECT"), F.lit(False))
 
 
-def strings_in(value) -> Iterator[str]:
-    """The texts of a parsed JSON value in the order of the file."""
-    waiting = [value]
-    while waiting:
-        match waiting.pop():
-            case str() as text:
-                yield text
-            case list() as items:
-                waiting += reversed(items)
-            case dict() as fields:
-                waiting += [fields[name] for name in reversed(fields) if name not in HASH_KEYS]
+LEXEMES = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}:,]')
+
+
+def texts_in(raw: str) -> Iterator[str]:
+    """The texts of valid JSON as they follow one another, without keys and without what stands below a key of HASH_KEYS.
+
+    The text is scanned once for strings and brackets; no value is built but the strings themselves.
+    """
+    depth, muted, last = 0, None, None
+    for lexeme in LEXEMES.findall(raw):
+        if lexeme == ":":
+            if muted is None and json.loads(last) in HASH_KEYS:
+                muted = depth
+            last = None
+            continue
+        if last is not None and muted is None:  # a string that no colon followed is a value
+            yield json.loads(last)
+        last = None
+        if lexeme[0] == '"':
+            last = lexeme
+        elif lexeme in "[{":
+            depth += 1
+        else:
+            depth -= lexeme in "]}"
+            if muted is not None and (depth < muted or lexeme == "," and depth == muted):
+                muted = None
+    if last is not None:
+        yield json.loads(last)
 
 
 @F.pandas_udf(T.StringType())
@@ -48,9 +74,10 @@ def text_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if raw is None:
             return None
         try:
-            return "\n".join(filter(None, map(str.strip, strings_in(json.loads(raw)))))
+            json.loads(raw)
         except ValueError:
             return None
+        return "\n".join(text for found in texts_in(raw) if (text := found.strip()))
 
     for series in values:
         yield series.map(one)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,29 +67,40 @@ def query_tokens(spark, query: str) -> list[list[str]]:
     return phrases
 
 
-def chunk_spans(text: str | None, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[str]:
-    """Chunks of at most ``size`` characters that overlap by about ``overlap``.
+def _latest(places: np.ndarray, size: int) -> np.ndarray:
+    """For each position 0..size the last of ``places`` up to it, or 0."""
+    out = np.zeros(size + 1, dtype=np.int64)
+    out[places] = places
+    return np.maximum.accumulate(out)
 
-    Blanks and tabs are collapsed first. A chunk that is not the last ends behind the last line
-    break or ``". "`` of its second half, if there is one. Chunks are stripped, empty ones left out.
-    """
-    whole = BLANK_RUN.sub(" ", text or "").strip()
-    lines = [m.end() for m in re.finditer("\n", whole)]
-    stops = [m.start() + 1 for m in re.finditer(r"\. ", whole)]
 
-    def last(cuts: list[int], above: int, upto: int) -> int:
-        k = bisect_right(cuts, upto)
-        return cuts[k - 1] if k and cuts[k - 1] > above else 0
+def chunk_table(text: str, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every position of ``text`` where a chunk that begins there ends, and where the next one begins.
 
-    spans: list[tuple[int, int]] = []
-    begin = 0
-    while begin + size < len(whole):
-        top, half = begin + size, begin + size // 2
-        end = max(last(lines, half, top), last(stops, half, top - 1)) or top
-        spans.append((begin, end))
-        begin = max(begin, end - overlap - 1) + 1
-    spans.append((begin, len(whole)))
-    return [piece for a, b in spans if (piece := whole[a:b].strip())]
+    A chunk ends behind the last line break or the last ``". "`` of its second half, else after
+    ``size`` characters, and the next one reaches ``overlap`` characters back.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = len(code)
+    line = _latest(np.flatnonzero(code == 10) + 1, n)
+    stop = _latest(np.flatnonzero((code[:-1] == 46) & (code[1:] == 32)) + 1, n)
+    begin = np.arange(n)
+    full = np.minimum(begin + size, n)
+    natural = np.maximum(line[full], stop[full - 1])
+    end = np.where(full == n, n, np.where(natural > begin + size // 2, natural, full))
+    return end, np.maximum(begin + 1, end - overlap)
+
+
+def chunks_of(text: str | None, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    """The chunks of a text whose runs of blanks and tabs became one blank; stripped, without empty ones."""
+    whole = BLANK_RUN.sub(" ", text or "").strip()
+    if not whole:
+        return []
+    end, onward = chunk_table(whole, size, overlap)
+    begins = [0]
+    while end[begins[-1]] < len(whole):
+        begins.append(int(onward[begins[-1]]))
+    return [piece for b in begins if (piece := whole[b : end[b]].strip())]
 
 
 def chunked(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -98,7 +109,7 @@ def chunked(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     @F.pandas_udf("array<string>")
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            yield series.map(chunk_spans)
+            yield series.map(chunks_of)
 
     return df.select(*keys, F.posexplode(cut(F.col(text))).alias("ordinal", "text"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,61 +15,61 @@ from veristrata.functions.vectors import similarity, vector_problem
 OVERLAP_TOKENS = 16
 
 
-def windows_of(text: str, count: Callable[[str], int], maximum: int, overlap: int = OVERLAP_TOKENS) -> list[tuple[int, int, int]]:
+#: What a text consists of for a model: where each of its tokens ends, in characters, and how many tokens the model adds.
+Tokenizer = tuple[Callable[[str], Sequence[int]], int]
+
+
+def windows_of(text: str, tokenizer: Tokenizer, maximum: int, overlap: int = OVERLAP_TOKENS) -> list[tuple[int, int, int]]:
     """Windows (start, end, tokens) that cover ``text``, none of more than ``maximum`` tokens.
 
-    A window takes as many characters as fit, and ends behind the last blank or line break of its
-    second half if there is one. The next begins so that it repeats at most ``overlap`` tokens, and
-    at most a quarter of the budget. Counts need not grow evenly with the text: every window is
-    counted itself. An empty text has the window (0, 0). A character that exceeds the budget is an error.
+    The text is tokenized once; windows are runs of its tokens. A window takes as many tokens as fit
+    and ends behind the last blank or line break of its second half, if there is one. The next one
+    repeats at most ``overlap`` tokens, and at most a quarter of the budget. An empty text has the
+    window (0, 0). A character of more tokens than the budget has room for is an error.
     """
-    special = count("")
-    if maximum < 2 or special > maximum or overlap < 0:
+    tokens_of, special = tokenizer
+    room = maximum - special
+    if maximum < 2 or room < 0 or overlap < 0:
         raise ValueError("no room for tokens")
     if not text:
         return [(0, 0, special)]
-    overlap = min(overlap, (maximum - special) // 4)
-    n, start, out = len(text), 0, []
-    while True:
-        end = n if count(text[start:]) <= maximum else _longest(text, start, count, maximum)
-        if end < n:
-            middle = start + (end - start) // 2
-            for mark in sorted((text.rfind(" ", middle, end), text.rfind("\n", middle, end)), reverse=True):
-                if mark >= middle and mark > start and count(text[start : mark + 1]) <= maximum:
-                    end = mark + 1
-                    break
-        out.append((start, end, count(text[start:end])))
-        if end == n:
-            return out
-        repeats = range(start + 1, end)
-        start += 1 + bisect_left(repeats, True, key=lambda p: count(text[p:end]) - special <= overlap)
-
-
-def _longest(text: str, start: int, count: Callable[[str], int], maximum: int) -> int:
-    """End of the longest slice from ``start`` that a doubling and halving search finds within the budget."""
-    step, good = 1, start
-    while good + step <= len(text) and count(text[start : good + step]) <= maximum:
-        good, step = good + step, step * 2
-    while step:
-        if good + step <= len(text) and count(text[start : good + step]) <= maximum:
-            good += step
-        step //= 2
-    if good == start:
+    ends = np.asarray(tokens_of(text), dtype=np.int64)
+    m, n = len(ends), len(text)
+    starts = np.concatenate([[0], ends[:-1]])
+    first = np.searchsorted(ends, starts, side="right")  # tokens that share a character stay together
+    upto = np.minimum(first + room, m)
+    far = np.where(upto > 0, ends[np.maximum(upto, 1) - 1], 0)
+    torn = (upto < m) & (ends[np.minimum(upto, m - 1)] == far)
+    shared = np.searchsorted(ends, far, side="left")
+    far = np.where(torn, np.where(shared > 0, ends[np.maximum(shared, 1) - 1], 0), far)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    natural = np.flatnonzero((code == 32) | (code == 10)) + 1
+    at = np.searchsorted(natural, far, side="right")
+    last = natural[np.maximum(at, 1) - 1] if len(natural) else np.zeros(m, dtype=np.int64)
+    end = np.where((far < n) & (at > 0) & (last > starts + (far - starts) // 2), last, far)
+    whole = np.searchsorted(ends, end, side="right")  # tokens up to the end, and one more that it cuts
+    held = whole + ((whole < m) & (starts[np.minimum(whole, m - 1)] < end))
+    onward = np.maximum(first + 1, held - min(overlap, room // 4))
+    chosen = [0]
+    while end[chosen[-1]] < n:
+        if end[chosen[-1]] <= starts[chosen[-1]]:
+            raise ValueError("one character exceeds the token budget")
+        chosen.append(int(onward[chosen[-1]]))
+    if end[chosen[-1]] <= starts[chosen[-1]]:
         raise ValueError("one character exceeds the token budget")
-    return good
+    return [(int(starts[i]), int(end[i]), int(held[i] - first[i]) + special) for i in chosen]
 
 
-def token_windows(df: DataFrame, keys: list[str], counter: Callable[[], Callable[[str], int]], maximum: int, text: str = "text") -> DataFrame:
-    """(keys.., window, start, end, tokens) of every non-null text. ``counter`` makes the token counter once in each worker."""
-    kind = "array<struct<start:int,end:int,tokens:int>>"
+def token_windows(df: DataFrame, keys: list[str], tokenizer: Callable[[], Tokenizer], maximum: int, text: str = "text") -> DataFrame:
+    """(keys.., window, start, end, tokens) of every non-null text. ``tokenizer`` is made once in each worker."""
 
-    @F.pandas_udf(kind)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter()
+    @F.pandas_udf("array<struct<start:int,end:int,tokens:int>>")
+    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = tokenizer()
         for series in batches:
-            yield series.map(lambda t: [dict(zip(("start", "end", "tokens"), w)) for w in windows_of(t, count, maximum)])
+            yield series.map(lambda t: [dict(zip(("start", "end", "tokens"), w)) for w in windows_of(t, made, maximum)])
 
-    rows = df.where(F.col(text).isNotNull()).select(*keys, F.posexplode(cut(F.col(text))).alias("window", "w"))
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.posexplode(windows(F.col(text))).alias("window", "w"))
     return rows.select(*keys, "window", "w.start", "w.end", "w.tokens")
 
 
@@ -136,13 +136,14 @@ def readiness(texts: DataFrame, embeddings: DataFrame, model: str | None, revisi
     return rows.select("run_key", "total", (F.col("total") - F.col("pending")).alias("ready"), "pending", F.when(F.col("pending") > 0, "pending").otherwise("ready").alias("status"))
 
 
-def reusable_vectors(new_texts: DataFrame, old_texts: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(text_id, from_text_id, backend, model, revision): vectors of the same run and content that new texts can take over.
+def reusable_vectors(new_texts: DataFrame, old_texts: DataFrame, embeddings: DataFrame, chunk_version: int) -> DataFrame:
+    """(text_id, from_text_id, backend, model, revision): vectors of the same run, content and chunk version that new texts can take over.
 
     The donor is the smallest text_id, chosen before the join, so that a content that many texts
-    share does not multiply.
+    share does not multiply. Null run keys are a run of their own.
     """
     wanted = new_texts.join(old_texts.select("text_id"), "text_id", "left_anti").select("run_key", "text_id", "text_sha256").distinct()
-    stored = old_texts.select("run_key", "text_id", "text_sha256").distinct().join(embeddings.where("vector IS NOT NULL").select("text_id", "text_sha256", "backend", "model", "revision").distinct(), ["text_id", "text_sha256"])
+    stored = old_texts.select("run_key", "text_id", "text_sha256").distinct().join(embeddings.where(F.col("vector").isNotNull() & (F.col("chunk_version") == chunk_version)).select("text_id", "text_sha256", "backend", "model", "revision").distinct(), ["text_id", "text_sha256"])
     donor = stored.groupBy("run_key", "text_sha256", "backend", "model", "revision").agg(F.min("text_id").alias("from_text_id"))
-    return wanted.join(donor, ["run_key", "text_sha256"]).select("text_id", "from_text_id", "backend", "model", "revision")
+    same = wanted.run_key.eqNullSafe(donor.run_key) & (wanted.text_sha256 == donor.text_sha256)
+    return wanted.join(donor, same).select("text_id", "from_text_id", "backend", "model", "revision")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -10,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
 
 def decoded(content: Column) -> Column:
     """UTF-8 text with replacement characters, without a byte order mark."""
@@ -30,20 +29,32 @@ def format_of(head: Column, mime: Column) -> Column:
     )
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page: no scripts, styles and comments, a line break before each block, entities decoded."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?i)<(?:p|div|br|li|tr|h1|h2|h3)(?:\s[^>]*)?/?>", "\n")
-    out = F.regexp_replace(out, r"(?s)<[!/?A-Za-z][^>]*>", "")
-    for name, text in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(text))
-    return out
+ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^"'>])*+>"""
+UNSEEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)\b{ATTRIBUTES}.*?(?:</\1\s*>|\z)"
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts with all named and numbered character references of HTML decoded."""
+    for series in texts:
+        yield series.map(html.unescape, na_action="ignore")
+
+
+def html_text(page: Column) -> Column:
+    """Text of a page: no scripts, styles and comments, a line break before each block, all entities decoded.
+
+    A script, style or comment that is not closed reaches to the end; ``>`` in a quoted attribute
+    does not end a tag. Null stays null.
+    """
+    out = F.regexp_replace(page, UNSEEN, "")
+    out = F.regexp_replace(out, rf"(?i)<(?:p|div|br|li|tr|h1|h2|h3)(?=[\s/>]){ATTRIBUTES}", "\n")
+    out = F.regexp_replace(out, rf"(?s)<[!/?A-Za-z]{ATTRIBUTES}", "")
+    return unescaped(out)
 
 
 @F.pandas_udf(T.StringType())
 def xml_text(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Text of front, body and back, one after the other, or of the whole tree; null if it cannot be parsed."""
+    """Text of front, body and back, one after the other, or of the whole tree, its parts joined by blanks; null if it cannot be parsed."""
 
     def one(raw):
         if raw is None or "<!ENTITY" in raw:
@@ -53,7 +64,8 @@ def xml_text(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except ElementTree.ParseError:
             return None
         parts = [e for e in root if e.tag.rpartition("}")[2] in ("front", "body", "back")]
-        return "\n\n".join("".join(e.itertext()) for e in parts) if parts else "".join(root.itertext())
+        words = lambda e: " ".join(e.itertext())
+        return "\n\n".join(map(words, parts)) if parts else words(root)
 
     for series in documents:
         yield series.map(one)
