@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from veristrata.llm import groups as G
 
 
@@ -25,8 +27,23 @@ def test_components_of_chains_hubs_and_noise(spark):
     rng.shuffle(chain)
     pairs = list(zip(chain, chain[1:])) + [("hub", f"leaf{i}") for i in range(600)] + [(f"r{rng.randrange(150)}", f"r{rng.randrange(150)}") for _ in range(120)] + [(f"s{i:04d}", f"s{i + 1:04d}") for i in range(300)]
     rows = pairs + pairs[:50] + [(None, "x"), ("x", None)]
-    got = {r.id: r.label for r in G.components(spark.createDataFrame(rows, "a string, b string")).collect()}
-    assert got == union_find(pairs)
+    df = spark.createDataFrame(rows, "a string, b string")
+    for hot_rows in (G.HOT_ROWS, 40):  # also with salted lookups
+        assert {r.id: r.label for r in G.components(df, hot_rows).collect()} == union_find(pairs)
+
+
+def test_names_with_one_hash_stay_apart(spark):
+    df = spark.createDataFrame([("aa", "bbb"), ("bb", "cccc"), ("dd", "eeeee"), ("eeeee", "ff")], "a string, b string")
+    nodes, edges = G.numbered(df, code=lambda c: F.length(c).cast("long"))
+    number = {r.name: r.id for r in nodes.collect()}
+    assert len(set(number.values())) == len(number) == 7
+    assert {(r.a, r.b) for r in edges.collect()} == {(number[r.a], number[r.b]) for r in df.collect()}
+
+
+def test_payload_with_text_behind_it_gives_no_names(spark):
+    obs = spark.createDataFrame([("c1", "x", '{"provider_id": "7"} trailing'), ("c2", "x", '{"provider_id": "7"}'), ("c3", "x", '{"provider_id": "7"}')], "candidate_id string, provider string, payload string")
+    none = spark.createDataFrame([], "alias string, work_key string")
+    assert {r.candidate_id: r.group_id for r in G.candidate_groups(obs, none).collect()} == {"c1": "c1", "c2": "c2", "c3": "c2"}
 
 
 def test_empty_and_loops(spark):

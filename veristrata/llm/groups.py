@@ -1,54 +1,124 @@
 """Consolidating pairwise matches into groups: minimum labels, pointer jumping, contraction.
 
 Each round every node takes the smallest label among itself and its neighbours; the chains that this
-makes are shortened by pointer jumping until all point to their end; then edges are rewritten to the
-ends, loops and repeated edges fall away, and what is left goes to the next round. After two rounds
-every node that still has an edge has merged with another, so the rounds are logarithmic in the
-number of nodes, however long the chains are. A hub's edges collapse to loops in the round in which
-they first matter, and their minimum is pre-aggregated before any shuffle. Each round is checkpointed.
+makes are shortened by pointer jumping until all point to their end, in which only nodes that still
+moved take part; then edges are rewritten to the ends, loops and repeated edges fall away, and what is
+left goes to the next round. After two rounds every node that still has an edge has merged with
+another, so the rounds are logarithmic in the number of nodes, however long the chains are. Nodes
+without an edge take no part in later rounds: what the rounds found is composed once at the end, from
+the last and smallest to the first.
+
+Labels are 64-bit hashes of the names; names whose hashes collide get numbers of their own. Minima are
+pre-aggregated, and lookups of the label that a large component shares are salted (``plans.skew``).
+Each round is written to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.plans.lineage import cut
+from veristrata.functions.records import strict_json
+from veristrata.plans.lineage import cut, release
+from veristrata.plans.skew import HOT_ROWS, lookup
 
 BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 DOI = r"^(?:doi:\s*|https://doi\.example/|http://dx\.doi\.example/)?(10\.[0-9]{4,9}/[^\s\p{Z}]+)$"
 MAX_ROUNDS = 64
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label) of every node of ``edges`` (a, b): the smallest node of its connected component.
+def numbered(edges: DataFrame, code: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name) and edges (a, b) by number, from edges (a, b) by name.
 
-    Edges with a null end are left out, loops and repeated edges are harmless; an empty table gives
-    no rows.
+    The number of a name is its hash; names that share a hash are numbered apart (there are about
+    n^2 / 2^65 of them, so their table is broadcast). ``code`` makes a number of a name.
     """
-    left = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    nodes = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
-    live = cut(left.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
-            break
+    names = edges.select(F.explode(F.array("a", "b")).alias("name")).select(code(F.col("name")).alias("id"), "name")
+    found = cut(names.groupBy("id").agg(F.min("name").alias("name"), F.max("name").alias("last")))
+    twice = found.where("name <> last")
+    if twice.isEmpty():
+        return found.select("id", "name"), edges.select(*[code(F.col(c)).alias(c) for c in ("a", "b")])
+    apart = names.join(F.broadcast(twice.select("id")), "id").select("name").distinct()
+    apart = cut(apart.select("name", (-F.monotonically_increasing_id() - 1).alias("own")))
+    used = apart.join(found, (apart.own == found.id), "left_semi")
+    if not used.isEmpty():
+        raise RuntimeError("numbers of colliding names are taken")
+    nodes = found.join(F.broadcast(twice.select("id")), "id", "left_anti").select("id", "name").unionByName(apart.select(F.col("own").alias("id"), "name"))
+    out = edges.select("a", "b")
+    for c in ("a", "b"):
+        own = F.broadcast(apart.select(F.col("name").alias(c), F.col("own").alias(f"{c}_own")))
+        out = out.join(own, c, "left").withColumn(f"{c}_id", F.coalesce(f"{c}_own", code(F.col(c))))
+    return nodes, out.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+def labelled(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, label) of every node of ``edges`` (a, b; numbers) that has an edge to another: one node of its component, the same for all."""
+    live = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    found: list[DataFrame] = []
+    while (size := live.count()) > 0:
+        if len(found) == MAX_ROUNDS:
+            raise RuntimeError("groups did not settle")
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")))
-        while True:
-            hop = point.select(F.col("id").alias("to"), F.col("to").alias("far"))
-            jumped = cut(point.join(hop, "to").select("id", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
-            point = jumped.select("id", "to")
-            if jumped.where("moved").isEmpty():
-                break
-        one = point.select(F.col("id").alias("a"), F.col("to").alias("a2"))
-        two = point.select(F.col("id").alias("b"), F.col("to").alias("b2"))
-        moved = live.join(one, "a").join(two, "b").where("a2 <> b2").select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b"))
-        live = cut(moved.distinct())
-        labels = cut(labels.join(point.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        point = _jumped(point, hot_rows)
+        found.append(point)
+        ends = point.where("id <> to")
+        one, two = ends.select(F.col("id").alias("a"), F.col("to").alias("a2")), ends.select(F.col("id").alias("b"), F.col("to").alias("b2"))
+        moved = lookup(live, one, "a", size, "left", hot_rows).select(F.coalesce("a2", "a").alias("a"), "b")
+        moved = lookup(moved, two, "b", size, "left", hot_rows).select("a", F.coalesce("b2", "b").alias("b")).where("a <> b")
+        live = cut(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), live)
+    release(live)
+    if not found:
+        return edges.select(F.col("a").alias("id"), F.col("a").alias("label")).limit(0)
+    labels = found.pop().select("id", F.col("to").alias("label"))
+    while found:
+        point = found.pop()
+        later = labels.select(F.col("id").alias("to"), "label")
+        labels = cut(lookup(point, later, "to", point.count(), "left", hot_rows).select("id", F.coalesce("label", "to").alias("label")), point)
     return labels
 
 
+def _jumped(point: DataFrame, hot_rows: int) -> DataFrame:
+    """(id, to) with every ``to`` at the end of its chain. A node that a jump does not move has arrived and jumps no more."""
+    parts: list[DataFrame] = []
+    moving, size = point, point.count()
+    while size:
+        hop = point if not parts else moving.select("id", "to").unionByName(_all(parts))
+        step = cut(lookup(moving, hop.select(F.col("id").alias("to"), F.col("to").alias("far")), "to", size, "inner", hot_rows).select("id", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+        parts.append(step.where("NOT moved").select("id", "to"))
+        moving = step.where("moved").select("id", "to")
+        size = moving.count()
+    release(point)
+    return _all(parts)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, label) of every node of ``edges`` (a, b): the smallest node of its connected component.
+
+    Edges with a null end are left out, loops and repeated edges are harmless; an empty table gives
+    no rows.
+    """
+    known = cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
+    nodes, links = numbered(known)
+    return named(nodes, labelled(links, hot_rows), hot_rows).select(F.col("name").alias("id"), F.col("least").alias("label"))
+
+
+def named(nodes: DataFrame, labels: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(name, least): the smallest name among ``nodes`` (id, name) of the component of each; nodes without a label stand alone."""
+    placed = cut(nodes.join(labels, "id", "left").select("name", F.coalesce("label", "id").alias("label")))
+    least = placed.groupBy("label").agg(F.min("name").alias("least"))
+    return lookup(placed, least, "label", placed.count(), "inner", hot_rows).select("name", "least")
+
+
 def clean(column: Column) -> Column:
     """Without outer blanks and letter case; null if nothing is left."""
     name = F.lower(F.regexp_replace(column, BLANKS, ""))
@@ -73,9 +143,8 @@ def candidate_names(observations: DataFrame) -> DataFrame:
     Names are ``provider:provider_id``, ``doi:`` and ``openalex:``; a payload that is no valid JSON
     gives none, rows without candidate_id are left out.
     """
-    payload = F.expr("try_parse_json(payload)")
     field = lambda name: F.expr(f"try_variant_get(v, '$.{name}', 'string')")
-    rows = observations.where(F.col("candidate_id").isNotNull()).select("candidate_id", clean(F.col("provider")).alias("provider"), payload.alias("v"))
+    rows = observations.where(F.col("candidate_id").isNotNull()).select("candidate_id", clean(F.col("provider")).alias("provider"), strict_json(F.col("payload")).alias("v"))
     rows = rows.where("v IS NOT NULL").select("candidate_id", "provider", clean(field("provider_id")).alias("pid"), doi(field("doi")).alias("doi"))
     last = F.regexp_extract("pid", r"(?:^|/)(w[0-9]+)/*$", 1)
     names = F.array(
@@ -93,12 +162,13 @@ def candidate_groups(observations: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     names = candidate_names(observations)
     one, two = alias_name(F.col("alias")), alias_name(F.col("work_key"))
-    links = aliases.select(F.concat(F.lit("n"), one).alias("a"), F.concat(F.lit("n"), two).alias("b"))
+    links = aliases.select(F.concat(F.lit("n"), one).alias("a"), F.concat(F.lit("n"), two).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     mine = names.select(F.concat(F.lit("c"), F.col("candidate_id")).alias("a"), F.concat(F.lit("n"), F.col("name")).alias("b"))
-    labels = components(mine.unionByName(links).distinct())
-    found = labels.where(F.col("id").startswith("c")).select(F.expr("substring(id, 2)").alias("candidate_id"), F.expr("substring(label, 2)").alias("group_id"))
+    nodes, edges = numbered(cut(mine.unionByName(links)))
+    found = named(nodes.where("name LIKE 'c%'"), labelled(edges))
     everyone = observations.where(F.col("candidate_id").isNotNull()).select("candidate_id").distinct()
-    return everyone.join(found, "candidate_id", "left").select("candidate_id", F.coalesce("group_id", "candidate_id").alias("group_id"))
+    own = found.select(F.expr("substring(name, 2)").alias("candidate_id"), F.expr("substring(least, 2)").alias("group_id"))
+    return everyone.join(own, "candidate_id", "left").select("candidate_id", F.coalesce("group_id", "candidate_id").alias("group_id"))
 
 
 def grouped_pairs(observations: DataFrame, aliases: DataFrame) -> DataFrame:
