@@ -34,9 +34,13 @@ ACCENTED, PLAIN = _accents()
 MARKS = "̀-ͯ"
 
 
+#: All Unicode white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(column: Column) -> Column:
     """Without white space at both ends (all Unicode white space, not only blanks)."""
-    return F.regexp_replace(column, r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$", "")
+    return F.btrim(column, F.lit(WHITE))
 
 
 def nonempty(column: Column) -> Column:

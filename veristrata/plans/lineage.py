@@ -7,7 +7,8 @@ import shutil
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made_here: dict[str, str] = {}
 
@@ -31,21 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _made_here["local"]
 
 
-def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *spent: DataFrame, **counted: Column) -> DataFrame:
     """``df``, written as a table of the shared folder and read back: without its lineage, with its real size.
 
     A lost executor costs at most the reading of the table. ``spent`` are results of earlier cuts
-    that nothing but ``df`` still reads; their files are removed once ``df`` is written.
+    that nothing but ``df`` still reads; their files are removed once ``df`` is written. ``counted``
+    are aggregates that are taken along while writing; ``seen`` has them, and the number of ``rows``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid4().hex}"
-    df.write.parquet(path)
+    watch = Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counted.items()]).write.parquet(path)
     release(*spent)
     made = spark.read.schema(df.schema).parquet(path)
-    made._cut_path = path
+    made._cut_path, made._cut_seen = path, watch
     return made
 
 
+def seen(df: DataFrame, name: str = "rows"):
+    """What ``cut`` counted while it wrote ``df``."""
+    return df._cut_seen.get[name]
+
+
 def release(*spent: DataFrame) -> None:
     """Remove the tables of cuts that nothing reads any more; other frames are left alone."""
     for df in spent:
