@@ -28,8 +28,8 @@ def test_components_of_chains_hubs_and_noise(spark):
     pairs = list(zip(chain, chain[1:])) + [("hub", f"leaf{i}") for i in range(600)] + [(f"r{rng.randrange(150)}", f"r{rng.randrange(150)}") for _ in range(120)] + [(f"s{i:04d}", f"s{i + 1:04d}") for i in range(300)]
     rows = pairs + pairs[:50] + [(None, "x"), ("x", None)]
     df = spark.createDataFrame(rows, "a string, b string")
-    for hot_rows in (G.HOT_ROWS, 40):  # also with salted lookups
-        assert {r.id: r.label for r in G.components(df, hot_rows).collect()} == union_find(pairs)
+    for hot_rows, tail in ((G.HOT_ROWS, G.TAIL_EDGES), (G.HOT_ROWS, 0), (40, 100)):  # in one task, by rounds, and both with salted lookups
+        assert {r.id: r.label for r in G.components(df, hot_rows, tail).collect()} == union_find(pairs)
 
 
 def test_names_with_one_hash_stay_apart(spark):
