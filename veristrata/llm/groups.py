@@ -31,7 +31,7 @@ from veristrata.plans.skew import HOT_ROWS, lookup
 DOI = r"^(?:doi:\s*|https://doi\.example/|http://dx\.doi\.example/)?(10\.[0-9]{4,9}/[^\s\p{Z}]+)$"
 MAX_ROUNDS = 64
 #: Rounds with at most so many edges are done in one task.
-TAIL_EDGES = 100_000
+TAIL_EDGES = 250_000
 
 
 def numbered(edges: DataFrame, code: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
@@ -184,22 +184,27 @@ def candidate_names(observations: DataFrame) -> DataFrame:
     return rows.select("candidate_id", F.explode(names).alias("name")).where(F.length("name") > 0).distinct()
 
 
-def candidate_groups(observations: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(candidate_id, group_id) of every candidate; the group is named by its smallest candidate_id.
-
-    Candidates without any name stand alone. Nulls and blanks join nothing; repeated rows count once.
-    """
+def named_groups(observations: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(candidate_id, group_id) of every candidate that has a name; the group is named by its smallest candidate_id."""
     names = candidate_names(observations)
     one, two = alias_name(F.col("alias")), alias_name(F.col("work_key"))
     links = aliases.select(F.concat(F.lit("n"), one).alias("a"), F.concat(F.lit("n"), two).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     mine = names.select(F.concat(F.lit("c"), F.col("candidate_id")).alias("a"), F.concat(F.lit("n"), F.col("name")).alias("b"))
     nodes, edges = numbered(cut(mine.unionByName(links)))
     found = named(nodes.where("name LIKE 'c%'"), labelled(edges))
+    return found.select(F.expr("substring(name, 2)").alias("candidate_id"), F.expr("substring(least, 2)").alias("group_id"))
+
+
+def candidate_groups(observations: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(candidate_id, group_id) of every candidate; the group is named by its smallest candidate_id.
+
+    Candidates without any name stand alone. Nulls and blanks join nothing; repeated rows count once.
+    """
+    own = named_groups(observations, aliases)
     everyone = observations.where(F.col("candidate_id").isNotNull()).select("candidate_id").distinct()
-    own = found.select(F.expr("substring(name, 2)").alias("candidate_id"), F.expr("substring(least, 2)").alias("group_id"))
     return everyone.join(own, "candidate_id", "left").select("candidate_id", F.coalesce("group_id", "candidate_id").alias("group_id"))
 
 
 def grouped_pairs(observations: DataFrame, aliases: DataFrame) -> DataFrame:
     """(group_id, candidate_id) of every candidate but the smallest of a group of two or more."""
-    return candidate_groups(observations, aliases).where("group_id <> candidate_id").select("group_id", "candidate_id")
+    return named_groups(observations, aliases).where("group_id <> candidate_id").select("group_id", "candidate_id")
