@@ -95,3 +95,24 @@ def test_pivot_keeps_tokens():
         M.pivot(one, two)
         assert one[1] * one[2] + two[1] * two[2] == pytest.approx(before)
         assert {one[2], two[2]} & {0.0, 1.0} and 0 <= one[2] <= 1 and 0 <= two[2] <= 1
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    df = counts(spark)
+    targets = spark.createDataFrame([("a", "big", 2.0, 3, 0.4), ("a", "mid", 1.0, 3, 0.4), ("b", "big", 1.0, 3, 0.2)], TARGETS)
+    for bucket_rows in (M.BUCKET_ROWS, 50):
+        one, two = (sorted(map(tuple, M.mix(df.repartition(n), targets, bucket_rows=bucket_rows).collect())) for n in (2, 5))
+        assert one == two and one
+    a, b = ({r[2] for r in one if r[0] == m and r[1] == "big"} for m in "ab")
+    assert not b <= a  # mixes draw apart
+    got = {(r.mix_id, r.source): r for r in M.shares(M.mix(df, targets, bucket_rows=50), df, targets).collect()}
+    assert all(abs(r.actual_tokens - r.target_tokens) < 97 for r in got.values())
+
+
+def test_refill_gives_missing_tokens_to_others(spark):
+    df = spark.createDataFrame([(i, s, 10) for i, s in enumerate(["x"] * 4 + ["y"] * 100 + ["z"] * 100)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", "x", 1.0, 2, 0.5), ("a", "y", 1.0, 9, 0.5), ("a", "z", 2.0, 9, 0.5), ("a", "gone", 1.0, 9, 0.5), ("b", "x", 1.0, 2, 0.9)], TARGETS)
+    rate = {(r.mix_id, r.source): r.rate * r.have for r in M.rates(df, targets, refill=True).collect()}
+    assert rate == pytest.approx({("a", "x"): 80.0, ("a", "y"): 940 / 3, ("a", "z"): 1880 / 3, ("a", "gone"): 0.0, ("b", "x"): 80.0})
+    plain = {(r.mix_id, r.source): r.rate * r.have for r in M.rates(df, targets).collect()}
+    assert plain["a", "y"] == pytest.approx(204.0) and plain["a", "x"] == 80.0

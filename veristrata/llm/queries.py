@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veristrata.catalog.tables import table
 from veristrata.llm import groups, languages, mixing, neighbours, pieces, sentences, tokens
@@ -22,6 +23,15 @@ def _p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(counts, targets), counts, targets)
 
 
+def _p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source of each mix keeps to its target within one document, or uses all that max_repeats allows, and to max_repeats."""
+    counts, targets = mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    largest = counts.groupBy("source").agg(F.max("tokens").alias("largest"))
+    rows = mixing.shares(mixing.mix(counts, targets), counts, targets).join(mixing.rates(counts, targets).select("mix_id", "source", "have", "cap"), ["mix_id", "source"]).join(largest, "source", "left")
+    kept = F.when(F.col("capped"), F.col("actual_tokens") == F.col("have") * F.col("cap")).otherwise(F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= F.coalesce("largest", F.lit(0)))
+    return rows.select("mix_id", "source", F.round("target_share", 6).alias("target_share"), kept.alias("target_kept"), (F.col("most_copies") <= F.col("cap")).alias("repeats_kept"))
+
+
 QUERIES = {
     "p2_found": lambda spark, d: pieces.oversized(table(spark, d, "texts")),
     "p2_pieces": lambda spark, d: pieces.renumbered_pieces(table(spark, d, "texts")),
@@ -34,6 +44,7 @@ QUERIES = {
     "p6_ids": lambda spark, d: tokens.encode_column(table(spark, d, "documents")),
     "p7_mix": _p7_mix,
     "p7_shares": _p7_shares,
+    "p7_checks": _p7_checks,
     "p8_found": lambda spark, d: sentences.split_sentences(table(spark, d, "documents")),
 }
 
@@ -78,6 +89,10 @@ ORACLE = {
     "p3_groups": _GROUPS + "SELECT candidate_id, group_id FROM g",
     "p5_found": _NEAR + "SELECT DISTINCT model, revision, least(t, o) AS text_a, greatest(t, o) AS text_b FROM k",
     "p5_neighbours": _NEAR + "SELECT model, revision, t AS text_id, o AS neighbour, sim AS similarity, rank::int AS rank FROM k",
+    "p7_checks": r"""
+WITH t AS (SELECT DISTINCT mix_id, lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS source, target_share, max_repeats, total_ratio FROM mix_targets WHERE mix_id IS NOT NULL AND target_share >= 0)
+SELECT mix_id, source, round(target_share / sum(target_share) OVER (PARTITION BY mix_id), 6) AS target_share, true AS target_kept, true AS repeats_kept FROM t WHERE length(source) > 0
+""",
     "p2_found": r"""
 WITH t AS (SELECT DISTINCT text_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8232)||chr(8233)||chr(12288)) AS x FROM texts WHERE text IS NOT NULL)
 SELECT DISTINCT text_id, CASE WHEN list_max(list_transform(regexp_split_to_array(x, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}。！？]'), lambda s: length(s))) > 1400
