@@ -1,9 +1,12 @@
 """Splitting oversized texts at natural boundaries by packing their structure tree.
 
-A text is a tree: sections under headings, paragraphs, lines and list items, sentences, words. A
-node within the limit stays whole; only an oversized one is opened. Neighbouring subtrees are merged
-up to the limit on the way back, so cuts fall on the highest boundaries. Inside a run of more than
-``limit`` characters without white space and 。！？ there is no boundary, and the cut is forced.
+Headings with their levels, markup, paragraphs, list items by indentation, lines and sentences give
+boundaries of a rank; a node of the tree is what lies between two boundaries, and its children are
+what the strongest boundaries within it set apart. A node within the limit is one piece; only an
+oversized one is opened. On the way back neighbouring siblings that are whole are merged up to the
+limit, lowest nodes first, so no piece holds the end of an oversized section and the start of the
+next one, and a heading stays with what follows. Inside a run of more than ``limit`` characters
+without white space and 。！？ there is no boundary, and the cut is forced.
 """
 
 from __future__ import annotations
@@ -11,20 +14,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veristrata.plans.lineage import cut, seen
+
 LIMIT, OVERLAP = 1400, 160
 BLANKS = re.compile(r"[ \t]+")
-#: Ends of the children of a node, from the top of the tree downward.
-LEVELS = (
-    re.compile(r"\n\s*\n(?=#|[^\n.!?。！？…]{1,100}(?:\n\s*\n))"),  # before a heading
-    re.compile(r"\n\s*\n\s*"),  # paragraphs
-    re.compile(r"\n+"),  # lines and list items
-    re.compile(r"[.!?…]+[\"”»’)\]]*\s+|[。！？]+[」』”’）)]*\s*"),  # sentences
-)
+#: Ranks of boundaries: heading levels 1 to 6, titles without a mark, paragraphs, list items by depth, lines, sentences.
+TITLE, PARAGRAPH, ITEM, DEEPEST, LINE, SENTENCE = 7, 8, 9, 7, 17, 18
+HEADING = re.compile(r"(#{1,6})[ \t]+\S")
+UNDERLINE = re.compile(r"(=+|-+)[ \t]*$")
+LIST_ITEM = re.compile(r"(?:[-*+•‣◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])[ \t]+\S")
+BARE_TITLE = re.compile(r"[^\n]{0,99}[^\s.!?。！？…,;:，；：、|]$")
+MARKUP = re.compile(r"<(h[1-6]|section|article|p|div|table|ul|ol|blockquote|pre|li|tr|dt|dd|br)\b[^<>]{0,300}>", re.IGNORECASE)
+MARKUP_RANK = {f"h{i}": i for i in range(1, 7)} | {"section": TITLE, "article": TITLE, "li": ITEM, "tr": ITEM, "dt": ITEM, "dd": ITEM, "br": LINE}
+SENTENCE_END = re.compile(r"[.!?…]+[\"”»’)\]]*\s+|[。！？]+[」』”’）)]*\s*")
 DELIMITER = re.compile(r"[\s。！？]")
 SCHEMA = "piece int, text string, start_pos int, end_pos int, overlap int, forced boolean"
 
@@ -34,65 +42,97 @@ def normalized(text: str) -> str:
     return BLANKS.sub(" ", text).strip()
 
 
-def _children(text: str, a: int, b: int, level: int) -> list[tuple[int, int]]:
-    out, start = [], a
-    for m in LEVELS[level].finditer(text, a, b):
-        if start < m.end() < b:
-            out.append((start, m.end()))
-            start = m.end()
-    out.append((start, b))
-    return out
+def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the normalised ``text`` where a node may begin, and their ranks; indentation is that of the text as it was."""
+    whole = normalized(text)
+    rank: dict[int, int] = {m.end(): SENTENCE for m in SENTENCE_END.finditer(whole)}
+
+    def mark(at: int, r: int) -> None:
+        rank[at] = min(r, rank.get(at, SENTENCE))
+
+    for m in MARKUP.finditer(whole):
+        mark(m.start(), MARKUP_RANK.get(m.group(1).lower(), PARAGRAPH))
+    lines, raw = whole.split("\n"), text.strip().split("\n")
+    at, blank, before = 0, True, ""  # before: what kind of line the last one with content was
+    for i, line in enumerate(lines):
+        bare = line.strip()
+        if bare:
+            following = lines[i + 1].strip() if i + 1 < len(lines) else ""
+            kind, r = "text", PARAGRAPH if blank else LINE
+            if m := HEADING.match(bare):
+                kind, r = "heading", len(m.group(1))
+            elif not LIST_ITEM.match(bare) and (m := UNDERLINE.match(following)) and len(m.group(1)) >= 3:
+                kind, r = "heading", 1 if m.group(1)[0] == "=" else 2
+            elif LIST_ITEM.match(bare):
+                indent = len(raw[i].expandtabs(4)) - len(raw[i].expandtabs(4).lstrip())
+                kind, r = "item", ITEM + min(indent // 2, DEEPEST)
+                if blank and before not in ("item", "heading"):
+                    r = PARAGRAPH
+            elif before == "heading":
+                r = LINE  # what a heading stands above stays with it
+            elif blank and not following and i + 1 < len(lines) and BARE_TITLE.match(bare):
+                kind, r = "heading", TITLE
+            mark(at, r)
+            before = kind
+        blank = not bare
+        at += len(line) + 1
+    at = sorted(p for p in rank if 0 < p < len(whole))
+    return np.array(at, dtype=np.int64), np.array([rank[p] for p in at], dtype=np.int64)
 
 
 class _Packer:
     def __init__(self, text: str, limit: int, overlap: int) -> None:
-        self.text, self.limit, self.room = text, limit, limit - overlap
-        self.out: list[list[int]] = []
+        self.text, self.limit, self.room = normalized(text), limit, limit - overlap
+        self.at, self.rank = boundaries(text) if len(self.text) > limit else (np.zeros(0, dtype=np.int64),) * 2
         self.forced: set[int] = set()
 
-    def cap(self) -> int:
-        """Room of the chunk that is built last: only the first has no overlap before it."""
-        return self.limit if len(self.out) <= 1 else self.room
-
-    def add(self, a: int, b: int) -> None:
-        if self.out and b - self.out[-1][0] <= self.cap():
-            self.out[-1][1] = b
-        else:
-            self.out.append([a, b])
-
-    def fits(self, a: int, b: int) -> bool:
-        return b - a <= (self.limit if not self.out else self.room)
-
-    def pack(self, a: int, b: int, level: int) -> None:
-        if self.fits(a, b):
-            self.add(a, b)
-        elif level == len(LEVELS):
-            self.words(a, b)
-        else:
-            for x, y in _children(self.text, a, b, level):
-                self.pack(x, y, level + 1)
-
-    def words(self, a: int, b: int) -> None:
-        """Words of an oversized sentence; a run that fits the limit alone takes room from the overlap."""
-        text = self.text
-        if self.out and self.out[-1][1] == a and b - self.out[-1][0] > self.cap():
-            pass
-        while a < b:
-            room = self.limit if not self.out else self.room
-            if b - a <= room:
-                self.add(a, b)
-                return
-            cut = self._last(a, a + room)
-            if cut is None:
-                cut = self._first(a + room, min(b, a + self.limit))
-            if cut is None:
+    def cap(self, a: int) -> int:
+        """Room of a piece that begins at ``a``: only the first has no overlap before it."""
+        return self.room if a else self.limit
+
+    def pack(self, a: int, b: int, low: int, high: int) -> list[tuple[int, int]]:
+        """Pieces of the node [a, b), whose inner boundaries are number low to high."""
+        if b - a <= self.cap(a):
+            return [(a, b)]
+        if low == high:
+            return self.words(a, b)
+        inner = low + np.flatnonzero(self.rank[low:high] == self.rank[low:high].min())
+        begins = [a, *self.at[inner].tolist()]
+        ends = [*begins[1:], b]
+        firsts = [low, *(inner + 1).tolist()]
+        lasts = [*inner.tolist(), high]
+        out: list[tuple[int, int]] = []
+        open_: tuple[int, int] | None = None  # whole siblings merged so far
+        for x, y, i, j in zip(begins, ends, firsts, lasts):
+            if open_ and y - open_[0] <= self.cap(open_[0]):
+                open_ = (open_[0], y)
+                continue
+            if open_:
+                out.append(open_)
+                open_ = None
+            parts = self.pack(x, y, i, j)
+            if len(parts) == 1:
+                open_ = parts[0]
+            else:
+                out += parts
+        return out + [open_] if open_ else out
+
+    def words(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Pieces of an oversized sentence, between words; a run that fits the limit alone takes room from the overlap."""
+        out: list[tuple[int, int]] = []
+        while b - a > self.cap(a):
+            stop = a + self.cap(a)
+            end = self._last(a, stop)
+            if end is None:
+                end = self._first(stop, min(b, a + self.limit))
+            if end is None:
                 if b - a <= self.limit:
-                    cut = b
-                else:
-                    cut = a + room
-                    self.forced.add(cut)
-            self.out.append([a, cut])
-            a = cut
+                    break
+                end = stop
+                self.forced.add(end)
+            out.append((a, end))
+            a = end
+        return out + [(a, b)] if a < b else out
 
     def _natural(self, p: int) -> bool:
         return bool(DELIMITER.match(self.text[p - 1]) or DELIMITER.match(self.text[p]))
@@ -120,13 +160,12 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
     needs the room. forced: the piece ends inside a run longer than ``limit``. Null and blank texts
     have no piece.
     """
-    whole = normalized(text or "")
+    packer = _Packer(text or "", limit, overlap)
+    whole = packer.text
     if not whole:
         return []
-    packer = _Packer(whole, limit, overlap)
-    packer.pack(0, len(whole), 0)
     out = []
-    for a, b in packer.out:
+    for a, b in packer.pack(0, len(whole), 0, len(packer.at)):
         lap = min(overlap, limit - (b - a), a)
         out.append((whole[a - lap : b], a - lap, b, lap, b in packer.forced))
     return out
@@ -160,26 +199,37 @@ def oversized(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
     return whole.where(F.col("size") > limit).select("text_id", F.when(F.col("forced") == 1, "forced").otherwise("natural").alias("cut"))
 
 
-#: Positions of texts within an object are numbered in blocks of so many old ordinals.
-ORDINAL_BLOCK = 512
+#: Up to so many repeated text_ids are broadcast.
+BROADCAST_IDS = 100_000
+
+
+def latest_texts(texts: DataFrame) -> DataFrame:
+    """Each text_id once, with its latest row (then the largest text). Only rows of repeated text_ids are shuffled, unless these are many."""
+    columns = ["run_key", "kind", "object_id", "locator", "ordinal", "text"]
+    rows = texts.where(F.col("text_id").isNotNull())
+    again = cut(rows.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id"))
+    ids = F.broadcast(again) if seen(again) <= BROADCAST_IDS else again
+    last = rows.join(ids, "text_id", "left_semi").groupBy("text_id").agg(F.max_by(F.struct(*columns), F.struct("synced_at", "text")).alias("r")).select("text_id", "r.*")
+    return rows.join(ids, "text_id", "left_anti").select("text_id", *columns).unionByName(last)
 
 
 def renumbered_pieces(texts: DataFrame) -> DataFrame:
     """All texts in pieces under the limit; ``ordinal`` counts the pieces of one object and locator from 0.
 
     Repeated rows of one text_id count once (the latest synced_at). Objects and locators compare
-    null-safely; a null ordinal comes first, ties go by text_id. Prefix sums run in blocks of
-    ordinals, so that a hot object is no single task.
+    null-safely; a null ordinal comes first, ties go by text_id. Texts are split once; numbers come
+    from prefix sums over ranges of (object, old ordinal, text_id) without the texts, so that a hot
+    object, or one whose ordinals are all null or alike, is no single task.
     """
     owner = ["run_key", "kind", "object_id", "locator"]
-    latest = texts.where(F.col("text_id").isNotNull()).groupBy("text_id").agg(F.max_by(F.struct(*owner, "ordinal", "text"), F.struct("synced_at", "text")).alias("r")).select("text_id", "r.*")
-    made = split_column(latest, ["text_id", *owner, "ordinal"])
-    key = F.xxhash64(*owner, *[F.col(c).isNull() for c in owner])
-    made = made.withColumnsRenamed({"ordinal": "old"}).withColumns({"owner": key})
-    made = made.withColumn("block", F.coalesce(F.floor(F.col("old") / ORDINAL_BLOCK), F.lit(-1)))
-    sums = made.groupBy("owner", "block").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("owner").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("owner", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("owner", "block").orderBy(F.col("old").asc_nulls_first(), "text_id", "piece")
-    numbered = made.withColumn("inner", F.row_number().over(within) - 1).join(sums, ["owner", "block"])
-    return numbered.select("text_id", *owner, (F.col("ahead") + F.col("inner")).cast("int").alias("ordinal"), "text", "overlap", "forced")
+    made = cut(split_column(latest_texts(texts), ["text_id", *owner, "ordinal"]))
+    key = F.to_json(F.struct(*owner), {"ignoreNullFields": "false"})
+    sizes = made.where("piece = 0 OR piece IS NULL").select("text_id", key.alias("owner"), F.col("ordinal").alias("old"))
+    sizes = sizes.join(made.groupBy("text_id").agg(F.count("*").alias("n")), "text_id")
+    ranged = cut(sizes.repartitionByRange("owner", F.col("old").asc_nulls_first(), "text_id").withColumn("part", F.spark_partition_id()))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("owner", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select("owner", "part", F.coalesce(F.sum("n").over(before("owner").orderBy("part")), F.lit(0)).alias("ahead"))
+    within = F.coalesce(F.sum("n").over(before("owner", "part").orderBy(F.col("old").asc_nulls_first(), "text_id")), F.lit(0))
+    first = ranged.withColumn("within", within).join(parts, ["owner", "part"]).select("text_id", (F.col("ahead") + F.col("within")).alias("first"))
+    return made.join(first, "text_id").select("text_id", *owner, (F.col("first") + F.col("piece")).cast("int").alias("ordinal"), "text", "overlap", "forced")

@@ -23,6 +23,14 @@ def _p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(counts, targets), counts, targets)
 
 
+def _p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of each text put together again from its pieces, and whether all keep to the limit."""
+    made = pieces.renumbered_pieces(table(spark, d, "texts"))
+    core = F.struct("ordinal", F.expr("substring(text, overlap + 1)").alias("core"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(core)), lambda x: x["core"]), "")
+    return made.groupBy("text_id").agg(F.sha2(whole, 256).alias("sha"), (F.max(F.length("text")) <= pieces.LIMIT).alias("within_limit"))
+
+
 def _p7_checks(spark: SparkSession, d: str) -> DataFrame:
     """Whether each source of each mix keeps to its target within one document, or uses all that max_repeats allows, and to max_repeats."""
     counts, targets = mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets")
@@ -35,6 +43,7 @@ def _p7_checks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": lambda spark, d: pieces.oversized(table(spark, d, "texts")),
     "p2_pieces": lambda spark, d: pieces.renumbered_pieces(table(spark, d, "texts")),
+    "p2_checks": _p2_checks,
     "p3_found": lambda spark, d: groups.grouped_pairs(table(spark, d, "observations"), table(spark, d, "aliases")),
     "p3_groups": lambda spark, d: groups.candidate_groups(table(spark, d, "observations"), table(spark, d, "aliases")),
     "p4_found": lambda spark, d: languages.unnamed_languages(*_p4_items(spark, d)),
@@ -89,6 +98,11 @@ ORACLE = {
     "p3_groups": _GROUPS + "SELECT candidate_id, group_id FROM g",
     "p5_found": _NEAR + "SELECT DISTINCT model, revision, least(t, o) AS text_a, greatest(t, o) AS text_b FROM k",
     "p5_neighbours": _NEAR + "SELECT model, revision, t AS text_id, o AS neighbour, sim AS similarity, rank::int AS rank FROM k",
+    "p2_checks": r"""
+WITH l AS (SELECT text_id, arg_max(text, {'at': synced_at, 'text': text}) AS text FROM texts WHERE text_id IS NOT NULL GROUP BY text_id),
+t AS (SELECT text_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)) AS x FROM l)
+SELECT text_id, sha256(x) AS sha, true AS within_limit FROM t WHERE length(x) > 0
+""",
     "p7_checks": r"""
 WITH t AS (SELECT DISTINCT mix_id, lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS source, target_share, max_repeats, total_ratio FROM mix_targets WHERE mix_id IS NOT NULL AND target_share >= 0)
 SELECT mix_id, source, round(target_share / sum(target_share) OVER (PARTITION BY mix_id), 6) AS target_share, true AS target_kept, true AS repeats_kept FROM t WHERE length(source) > 0
