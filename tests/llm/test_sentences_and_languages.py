@@ -7,14 +7,12 @@ from veristrata.llm import sentences as S
 
 @pytest.fixture(scope="module")
 def model(spark):
-    texts = S.training_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    return S.fit(texts)
+    return S.fit_on(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
 @pytest.fixture(scope="module")
 def labeller(spark, model):
-    texts = S.training_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    return L.Labeller(model, L.fit_languages(texts, model))
+    return L.labeller_on(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
 CASES = [
@@ -123,3 +121,49 @@ def test_viterbi_equals_brute_force():
         best = max(itertools.product(range(3), repeat=int(n)), key=lambda p: sum(scores[at + t, s] - (0 if t == 0 or p[t - 1] == s else L.SWITCH_BETWEEN if first[at + t] else L.SWITCH_INSIDE) for t, s in enumerate(p)))
         assert tuple(got[at : at + n]) == best
         at += n
+
+
+UNKNOWN = {
+    "it": "La copertura del documento non è stata verificata. Il revisore ha deciso di rileggere gli allegati prima della pubblicazione.",
+    "uk": "Немає жодних доказів, що підтверджують цю тезу. Перевірка архіву ще триває і результати невідомі.",
+    "sv": "Det finns inga bevis för att rapporten är fullständig. Granskaren läste igenom hela arkivet igen.",
+    "el": "Δεν υπάρχει καμία απόδειξη. Ο έλεγχος συνεχίζεται.",
+    "hi": "यह ठीक है। वह घर गया। क्या तुम आओगे?",
+    "ar": "لا يوجد دليل على ذلك. هل هذا صحيح؟",
+}
+
+
+@pytest.mark.parametrize("code", UNKNOWN)
+def test_other_languages_are_unknown(labeller, code):
+    got = labeller.label([UNKNOWN[code]])[0]
+    assert len(got) >= 2 and {x for _, _, x, _ in got} == {"und"}
+
+
+def test_foreign_names_do_not_make_a_language_unknown(labeller):
+    text = "The audit by Kelmar Vrondask Quilbaric Orrem was not finished. It is with Tamfett Isnorx for the next run."
+    assert {x for _, _, x, _ in labeller.label([text])[0]} == {"en"}
+
+
+def test_marks_of_other_scripts_and_texts_without_capitals(model):
+    split = lambda t: [t[a:b] for a, b in model.units(t)]
+    assert split("यह ठीक है। वह घर गया। क्या तुम आओगे?") == ["यह ठीक है।", "वह घर गया।", "क्या तुम आओगे?"]
+    assert split("هل هذا صحيح؟ نعم هو كذلك.") == ["هل هذا صحيح؟", "نعم هو كذلك."]
+    assert split("i like it. it is good. we go home now.") == ["i like it.", "it is good.", "we go home now."]
+
+
+def test_counts_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    needed = S.keys_of(S._places(S.training_texts(df)))
+    one, two = (S.counts_on(df.repartition(n))(needed) for n in (1, 5))
+    local = S.EdgeCounts(needed)
+    local.add([r.text for r in df.collect() if r.text])
+    assert one.edge == two.edge == local.edge and one.any == two.any == local.any
+
+
+def test_models_are_kept(tmp_path, model, labeller):
+    path = str(tmp_path / "m.json")
+    model.save(path)
+    text = "Dr. Kelmar measured 4.5 percent. Who signed C-12, and when?"
+    assert S.SentenceModel.load(path).units(text) == model.units(text)
+    labeller.languages.save(path)
+    assert L.Labeller(model, L.LanguageModel.load(path)).label([text]) == labeller.label([text])

@@ -5,14 +5,19 @@ scored by a word model. A Viterbi pass over the words of an item, with a high pe
 inside a sentence and a low one between sentences, labels the spans. A foreign name or a quoted word
 cannot pay the penalty and keeps the language of its sentence.
 
-The word model is fitted where it is used, without trusting the received labels: sentences of a
-bounded sample that function words identify start it, and two rounds of re-labelling all sampled
-sentences with it complete it. Han characters without kana are told apart by the characters that
-occur with kana and without.
+A script that none of the languages uses is the language ``und``, and so are sentences most of whose
+words no text of the languages has.
+
+The word model does not trust the received labels: sentences of a bounded sample that function words
+identify start it, and two rounds of re-labelling the sampled sentences with it make a first model.
+With that model the words of all texts are counted by language, and these counts are the model.
+Han characters without kana are told apart by the characters that occur with kana and without, over
+all texts.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -23,10 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.sentences import PARAGRAPH, SentenceModel, fit, training_texts
+from veristrata.plans.lineage import cut, release
+from veristrata.llm.sentences import PARAGRAPH, SentenceModel, counts_on, fit, training_texts
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "ko", "ja", "zh", "th")
-INDEX = {x: i for i, x in enumerate(LANGUAGES)}
+UNKNOWN = "und"
+#: States of the Viterbi pass.
+STATES = (*LANGUAGES, UNKNOWN)
+INDEX = {x: i for i, x in enumerate(STATES)}
 LATIN = ("en", "de", "fr", "es", "pt")
 #: Function words that identify a language of Latin script before anything is learnt.
 FUNCTION_WORDS = {
@@ -36,13 +45,23 @@ FUNCTION_WORDS = {
     "es": "la a de el los las del y en una un por con se para no que al lo su sin es más",
     "pt": "a de o os as do da dos das e em uma um por com não para que ao na no se sem é mais",
 }
+#: Function words that no other of these languages has.
+OWN_WORDS = {x: frozenset(words.split()).difference(*[w.split() for y, w in FUNCTION_WORDS.items() if y != x]) for x, words in FUNCTION_WORDS.items()}
 #: The word model counts at most so many distinct words; rarer words are unknown.
 MAX_WORDS = 60_000
 SWITCH_INSIDE, SWITCH_BETWEEN = 14.0, 2.0
 CLIP = 4.0
 
 DATA = re.compile(r"[!-~]{25,}")
-WORD = re.compile(r"[가-힣ᄀ-ᇿ]+|[฀-๿]+|[぀-ヿ㐀-鿿々ｦ-ﾟ]+|[Ѐ-ӿ]+|[A-Za-zªºÀ-ɏ̀-ͯḀ-ỿ]+")
+WORD = re.compile(r"[가-힣ᄀ-ᇿ]+|[฀-๿]+|[぀-ヿ㐀-鿿々ｦ-ﾟ]+|[Ѐ-ӿ]+|[A-Za-zªºÀ-ɏ̀-ͯḀ-ỿ]+|[^\W\d_A-Za-zªºÀ-ɏ̀-ͯḀ-ỿЀ-ӿ฀-๿぀-ヿ㐀-鿿々ｦ-ﾟ가-힣ᄀ-ᇿ]+")
+#: A sentence of at least so many words may be in another language if at least this share of them is not known in any
+#: language (Latin) or has letters that Russian has not (Cyrillic), unless this share is function words of its language only.
+UNKNOWN_WORDS, UNKNOWN_SHARE, UNKNOWN_LETTERS, FUNCTION_SHARE = 4, 0.6, 0.3, 0.15
+#: Rough sentences, as far as counting words needs them.
+ROUGH = re.compile(r"\n\s*\n|[.!?。！？…]+[\"”»’」』)]*(?:\s+|(?=[぀-ヿ㐀-鿿]))")
+HAN = re.compile(r"[㐀-鿿]")
+#: A sentence is counted for a language that leads by so much.
+NEED = 1.0
 KANA = re.compile(r"[぀-ヿｦ-ﾟ]")
 
 
@@ -59,27 +78,35 @@ class _Index(dict):
 
     def __missing__(self, word: str) -> int:
         rows = self.model._rows
-        self[word] = len(rows)
+        self[word] = number = len(self)
         rows.append(self.model.row(word))
-        return len(rows) - 1
+        self.model._new.append((*[word.lower() in OWN_WORDS[x] for x in LATIN], self.model.strange(word)))
+        return number
 
 
 class LanguageModel:
-    """Scores of words by language; unknown words of a shared script score 0."""
+    """Scores of words by language; unknown words of a shared script score 0.
 
-    def __init__(self, latin: dict[str, list[float]], han: dict[str, float]) -> None:
-        self.latin, self.han = latin, han
+    latin: word -> scores by LATIN; han: character -> how much it speaks for Japanese; cyrillic: the
+    letters of the known words of Russian.
+    """
+
+    def __init__(self, latin: dict[str, list[float]], han: dict[str, float], cyrillic: frozenset[str] = frozenset()) -> None:
+        self.latin, self.han, self.cyrillic = latin, han, cyrillic
         self._rows: list[list[float]] = []
+        self._new: list[tuple[bool, ...]] = []
         self._index = _Index(self)
+        self._matrix = np.zeros((0, len(STATES)), dtype=np.float32)
+        self._strange = np.zeros((0, 6), dtype=bool)
 
     def row(self, word: str) -> list[float]:
-        """Scores by LANGUAGES of one word."""
+        """Scores by STATES of one word."""
         c = word[0]
-        if c < "ͰЀ"[0]:
+        if c < "ͰЀ"[0] or "Ḁ" <= c <= "ỿ":
             scores = self.latin.get(word.lower())
             if scores is None:
-                return [0.0] * 5 + [-0.3] * 5
-            return [*scores, *[-0.3 - max(0.0, max(scores))] * 5]
+                return [0.0] * 5 + [-0.3] * 5 + [-CLIP]
+            return [*scores, *[-0.3 - max(0.0, max(scores))] * 5, -CLIP]
         if "Ѐ" <= c <= "ӿ":
             return self._one("ru")
         if "฀" <= c <= "๿":
@@ -88,35 +115,113 @@ class LanguageModel:
             return self._one("ko")
         if KANA.search(word):
             return self._one("ja")
+        if not ("㐀" <= c <= "鿿" or c == "々"):
+            return self._one(UNKNOWN)
         s = max(-CLIP, min(CLIP, sum(self.han.get(x, 0.0) for x in word)))
-        out = [-CLIP] * 10
+        out = [-CLIP] * len(STATES)
         out[INDEX["ja"]], out[INDEX["zh"]] = s / 2 + 0.5, -s / 2 + 0.5
         return out
 
+    def strange(self, word: str) -> bool:
+        """Whether a Latin or Cyrillic word is not known. Single letters say nothing."""
+        c = word[0]
+        if len(word) == 1:
+            return False
+        if "Ѐ" <= c <= "ӿ":
+            return bool(self.cyrillic) and not self.cyrillic.issuperset(word.lower())
+        return (c < "ͰЀ"[0] or "Ḁ" <= c <= "ỿ") and word.lower() not in self.latin
+
     @staticmethod
     def _one(language: str) -> list[float]:
-        out = [-CLIP] * 10
+        out = [-CLIP] * len(STATES)
         out[INDEX[language]] = 1.0
         return out
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Matrix of the scores of ``words``."""
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Matrix of the scores of ``words``; and for each whether it is a function word of only each of LATIN, and whether it is strange."""
         index = self._index
         if len(index) > 400_000:
             index.clear()
-            self._rows.clear()
-        ids = [index[w] for w in words]
-        if not ids:
-            return np.zeros((0, 10), dtype=np.float32)
-        if getattr(self, "_matrix", None) is None or len(self._matrix) != len(self._rows):
-            self._matrix = np.array(self._rows, dtype=np.float32)
-        return self._matrix[np.array(ids)]
+            self._rows, self._new = [], []
+            self._matrix, self._strange = self._matrix[:0], self._strange[:0]
+        ids = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self._matrix) < len(index):  # only rows of new words are made
+            self._matrix = np.concatenate([self._matrix, np.array(self._rows, dtype=np.float32)])
+            self._strange = np.concatenate([self._strange, np.array(self._new, dtype=bool).reshape(-1, 6)])
+            self._rows, self._new = [], []
+        return self._matrix[ids], self._strange[ids]
 
     def __getstate__(self) -> dict:
-        return {"latin": self.latin, "han": self.han}
+        return {"latin": self.latin, "han": self.han, "cyrillic": self.cyrillic}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["latin"], state["han"])
+        self.__init__(state["latin"], state["han"], state["cyrillic"])
+
+    def save(self, path: str) -> None:
+        """Write the model as JSON."""
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump({"latin": self.latin, "han": self.han, "cyrillic": sorted(self.cyrillic)}, out, ensure_ascii=False)
+
+    @staticmethod
+    def load(path: str) -> "LanguageModel":
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        return LanguageModel(read["latin"], read["han"], frozenset(read["cyrillic"]))
+
+
+class WordCounts:
+    """Counts of words by language, of Han characters with and without kana, and of Cyrillic words, over rough sentences."""
+
+    def __init__(self, labels: LanguageModel) -> None:
+        self.labels = labels
+        self.latin: list[Counter[str]] = [Counter() for _ in LATIN]
+        self.kana: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        self.cyrillic: Counter[str] = Counter()
+
+    def add(self, texts: Iterable[str]) -> None:
+        words: list[str] = []
+        sizes: list[int] = []
+        for text in texts:
+            for part in ROUGH.split(DATA.sub(" ", text)):
+                if not part:
+                    continue
+                found = WORD.findall(part)
+                latin = [w for w in found if w[0] < "Ͱ"]
+                if latin and len(latin) >= 0.8 * len(found):
+                    words += latin
+                    sizes.append(len(latin))
+                    continue
+                joined = "".join([w for w in found if w[0] >= "⺀"])
+                if joined and 2 * sum(map(len, latin)) < 3 * len(part):
+                    if han := HAN.findall(joined):
+                        self.kana[0 if KANA.search(joined) else 1].update(han)
+                elif not joined:
+                    self.cyrillic.update([w.lower() for w in found if "Ѐ" <= w[0] <= "ӿ"])
+        if not words:
+            return
+        words = list(map(str.lower, words))
+        vocabulary: dict[str, int] = {}
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64)
+        table = np.zeros((len(vocabulary), 5))
+        for w, i in vocabulary.items():
+            if (row := self.labels.latin.get(w)) is not None:
+                table[i] = row
+        ends = np.cumsum(sizes)
+        total = np.add.reduceat(table[ids], np.concatenate([[0], ends[:-1]]), axis=0)
+        ranked = np.sort(total, axis=1)
+        sure = ranked[:, -1] - ranked[:, -2] >= NEED
+        label = np.where(sure, total.argmax(axis=1), 5)
+        n = np.bincount(ids * 6 + np.repeat(label, sizes), minlength=6 * len(vocabulary)).reshape(-1, 6)
+        names = list(vocabulary)
+        for i in range(5):
+            for k in np.flatnonzero(n[:, i]).tolist():
+                self.latin[i][names[k]] += int(n[k, i])
+
+    def rows(self) -> Iterator[tuple[str, str, int]]:
+        """(kind, word, count)."""
+        for kind, counter in [*zip(LATIN, self.latin), ("kana", self.kana[0]), ("no kana", self.kana[1]), ("ru", self.cyrillic)]:
+            for word, n in counter.items():
+                yield kind, word, n
 
 
 def fit_languages(texts: Iterable[str], sentences: SentenceModel, rounds: int = 2) -> LanguageModel:
@@ -161,23 +266,61 @@ def fit_languages(texts: Iterable[str], sentences: SentenceModel, rounds: int =
         every: Counter[str] = Counter()
         for c in counts:
             every.update(c)
-        table = {}
-        for w, n in every.most_common(MAX_WORDS):
-            if n < 2 and w not in seeds:
-                continue
-            p = [(c[w] + 0.05) / t for c, t in zip(counts, total)]
-            known = n / (n + 3.0)
-            top = max(p)
-            mean = sum(math.log(x) for x in p) / 5
-            if top:
-                table[w] = [known * max(-CLIP, min(CLIP, math.log(x) - mean)) for x in p]
+        table = _word_scores(counts, total, [(w, n) for w, n in every.most_common(MAX_WORDS) if n >= 2 or w in seeds])
         for w, s in seeds.items():
             if w not in table:
                 table[w] = [2.0 * x for x in s]
-        need = 1.0
+        need = NEED
+    return LanguageModel({w: [round(x, 3) for x in s] for w, s in table.items()}, _han_scores(with_kana, without))
+
+
+def _word_scores(counts: list[Counter[str]], total: list[int], words: Iterable[tuple[str, int]]) -> dict[str, list[float]]:
+    table = {}
+    for w, n in words:
+        logs = [math.log((c[w] + 0.05) / t) for c, t in zip(counts, total)]
+        mean = sum(logs) / 5
+        table[w] = [n / (n + 3.0) * max(-CLIP, min(CLIP, x - mean)) for x in logs]
+    return table
+
+
+def _han_scores(with_kana: Counter[str], without: Counter[str]) -> dict[str, float]:
     kt, nt = sum(with_kana.values()) + 1, sum(without.values()) + 1
-    han = {x: max(-2.0, min(2.0, math.log((with_kana[x] + 0.5) / kt * nt / (without[x] + 0.5)))) for x in {*with_kana, *without}}
-    return LanguageModel({w: [round(x, 3) for x in s] for w, s in table.items()}, han)
+    return {x: max(-2.0, min(2.0, math.log((with_kana[x] + 0.5) / kt * nt / (without[x] + 0.5)))) for x in {*with_kana, *without}}
+
+
+def counted_languages(documents: DataFrame, first: LanguageModel, text: str = "text") -> LanguageModel:
+    """The word model of all texts, whose rough sentences ``first`` labels: one pass with partial sums.
+
+    Words that occur once are left out, of the others the MAX_WORDS most frequent ones are kept; a
+    letter of Russian is one in a hundred thousand of its letters at least; seed words keep the scores of ``first`` where they do not occur.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = WordCounts(shared.value)
+            counts.add(batch["t"].tolist())
+            yield pd.DataFrame(list(counts.rows()), columns=["kind", "word", "n"])
+
+    rows = documents.where(F.length(text) > 0).select(F.col(text).alias("t")).mapInPandas(run, "kind string, word string, n bigint")
+    sums = cut(rows.groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    totals = {r.kind: r.n for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    script = F.when(F.col("kind").isin(*LATIN), "latin").otherwise(F.col("kind"))
+    whole = sums.groupBy(script.alias("script"), "word").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("kind") == x, F.col("n"))).alias(x) for x in LATIN])
+    han = whole.where("script IN ('kana', 'no kana')").collect()  # characters
+    latin = whole.where("script = 'latin' AND all > 1").orderBy(F.desc("all"), "word").limit(MAX_WORDS).collect()
+    cyrillic = whole.where("script = 'ru'").select(F.explode(F.split("word", "")).alias("word"), "all").groupBy("word").agg(F.sum("all").alias("all"))
+    letters = cyrillic.collect()  # an alphabet
+    floor = 1e-5 * sum(r.all for r in letters)
+    counts = [Counter({r.word: r[x] or 0 for r in latin}) for x in LATIN]
+    table = _word_scores(counts, [totals.get(x, 0) + 1 for x in LATIN], [(r.word, r.all) for r in latin])
+    for words in FUNCTION_WORDS.values():
+        for w in words.split():
+            if w not in table and w in first.latin:
+                table[w] = first.latin[w]
+    kana = [Counter({r.word: r.all for r in han if r.script == kind}) for kind in ("kana", "no kana")]
+    release(sums)
+    return LanguageModel({w: [round(x, 3) for x in s] for w, s in table.items()}, _han_scores(*kana), frozenset(r.word for r in letters if r.all >= floor))
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -229,7 +372,7 @@ class Labeller:
         self.sentences, self.languages = sentences, languages
 
     def label(self, texts: list[str | None]) -> list[list[tuple[int, int, str | None, float]]]:
-        """For each text its sentences as (start, end, language, confidence); the language of data is null."""
+        """For each text its sentences as (start, end, language, confidence); the language of data is null, that of other languages ``und``."""
         units = [self.sentences.units(t) for t in texts]
         words: list[str] = []
         counts: list[int] = []
@@ -241,28 +384,40 @@ class Labeller:
                 words += got
                 counts.append(len(got))
             lengths.append(len(words) - before)
-        scores = self.languages.scores(words)
+        scores, strange = self.languages.scores(words)
         n = np.array(counts, dtype=np.int64)
         at = np.cumsum(n) - n
         first = np.zeros(len(words) + 1, dtype=bool)
         first[at] = True
         path = viterbi(scores, first, np.array(lengths, dtype=np.int64))
-        total = np.zeros((len(n), 10), dtype=np.float32)
+        states = len(STATES)
+        total = np.zeros((len(n), states), dtype=np.float32)
         some = n > 0
         if some.any():
             total[some] = np.add.reduceat(scores, at[some], axis=0)
-        votes = np.bincount(np.repeat(np.arange(len(n)) * 10, n) + path, minlength=10 * len(n)).reshape(-1, 10)
+        votes = np.bincount(np.repeat(np.arange(len(n)) * states, n) + path, minlength=states * len(n)).reshape(-1, states)
         winner = votes.argmax(axis=1)
         rows = np.arange(len(n))
-        own, spread = total[rows, winner], np.abs(total).max(axis=1, initial=0.0)
+        own, spread = total[rows, winner], np.abs(total[:, : len(LANGUAGES)]).max(axis=1, initial=0.0)
         total[rows, winner] = -np.inf
         margin = own - total.max(axis=1, initial=-np.inf)
         data = (n == 0) | (spread < 0.5 + 0.02 * n)
         conf = np.where(data, 0.0, np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))).astype(np.float64), 4)).tolist()
-        named = [None if d else LANGUAGES[w] for d, w in zip(data.tolist(), winner.tolist())]
+        shares = np.zeros((len(n), 6))
+        if some.any():
+            shares[some] = np.add.reduceat(strange, at[some], axis=0, dtype=np.int64) / n[some, None]
+        share = shares[:, 5]
+        own_words = np.where(winner < 5, shares[rows, np.minimum(winner, 4)], 0.0)
+        odd = ((n >= UNKNOWN_WORDS) & (share >= np.where(winner == INDEX["ru"], UNKNOWN_LETTERS, UNKNOWN_SHARE)) & (own_words < FUNCTION_SHARE) & ~data).tolist()
+        named = [None if d else STATES[w] for d, w in zip(data.tolist(), winner.tolist())]
         out, k = [], 0
         for spans in units:
             end = k + len(spans)
+            if True in odd[k:end]:  # two in a row, or all
+                real = [i for i in range(k, end) if named[i] is not None]
+                for h, i, j in zip([None, *real], real, [*real[1:], None]):
+                    if odd[i] and (len(real) == 1 or h is not None and odd[h] or j is not None and odd[j]):
+                        named[i], conf[i] = UNKNOWN, round(float(share[i]), 4)
             out.append([(a, b, x, c) for (a, b), x, c in zip(spans, named[k:end], conf[k:end])])
             k = end
         return out
@@ -294,10 +449,10 @@ def segments(sentences: list[tuple[int, int, str | None, float]]) -> list[tuple[
 
 
 def labeller_on(documents: DataFrame) -> Labeller:
-    """A labeller fitted on the bounded sample of ``documents.text``."""
+    """A labeller for ``documents.text``: corpus counts over all documents, the sentence chain and the first word model from a bounded sample."""
     texts = training_texts(documents)
-    sentences = fit(texts)
-    return Labeller(sentences, fit_languages(texts, sentences))
+    sentences = fit(texts, counted=counts_on(documents))
+    return Labeller(sentences, counted_languages(documents, fit_languages(texts, sentences)))
 
 
 def items_of(documents: DataFrame, texts: DataFrame) -> DataFrame:
@@ -378,4 +533,4 @@ def named_language(label: Column) -> Column:
 def unnamed_languages(items: DataFrame, labeller: Labeller) -> DataFrame:
     """(item_kind, item_id, lang): each language that an item contains and its label does not name, each once."""
     found = languages_contained(items, labeller)
-    return found.where(F.coalesce(named_language(F.col("label")), F.lit("")) != F.col("lang")).select("item_kind", "item_id", "lang").distinct()
+    return found.where((F.col("lang") != UNKNOWN) & (F.coalesce(named_language(F.col("label")), F.lit("")) != F.col("lang"))).select("item_kind", "item_id", "lang").distinct()

@@ -6,27 +6,30 @@ the chain is decoded over these candidates. A candidate's emission is a linear s
 the words or letters before it and those behind it; transitions depend on the distance to the last
 candidate. A blank line always ends a unit.
 
-The model is trained where it is used, without labels, on a bounded sample of the texts:
+The model is trained without labels:
 
 1. Blank lines are certain boundaries. What stands at the start and at the end of paragraphs is
    compared with what stands anywhere in them, with all punctuation stripped; this gives odds that
-   need no marks and serve scripts without end marks.
-2. With these odds and a prior for each mark the sample is tagged.
-3. A logistic model of richer features and the transitions are fitted to these tags.
+   need no marks and serve scripts without end marks. These counts cover all texts.
+2. With these odds and a prior for each mark a bounded sample of the texts is tagged.
+3. A logistic model of richer features and the transitions are fitted to the tagged sample.
+
+A model is fitted where none is given; ``SentenceModel.save`` and ``load`` keep one for other tables.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The model is fitted on at most so many texts (those with the smallest hashes of their text) ...
+#: The chain is fitted on at most so many texts (those with the smallest hashes of their text) ...
 TRAIN_TEXTS = 3000
 #: ... of at most so many characters each.
 TRAIN_CHARS = 20_000
@@ -35,7 +38,9 @@ TRAIN_SEED = 17
 KNOWN_PLACES = 300_000
 
 PARAGRAPH = re.compile(r"\r?\n[^\S\n]*\n\s*")
-MARKS = re.compile(r"(?:[!?…。！？｡．‥⁇⁈⁉‼]|\.(?![a-z0-9]))[.!?…。！？｡．‥⁇⁈⁉‼]*")  # a point within a name, number or address is no mark
+#: Full stops, question and exclamation marks of other scripts, by the Unicode property Sentence_Terminal.
+OTHER_MARKS = "՜՝՞։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።፧፨᙮᜵᜶᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿⸮⸼꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+MARKS = re.compile(rf"(?:[!?…。！？｡．‥⁇⁈⁉‼{OTHER_MARKS}]|\.(?![a-z0-9]))[.!?…。！？｡．‥⁇⁈⁉‼{OTHER_MARKS}]*")  # a point within a name, number or address is no mark
 THAI = re.compile(r"[฀-๿]")
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ]")
 BLANK = re.compile(r"\s+")
@@ -126,6 +131,7 @@ def _candidates(text: str, start: int, end: int) -> list[Candidate]:
     out: list[Candidate] = []
     k, n = 0, len(spans)
     done = start
+    caseless = text[start:end].islower()  # no capital to tell a start by
     for m in MARKS.finditer(text, start, end):
         a, e = m.span()
         if a <= start or a < done:
@@ -159,7 +165,7 @@ def _candidates(text: str, start: int, end: int) -> list[Candidate]:
                 continue
             if c in ",;:，、；：·、）)" or ("가" <= c <= "힣" and e > m.end()):
                 continue
-        elif c.islower() and (w := LOWER_WORD.match(text, nxt, min(end, nxt + 24))) and w.end() > nxt:
+        elif not caseless and c.islower() and (w := LOWER_WORD.match(text, nxt, min(end, nxt + 24))) and w.end() > nxt:
             continue
         elif c in ",;:，、；：)）":
             continue
@@ -260,6 +266,17 @@ class SentenceModel:
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "transitions": self.transitions, "_known": {}}
 
+    def save(self, path: str) -> None:
+        """Write the model as JSON."""
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump({"weights": self.weights, "transitions": [[*k, v] for k, v in self.transitions.items()]}, out, ensure_ascii=False)
+
+    @staticmethod
+    def load(path: str) -> "SentenceModel":
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        return SentenceModel(read["weights"], {(t, g): v for t, g, v in read["transitions"]})
+
     def _score(self, text: str, start: int, end: int, c: Candidate) -> float:
         lk, left = _left(text, start, c.left)
         rk, right = _right(text, c.nxt, end)
@@ -330,33 +347,102 @@ def decode(found: list[Candidate], scores: list[float], start: int, transitions:
 PRIOR = {".": 0.5, "!": 2.5, "。": 3.0, "…": -0.5, " ": -1.0}
 
 
-class _Odds:
-    """Log odds of keys at paragraph edges against keys anywhere, with back-off to shorter keys."""
+class EdgeCounts:
+    """How often a key stands at an edge of a paragraph, and anywhere.
+
+    A key is "S" or "E" (start or end), "w" or "u" (spaced or unspaced script), and what stands there;
+    the key without a third part counts all places. ``needed`` restricts it to the keys that a sample
+    asks for.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, needed: frozenset[str] | None = None) -> None:
         self.edge: Counter[str] = Counter()
         self.any: Counter[str] = Counter()
-        self.edges = self.all = 0
-
-    def add(self, keys: list[str], edge: bool, weight: int = 1) -> None:
-        """Count the keys of a place; weight: places that it stands for."""
-        if edge:
-            self.edges += 1
-            self.edge.update(set(keys))
-        else:
-            self.all += weight
-            for key in set(keys):
-                self.any[key] += weight
-
-    def score(self, keys: list[str]) -> float:
-        for key in keys:
-            e, a = self.edge[key], self.any[key]
+        self.needed = needed
+
+    def _put(self, counter: Counter[str], prefix: str, keys: Iterable[str], n: int = 1) -> None:
+        needed = self.needed
+        for key in set(keys):
+            key = prefix + key
+            if needed is None or key in needed:
+                counter[key] += n
+        counter[prefix] += n
+
+    def add(self, texts: Iterable[str]) -> None:
+        """Count all places of ``texts``."""
+        words: Counter[str] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
+        grams: Counter[str] = Counter()
+        places = 0
+        for text in texts:
+            for a, b in _paragraphs(text):
+                bare = b
+                while bare > a and (text[bare - 1] in TAIL or text[bare - 1].isspace()):
+                    bare -= 1
+                if bare - a < 12:
+                    continue
+                kind, keys = _right(text, a, b)
+                self._put(self.edge, "S" + kind, keys)
+                kind, keys = _left(text, a, bare)
+                self._put(self.edge, "E" + kind, keys)
+                part = text[a:b]
+                if not UNSPACED.search(part):
+                    found = part.split()
+                    words.update(found)
+                    pairs.update(zip(found, found[1:]))
+                    continue
+                for m in BLANK.finditer(part):
+                    kind, keys = _right(text, a + m.end(), b)
+                    self._put(self.any, "S" + kind, keys)
+                    kind, keys = _left(text, a, a + m.start())
+                    self._put(self.any, "E" + kind, keys)
+                if not THAI.search(part):
+                    plain = WORDISH.sub("N", part.replace("\n", " "))
+                    n = len(plain)
+                    for k in WIDTHS:  # every third place stands for three
+                        grams.update([plain[i : i + k] for i in range(1, n - k + 1, 3)])
+                    places += (n - 1) // 3
+        self._settle(words, pairs, grams, places)
+
+    def _settle(self, words: Counter, pairs: Counter, grams: Counter, places: int) -> None:
+        """Bring counts of words as written to the keys of places."""
+        out, needed = self.any, self.needed
+
+        def put(key: str, n: int) -> None:
+            if needed is None or key in needed:
+                out[key] += n
+
+        for w, n in words.items():
+            first, last = NORMS[w], NORMS[w.rstrip(TAIL)]
+            put("Sw" + first, n)
+            put("Sw" + _shape(first), n)
+            put("Ew" + last, n)
+            put("Ew~" + last[-2:], n)
+            out["Sw"] += n
+            out["Ew"] += n
+        for (v, w), n in pairs.items():
+            head = NORMS[v] + " "
+            put("Sw" + head + NORMS[w], n)
+            put("Ew" + head + NORMS[w.rstrip(TAIL)], n)
+        for g, n in grams.items():
+            put("Su" + g, 3 * n)
+            put("Eu" + g, 3 * n)
+        if places:
+            out["Su"] += 3 * places
+            out["Eu"] += 3 * places
+
+    def score(self, side: str, kind: str, keys: list[str]) -> float:
+        """Log odds of an edge where ``keys``, the longest first, stand; with back-off to shorter keys."""
+        prefix = side + kind
+        exact = 2 if kind == "u" else 1
+        for i, key in enumerate(keys):
+            e, a = self.edge[prefix + key], self.any[prefix + key]
             if e + a >= 4:
-                if not e:  # about a fifth of all sentences stand at an edge; a key that begins or ends sentences would have been seen there
-                    if a < 24:
-                        continue
+                base = self.edge[prefix] / max(1, self.any[prefix])
+                if not e and i < exact and a >= 24:  # a fifth of all sentences stand at an edge; a phrase that begins or ends sentences would have been seen there
                     return -min(4.0, 0.12 * a)
-                base = self.edges / max(1, self.all)
+                if not e and base * a < 1.0:  # a word that stands in other places too is too rare to be missed at the edges
+                    continue
                 return max(-4.0, min(3.0, math.log((e + 0.3) / (base * a + 0.3))))
         return -0.5
 
@@ -374,61 +460,73 @@ def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = nxt
 
 
-def fit(texts: Iterable[str], epochs: int = 6) -> SentenceModel:
-    """A model fitted on ``texts`` without labels (see the module's docstring); deterministic for the same texts in the same order."""
-    texts = [t for t in dict.fromkeys(texts) if t and t.strip()]
-    ends: dict[str, _Odds] = defaultdict(_Odds)
-    starts: dict[str, _Odds] = defaultdict(_Odds)
+class _Place:
+    """A candidate of the sample with what stands at its sides."""
+
+    __slots__ = ("c", "lk", "left", "rk", "right", "space")
+
+    def __init__(self, text: str, a: int, b: int, c: Candidate) -> None:
+        self.c, self.space = c, _space(text, c)
+        self.lk, self.left = _left(text, a, c.left)
+        self.rk, self.right = _right(text, c.nxt, b)
+
+
+def _places(texts: list[str]) -> list[tuple[int, list[_Place]]]:
+    """(start, candidates) of each paragraph that has candidates."""
+    out = []
     for text in texts:
         for a, b in _paragraphs(text):
-            bare = b
-            while bare > a and (text[bare - 1] in TAIL or text[bare - 1].isspace()):
-                bare -= 1
-            if bare - a < 12:
-                continue
-            kind, keys = _right(text, a, b)
-            starts[kind].add(keys, True)
-            kind, keys = _left(text, a, bare)
-            ends[kind].add(keys, True)
-            step = re.finditer(r"\s+", text[a:b])
-            for m in step:
-                kind, keys = _right(text, a + m.end(), b)
-                starts[kind].add(keys, False)
-                kind, keys = _left(text, a, a + m.start())
-                ends[kind].add(keys, False)
-            if UNSPACED.search(text, a, b) and not THAI.search(text, a, b):
-                for i in range(a + 1, bare, 3):
-                    kind, keys = _right(text, i, b)
-                    starts[kind].add(keys, False, 3)
-                    kind, keys = _left(text, a, i)
-                    ends[kind].add(keys, False, 3)
+            if found := _candidates(text, a, b):
+                out.append((a, [_Place(text, a, b, c) for c in found]))
+    return out
+
+
+def keys_of(places: list[tuple[int, list[_Place]]]) -> frozenset[str]:
+    """The keys whose counts the tagging of a sample asks for."""
+    found = {"Sw", "Su", "Ew", "Eu"}
+    for _, here in places:
+        for p in here:
+            found.update(["E" + p.lk + k for k in p.left])
+            found.update(["S" + p.rk + k for k in p.right])
+    return frozenset(found)
+
+
+def fit(texts: Iterable[str], epochs: int = 6, counted: Callable[[frozenset[str]], EdgeCounts] | None = None) -> SentenceModel:
+    """A model fitted on ``texts`` without labels (see the module's docstring); deterministic for the same texts in the same order.
+
+    counted: gives the counts of all texts for the keys that these texts ask for; without it these
+    texts are all there are.
+    """
+    texts = [t for t in dict.fromkeys(texts) if t and t.strip()]
+    sample = _places(texts)
+    if counted is None:
+        odds = EdgeCounts()
+        odds.add(texts)
+    else:
+        odds = counted(keys_of(sample))
     data: list[tuple[list[str], int]] = []
     gaps: Counter[tuple[int, int, int]] = Counter()
     first_trans = {(t, 0): -2.5 for t in (0, 1)} | {(t, 1): -1.0 for t in (0, 1)}
-    for text in texts:
-        for a, b in _paragraphs(text):
-            found = _candidates(text, a, b)
-            if not found:
-                continue
-            scores = []
-            for c in found:
-                lk, left = _left(text, a, c.left)
-                rk, right = _right(text, c.nxt, b)
-                s = PRIOR[c.mark] + ends[lk].score(left) + starts[rk].score(right)
-                if c.quote[:1] == "s":
-                    s -= 3.0
-                if c.mark == "." and lk == "w" and (len(left[1]) == 1 and left[1].isupper() or left[1][-1:] == "0" and right[1] == "0."):
-                    s -= 3.0  # an initial, or a number between numbers
-                if c.mark == "." and c.end - a < 6:
-                    s -= 3.0  # a short first word
-                scores.append(s)
-            chosen = {id(c) for c in decode(found, scores, a, first_trans)}
-            last, tag = a, 1
-            for c in found:
-                y = int(id(c) in chosen)
-                data.append((_features(c, _space(text, c), *_left(text, a, c.left), *_right(text, c.nxt, b)), y))
-                gaps[tag, _gap(c.end - last), y] += 1
-                last, tag = c.nxt, y
+    for a, here in sample:
+        scores = []
+        for p in here:
+            c, left, right = p.c, p.left, p.right
+            z = PRIOR[c.mark] + odds.score("E", p.lk, left) + odds.score("S", p.rk, right)
+            if c.quote[:1] == "s":
+                z -= 3.0
+            if c.mark == "." and p.lk == "w" and (len(left[1]) == 1 and left[1].isupper() or left[1][-1:] == "0" and right[1] == "0."):
+                z -= 3.0  # an initial, or a number between numbers
+            if c.mark == "." and c.end - a < 6:
+                z -= 3.0  # a short first word
+            scores.append(z)
+        chosen = {id(c) for c in decode([p.c for p in here], scores, a, first_trans)}
+        last, tag = a, 1
+        for p in here:
+            c = p.c
+            y = int(id(c) in chosen)
+            data.append((_features(c, p.space, p.lk, p.left, p.rk, p.right), y))
+            gaps[tag, _gap(c.end - last), y] += 1
+            last, tag = c.nxt, y
     seen: Counter[str] = Counter()
     for features, _ in data:
         seen.update(features)
@@ -479,8 +577,32 @@ def training_texts(df: DataFrame, text: str = "text", bound: int = TRAIN_TEXTS)
     return [r.t for r in chosen.distinct().orderBy("h", "t").limit(bound).collect()]
 
 
+def counts_on(df: DataFrame, text: str = "text") -> Callable[[frozenset[str]], EdgeCounts]:
+    """Counts over all texts of ``df`` for given keys: one pass with partial sums, of which a row for each key is shuffled."""
+
+    def counted(needed: frozenset[str]) -> EdgeCounts:
+        shared = df.sparkSession.sparkContext.broadcast(needed)  # the keys of the bounded sample
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts = EdgeCounts(shared.value)
+            for batch in batches:
+                counts.add(batch["t"].tolist())
+            keys = list({*counts.edge, *counts.any})
+            yield pd.DataFrame({"k": pd.Series(keys, dtype=object), "e": pd.Series([counts.edge[k] for k in keys], dtype="int64"), "a": pd.Series([counts.any[k] for k in keys], dtype="int64")})
+
+        rows = df.where(F.length(text) > 0).select(F.col(text).alias("t")).mapInPandas(run, "k string, e bigint, a bigint")
+        found = rows.groupBy("k").agg(F.sum("e").alias("e"), F.sum("a").alias("a")).toPandas()  # not more than the needed keys
+        out = EdgeCounts(needed)
+        out.edge.update(dict(zip(found["k"], found["e"].tolist())))
+        out.any.update(dict(zip(found["k"], found["a"].tolist())))
+        return out
+
+    return counted
+
+
 def fit_on(df: DataFrame, text: str = "text") -> SentenceModel:
-    return fit(training_texts(df, text))
+    """A model for ``df``: odds from all its texts, the chain from a bounded sample."""
+    return fit(training_texts(df, text), counted=counts_on(df, text))
 
 
 def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", model: SentenceModel | None = None) -> DataFrame:
@@ -488,7 +610,7 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", mode
 
     Null, empty and blank texts give no sentence; a text without any mark gives one for each
     paragraph; repeated rows give repeated sentences; other columns are ignored. The model is fitted
-    on a bounded sample of ``df`` unless given. One narrow pass: no shuffle.
+    on ``df`` unless given (``fit_on``). One narrow pass: no shuffle.
     """
     model = model or fit_on(df, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
