@@ -57,6 +57,9 @@ WORD = re.compile(r"[가-힣ᄀ-ᇿ]+|[฀-๿]+|[぀-ヿ㐀-鿿々ｦ-ﾟ]+|[Ѐ
 #: A sentence of at least so many words may be in another language if at least this share of them is not known in any
 #: language (Latin) or has letters that Russian has not (Cyrillic), unless this share is function words of its language only.
 UNKNOWN_WORDS, UNKNOWN_SHARE, UNKNOWN_LETTERS, FUNCTION_SHARE = 4, 0.6, 0.3, 0.15
+#: Letters of other scripts, and the words and ends of lower-case text of Latin script.
+OTHER = re.compile(r"[Ͱ-᷿ἀ-῿Ⰰ-ⷿ⺀-퟿豈-﷿ｦ-ﾟ]")
+LATIN_OR_END = re.compile(r"[a-zªºß-öø-ɏ̀-ͯḁ-ỿ]+|[.!?…]+(?=[\s\"”»’)])|\n\s*\n")
 #: Rough sentences, as far as counting words needs them.
 ROUGH = re.compile(r"\n\s*\n|[.!?。！？…]+[\"”»’」』)]*(?:\s+|(?=[぀-ヿ㐀-鿿]))")
 HAN = re.compile(r"[㐀-鿿]")
@@ -67,7 +70,7 @@ KANA = re.compile(r"[぀-ヿｦ-ﾟ]")
 
 def words_of(text: str) -> list[str]:
     """Words, or runs of a script without blanks; strings of data are left out."""
-    return WORD.findall(DATA.sub(" ", text))
+    return WORD.findall(DATA.sub(" ", text) if DATA.search(text) else text)
 
 
 class _Index(dict):
@@ -179,17 +182,21 @@ class WordCounts:
         self.cyrillic: Counter[str] = Counter()
 
     def add(self, texts: Iterable[str]) -> None:
-        words: list[str] = []
-        sizes: list[int] = []
+        words: list[str] = []  # with what ends sentences between them
         for text in texts:
-            for part in ROUGH.split(DATA.sub(" ", text)):
+            text = DATA.sub(" ", text)
+            if not OTHER.search(text):
+                words += LATIN_OR_END.findall(text.lower())
+                words.append(".")
+                continue
+            for part in ROUGH.split(text):
                 if not part:
                     continue
                 found = WORD.findall(part)
                 latin = [w for w in found if w[0] < "Ͱ"]
                 if latin and len(latin) >= 0.8 * len(found):
-                    words += latin
-                    sizes.append(len(latin))
+                    words += [w.lower() for w in latin]
+                    words.append(".")
                     continue
                 joined = "".join([w for w in found if w[0] >= "⺀"])
                 if joined and 2 * sum(map(len, latin)) < 3 * len(part):
@@ -199,15 +206,22 @@ class WordCounts:
                     self.cyrillic.update([w.lower() for w in found if "Ѐ" <= w[0] <= "ӿ"])
         if not words:
             return
-        words = list(map(str.lower, words))
         vocabulary: dict[str, int] = {}
         ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64)
         table = np.zeros((len(vocabulary), 5))
+        ends = np.zeros(len(vocabulary), dtype=bool)
         for w, i in vocabulary.items():
             if (row := self.labels.latin.get(w)) is not None:
                 table[i] = row
-        ends = np.cumsum(sizes)
-        total = np.add.reduceat(table[ids], np.concatenate([[0], ends[:-1]]), axis=0)
+            ends[i] = not w[0].isalpha() and not "\u0300" <= w[0] <= "\u036f"
+        stop = ends[ids]
+        number = np.cumsum(stop)[~stop]  # of the sentence of each word
+        ids = ids[~stop]
+        if not len(ids):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        total = np.add.reduceat(table[ids], begin, axis=0)
+        sizes = np.diff(np.append(begin, len(ids)))
         ranked = np.sort(total, axis=1)
         sure = ranked[:, -1] - ranked[:, -2] >= NEED
         label = np.where(sure, total.argmax(axis=1), 5)
@@ -379,8 +393,9 @@ class Labeller:
         lengths = []
         for text, spans in zip(texts, units):
             before = len(words)
+            split = words_of if text and DATA.search(text) else WORD.findall
             for a, b in spans:
-                got = words_of(text[a:b])
+                got = split(text[a:b])
                 words += got
                 counts.append(len(got))
             lengths.append(len(words) - before)

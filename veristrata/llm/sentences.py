@@ -25,6 +25,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,7 @@ LOWER_WORD = re.compile(r"[a-zß-öø-ÿа-яё]+(?![\w.\-])")
 WIDTHS = (10, 6, 4, 3, 2, 1)
 #: Stripped from what stands before a place, as it is at the ends of paragraphs.
 TAIL = ".!?…。！？｡．\"”»」』)）“’;； \t\r\n\u00a0\u202f\u3000"
+TAIL_CODES = np.array([ord(c) for c in TAIL], dtype=np.uint32)
 
 
 class _Norms(dict):
@@ -125,8 +127,8 @@ def _mark_class(marks: str) -> str:
     return "!" if c != "." else "."
 
 
-def _candidates(text: str, start: int, end: int) -> list[Candidate]:
-    """The candidates of a paragraph text[start:end) in order; its own end is none."""
+def _candidates(text: str, start: int, end: int, spaced: bool = False) -> list[Candidate]:
+    """The candidates of a paragraph text[start:end) in order; its own end is none. spaced: all of it is in scripts with blanks."""
     spans, closers = _pairs(text, start, end)
     out: list[Candidate] = []
     k, n = 0, len(spans)
@@ -177,7 +179,7 @@ def _candidates(text: str, start: int, end: int) -> list[Candidate]:
             if before and before[-1] in ":：，," and o - start < 30:
                 quote += "e"
         out.append(Candidate(e, nxt, kind, a, quote))
-    if THAI.search(text, start, end):
+    if not spaced and THAI.search(text, start, end):
         taken = {c.nxt for c in out}
         k = 0
         for m in BLANK.finditer(text, start, end):
@@ -193,29 +195,52 @@ def _candidates(text: str, start: int, end: int) -> list[Candidate]:
     return out
 
 
-def _left(text: str, start: int, at: int) -> tuple[str, list[str]]:
-    """Script kind and keys, long ones first, of what ends at ``at``."""
+def _left_side(text: str, start: int, at: int, spaced: bool = False) -> tuple[str, str]:
+    """Script kind of what ends at ``at``, and as much of it as its keys depend on."""
     piece = text[max(start, at - 28) : at].rstrip(TAIL)
-    if UNSPACED.search(piece, max(0, len(piece) - 8)):
-        s = "^" * (len(piece) < 6) + WORDISH.sub("N", piece)
-        return "u", [s[-k:] for k in WIDTHS if k < len(s) or k == 1]  # what is all of a paragraph so far says little about its end
-    words = piece.split()
+    if not spaced and UNSPACED.search(piece, max(0, len(piece) - 8)):
+        s = WORDISH.sub("N", piece)
+        return "u", ("^" + s if len(piece) < 6 else s)[-1 - WIDTHS[0] :]
+    words = piece.rsplit(None, 2)
     if not words:
-        return "w", ["^", "^", "^"]
-    last = NORMS[words[-1]]
-    two = (NORMS[words[-2]] if len(words) > 1 else "^") + " " + last
-    return "w", [two, last, "~" + last[-2:]]
+        return "w", "^"
+    return "w", (NORMS[words[-2].rsplit(None, 1)[-1]] if len(words) > 1 else "^") + " " + NORMS[words[-1]]
 
 
-def _right(text: str, at: int, end: int) -> tuple[str, list[str]]:
+def _left_keys(kind: str, side: str) -> list[str]:
+    """Keys, long ones first."""
+    if kind == "u":
+        return [side[-k:] for k in WIDTHS if k < len(side) or k == 1]  # what is all of a paragraph so far says little about its end
+    if side == "^":
+        return ["^", "^", "^"]
+    last = side.split(" ", 1)[1]
+    return [side, last, "~" + last[-2:]]
+
+
+def _right_side(text: str, at: int, end: int, spaced: bool = False) -> tuple[str, str]:
     piece = text[at : min(end, at + 28)]
-    if UNSPACED.search(piece, 0, 12):
-        s = WORDISH.sub("N", piece.replace("\n", " "))
-        return "u", [s[:k] for k in WIDTHS]
+    if not spaced and UNSPACED.search(piece, 0, 12):
+        return "u", WORDISH.sub("N", piece.replace("\n", " "))[: WIDTHS[0]]
     words = piece.split(None, 2)
-    first = NORMS[words[0]] if words else "$"
-    two = first + " " + (NORMS[words[1]] if len(words) > 1 else "$")
-    return "w", [two, first, _shape(first)]
+    return "w", (NORMS[words[0]] if words else "$") + " " + (NORMS[words[1]] if len(words) > 1 else "$")
+
+
+def _right_keys(kind: str, side: str) -> list[str]:
+    if kind == "u":
+        return [side[:k] for k in WIDTHS]
+    first = side.split(" ", 1)[0]
+    return [side, first, _shape(first)]
+
+
+def _left(text: str, start: int, at: int) -> tuple[str, list[str]]:
+    """Script kind and keys, long ones first, of what ends at ``at``."""
+    kind, side = _left_side(text, start, at)
+    return kind, _left_keys(kind, side)
+
+
+def _right(text: str, at: int, end: int) -> tuple[str, list[str]]:
+    kind, side = _right_side(text, at, end)
+    return kind, _right_keys(kind, side)
 
 
 def _tail(word: str) -> str:
@@ -261,10 +286,14 @@ class SentenceModel:
 
     def __init__(self, weights: dict[str, float], transitions: dict[tuple[int, int], float]) -> None:
         self.weights, self.transitions = weights, transitions
+        gaps = {g for _, g in transitions}
+        apart = max([abs(transitions.get((1, g), 0.0) - transitions.get((0, g), 0.0)) for g in gaps], default=0.0)
+        #: Beyond this score no neighbour can change a tag.
+        self.sure = max([abs(t) for t in transitions.values()], default=0.0) + apart
         self._known: dict[tuple, float] = {}
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "transitions": self.transitions, "_known": {}}
+        return {**self.__dict__, "_known": {}}
 
     def save(self, path: str) -> None:
         """Write the model as JSON."""
@@ -277,25 +306,27 @@ class SentenceModel:
             read = json.load(file)
         return SentenceModel(read["weights"], {(t, g): v for t, g, v in read["transitions"]})
 
-    def _score(self, text: str, start: int, end: int, c: Candidate) -> float:
-        lk, left = _left(text, start, c.left)
-        rk, right = _right(text, c.nxt, end)
+    def _score(self, text: str, start: int, end: int, c: Candidate, spaced: bool) -> float:
+        left, right = _left_side(text, start, c.left, spaced), _right_side(text, c.nxt, end, spaced)
         space = _space(text, c)
-        key = (c.mark, space, c.quote, lk, left[0], rk, right[0])
+        key = (c.mark, space, c.quote, left, right)
         score = self._known.get(key)
         if score is None:
             if len(self._known) > KNOWN_PLACES:
                 self._known.clear()
             get = self.weights.get
-            score = self._known[key] = sum([get(f, 0.0) for f in _features(c, space, lk, left, rk, right)])
+            score = self._known[key] = sum([get(f, 0.0) for f in _features(c, space, left[0], _left_keys(*left), right[0], _right_keys(*right))])
         return score
 
     def cuts(self, text: str, start: int, end: int) -> list[Candidate]:
         """The candidates of a paragraph that end a unit: Viterbi over the tags inside (0) and boundary (1)."""
-        found = _candidates(text, start, end)
+        spaced = not UNSPACED.search(text, start, end)
+        found = _candidates(text, start, end, spaced)
         if not found:
             return found
-        scores = [self._score(text, start, end, c) for c in found]
+        scores = [self._score(text, start, end, c, spaced) for c in found]
+        if min(map(abs, scores)) > self.sure:  # the best sequence takes each tag by its own score
+            return [c for c, s in zip(found, scores) if s > 0]
         return decode(found, scores, start, self.transitions)
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
@@ -347,33 +378,70 @@ def decode(found: list[Candidate], scores: list[float], start: int, transitions:
 PRIOR = {".": 0.5, "!": 2.5, "。": 3.0, "…": -0.5, " ": -1.0}
 
 
+def _rolled(text: str | np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k characters from each place on."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") if isinstance(text, str) else text
+    out = np.zeros(len(first), dtype=np.uint64)
+    for j in range(k):
+        out = (out + code[first + j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class EdgeCounts:
-    """How often a key stands at an edge of a paragraph, and anywhere.
+    """How often each needed key stands at an edge of a paragraph, and anywhere.
 
     A key is "S" or "E" (start or end), "w" or "u" (spaced or unspaced script), and what stands there;
-    the key without a third part counts all places. ``needed`` restricts it to the keys that a sample
-    asks for.
+    the key without a third part counts all places. Only the keys that a sample asks for are counted.
     """
 
-    def __init__(self, needed: frozenset[str] | None = None) -> None:
-        self.edge: Counter[str] = Counter()
-        self.any: Counter[str] = Counter()
-        self.needed = needed
-
-    def _put(self, counter: Counter[str], prefix: str, keys: Iterable[str], n: int = 1) -> None:
-        needed = self.needed
-        for key in set(keys):
-            key = prefix + key
-            if needed is None or key in needed:
-                counter[key] += n
-        counter[prefix] += n
+    def __init__(self, needed: Iterable[str]) -> None:
+        self.keys = sorted(needed)
+        self.index = {k: i for i, k in enumerate(self.keys)}
+        self.edge, self.any = np.zeros(len(self.keys) + 1, dtype=np.int64), np.zeros(len(self.keys) + 1, dtype=np.int64)  # the last place takes what is not needed
+        self.heads: dict[str, int] = {}
+        self.seconds: dict[str, dict[str, int]] = {"S": {}, "E": {}}
+        pairs: dict[str, list[tuple[int, int, int]]] = {"S": [], "E": []}
+        grams: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for k, i in self.index.items():
+            side, kind, what = k[0], k[1], k[2:]
+            if kind == "w" and " " in what:
+                head, second = what.split(" ", 1)
+                pairs[side].append((self.heads.setdefault(head, len(self.heads)), self.seconds[side].setdefault(second, len(self.seconds[side])), i))
+            elif kind == "u" and what:
+                grams.setdefault((side, len(what)), []).append((int(_rolled(what, np.zeros(1, dtype=np.int64), len(what))[0]), i))
+        self.pairs = {}
+        for side, rows in pairs.items():
+            code = np.array([h * max(1, len(self.seconds[side])) + x for h, x, _ in rows], dtype=np.int64)
+            order = np.argsort(code)
+            self.pairs[side] = code[order], np.array([i for _, _, i in rows], dtype=np.int64)[order]
+        self.grams = {}
+        for key, rows in grams.items():
+            rows.sort()
+            self.grams[key] = np.array([h for h, _ in rows], dtype=np.uint64), np.array([i for _, i in rows], dtype=np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self._rows: dict[str, int] = {}
+        self._new: list[tuple[int, ...]] = []
+        self._ids = np.zeros((0, 7), dtype=np.int64)
+
+    def _row(self, word: str) -> tuple[int, ...]:
+        """Where the counts of a word as written go: first, shape, last, tail; its number as head of pairs and as second of either side."""
+        first, last = NORMS[word], NORMS[word.rstrip(TAIL)]
+        at, none = self.index.get, len(self.keys)
+        return (at("Sw" + first, none), at("Sw" + _shape(first), none), at("Ew" + last, none), at("Ew~" + last[-2:], none), self.heads.get(first, -1), self.seconds["S"].get(first, -1), self.seconds["E"].get(last, -1))
+
+    def _put(self, prefix: str, keys: Iterable[str]) -> None:
+        for key in {"", *keys}:
+            if (i := self.index.get(prefix + key)) is not None:
+                self.edge[i] += 1
 
     def add(self, texts: Iterable[str]) -> None:
         """Count all places of ``texts``."""
-        words: Counter[str] = Counter()
-        pairs: Counter[tuple[str, str]] = Counter()
-        grams: Counter[str] = Counter()
-        places = 0
+        words: list[str] = []
+        sizes: list[int] = []
+        plain: list[str] = []
         for text in texts:
             for a, b in _paragraphs(text):
                 bare = b
@@ -382,63 +450,86 @@ class EdgeCounts:
                 if bare - a < 12:
                     continue
                 kind, keys = _right(text, a, b)
-                self._put(self.edge, "S" + kind, keys)
+                self._put("S" + kind, keys)
                 kind, keys = _left(text, a, bare)
-                self._put(self.edge, "E" + kind, keys)
+                self._put("E" + kind, keys)
                 part = text[a:b]
-                if not UNSPACED.search(part):
+                if UNSPACED.search(part):
+                    plain.append(WORDISH.sub("N", part.replace("\n", " ")))
+                else:
                     found = part.split()
-                    words.update(found)
-                    pairs.update(zip(found, found[1:]))
-                    continue
-                for m in BLANK.finditer(part):
-                    kind, keys = _right(text, a + m.end(), b)
-                    self._put(self.any, "S" + kind, keys)
-                    kind, keys = _left(text, a, a + m.start())
-                    self._put(self.any, "E" + kind, keys)
-                if not THAI.search(part):
-                    plain = WORDISH.sub("N", part.replace("\n", " "))
-                    n = len(plain)
-                    for k in WIDTHS:  # every third place stands for three
-                        grams.update([plain[i : i + k] for i in range(1, n - k + 1, 3)])
-                    places += (n - 1) // 3
-        self._settle(words, pairs, grams, places)
-
-    def _settle(self, words: Counter, pairs: Counter, grams: Counter, places: int) -> None:
-        """Bring counts of words as written to the keys of places."""
-        out, needed = self.any, self.needed
-
-        def put(key: str, n: int) -> None:
-            if needed is None or key in needed:
-                out[key] += n
-
-        for w, n in words.items():
-            first, last = NORMS[w], NORMS[w.rstrip(TAIL)]
-            put("Sw" + first, n)
-            put("Sw" + _shape(first), n)
-            put("Ew" + last, n)
-            put("Ew~" + last[-2:], n)
-            out["Sw"] += n
-            out["Ew"] += n
-        for (v, w), n in pairs.items():
-            head = NORMS[v] + " "
-            put("Sw" + head + NORMS[w], n)
-            put("Ew" + head + NORMS[w.rstrip(TAIL)], n)
-        for g, n in grams.items():
-            put("Su" + g, 3 * n)
-            put("Eu" + g, 3 * n)
-        if places:
-            out["Su"] += 3 * places
-            out["Eu"] += 3 * places
+                    words += found
+                    sizes.append(len(found))
+        if words:
+            self._add_words(words, sizes)
+        if plain:
+            self._add_grams(plain)
+
+    def _add_words(self, words: list[str], sizes: list[int]) -> None:
+        if len(self._rows) > 400_000:
+            self._clear()
+        rows, new = self._rows, self._new
+        for w in {*words}.difference(rows):
+            rows[w] = len(rows)
+            new.append(self._row(w))
+        if new:
+            self._ids = np.concatenate([self._ids, np.array(new, dtype=np.int64)])
+            self._new = []
+        at = self._ids[np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))]
+        for column in range(4):
+            self.any += np.bincount(at[:, column], minlength=len(self.any))
+        for side in "SE":
+            if (i := self.index.get(side + "w")) is not None:
+                self.any[i] += len(words)
+        inner = np.ones(len(words), dtype=bool)
+        inner[np.cumsum(sizes) - 1] = False  # the last word of a paragraph heads no pair
+        head = at[:-1, 4][inner[:-1]]
+        for side, column in (("S", 5), ("E", 6)):
+            second = at[1:, column][inner[:-1]]
+            both = (head >= 0) & (second >= 0)
+            code, place = self.pairs[side]
+            self._add_found(head[both] * max(1, len(self.seconds[side])) + second[both], code, place, 1)
+
+    def _add_found(self, seen: np.ndarray, code: np.ndarray, place: np.ndarray, weight: int) -> None:
+        if len(code) and len(seen):
+            k = np.minimum(np.searchsorted(code, seen), len(code) - 1)
+            self.any += weight * np.bincount(place[k[code[k] == seen]], minlength=len(self.any))
+
+    def _add_grams(self, plain: list[str]) -> None:
+        """Every third place of unspaced paragraphs stands for three (Thai: only blanks are places)."""
+        gap = "\0" * WIDTHS[0]
+        joined = gap + gap.join(plain) + gap
+        lengths = np.array([len(x) for x in plain])
+        begin = len(gap) + np.concatenate([[0], np.cumsum(lengths + len(gap))[:-1]])
+        thai = np.array([THAI.search(x) is not None for x in plain])
+        thirds = np.where(thai, 0, (lengths - 1) // 3)
+        order = np.arange(thirds.sum()) - np.repeat(np.cumsum(thirds) - thirds, thirds)
+        third = np.repeat(begin, thirds) + 1 + 3 * order
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        blank = np.isin(code, [32, 9, 10, 13, 160, 0x3000])
+        after = np.flatnonzero(blank[:-1] & ~blank[1:] & (code[1:] != 0)) + 1
+        at = np.flatnonzero(~blank[:-1] & blank[1:] & (code[:-1] != 0)) + 1
+        solid = ~np.isin(code, TAIL_CODES)
+        before = np.maximum.accumulate(np.where(solid, np.arange(len(code)) + 1, 0))[np.maximum(at - 1, 0)]
+        for side, spots, weight in (("S", third, 3), ("E", third, 3), ("S", after, 1), ("E", before, 1)):
+            if (i := self.index.get(side + "u")) is not None:
+                self.any[i] += weight * len(spots)
+            for k in WIDTHS:
+                if (side, k) in self.grams:
+                    first = spots if side == "S" else spots - k
+                    first = first[first >= 0]
+                    self._add_found(_rolled(code, first, k), *self.grams[side, k], weight)
 
     def score(self, side: str, kind: str, keys: list[str]) -> float:
         """Log odds of an edge where ``keys``, the longest first, stand; with back-off to shorter keys."""
         prefix = side + kind
         exact = 2 if kind == "u" else 1
         for i, key in enumerate(keys):
-            e, a = self.edge[prefix + key], self.any[prefix + key]
+            if (at := self.index.get(prefix + key)) is None:
+                continue
+            e, a = int(self.edge[at]), int(self.any[at])
             if e + a >= 4:
-                base = self.edge[prefix] / max(1, self.any[prefix])
+                base = self.edge[self.index[prefix]] / max(1, self.any[self.index[prefix]])
                 if not e and i < exact and a >= 24:  # a fifth of all sentences stand at an edge; a phrase that begins or ends sentences would have been seen there
                     return -min(4.0, 0.12 * a)
                 if not e and base * a < 1.0:  # a word that stands in other places too is too rare to be missed at the edges
@@ -500,7 +591,7 @@ def fit(texts: Iterable[str], epochs: int = 6, counted: Callable[[frozenset[str]
     texts = [t for t in dict.fromkeys(texts) if t and t.strip()]
     sample = _places(texts)
     if counted is None:
-        odds = EdgeCounts()
+        odds = EdgeCounts(keys_of(sample))
         odds.add(texts)
     else:
         odds = counted(keys_of(sample))
@@ -581,20 +672,20 @@ def counts_on(df: DataFrame, text: str = "text") -> Callable[[frozenset[str]], E
     """Counts over all texts of ``df`` for given keys: one pass with partial sums, of which a row for each key is shuffled."""
 
     def counted(needed: frozenset[str]) -> EdgeCounts:
-        shared = df.sparkSession.sparkContext.broadcast(needed)  # the keys of the bounded sample
+        out = EdgeCounts(needed)
+        shared = df.sparkSession.sparkContext.broadcast(out.keys)  # the keys of the bounded sample
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = EdgeCounts(shared.value)
             for batch in batches:
                 counts.add(batch["t"].tolist())
-            keys = list({*counts.edge, *counts.any})
-            yield pd.DataFrame({"k": pd.Series(keys, dtype=object), "e": pd.Series([counts.edge[k] for k in keys], dtype="int64"), "a": pd.Series([counts.any[k] for k in keys], dtype="int64")})
+            at = np.flatnonzero((counts.edge[:-1] > 0) | (counts.any[:-1] > 0))
+            yield pd.DataFrame({"k": at, "e": counts.edge[at], "a": counts.any[at]})
 
-        rows = df.where(F.length(text) > 0).select(F.col(text).alias("t")).mapInPandas(run, "k string, e bigint, a bigint")
+        rows = df.where(F.length(text) > 0).select(F.col(text).alias("t")).mapInPandas(run, "k bigint, e bigint, a bigint")
         found = rows.groupBy("k").agg(F.sum("e").alias("e"), F.sum("a").alias("a")).toPandas()  # not more than the needed keys
-        out = EdgeCounts(needed)
-        out.edge.update(dict(zip(found["k"], found["e"].tolist())))
-        out.any.update(dict(zip(found["k"], found["a"].tolist())))
+        at = found["k"].to_numpy(dtype=np.int64)
+        out.edge[at], out.any[at] = found["e"].to_numpy(dtype=np.int64), found["a"].to_numpy(dtype=np.int64)
         return out
 
     return counted
