@@ -21,7 +21,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.plans.lineage import cut, release
-from veristrata.llm.sentences import PARAGRAPH, SentenceModel, counts_on, fit, training_texts
+from veristrata.llm.sentences import OTHER_MARKS, PARAGRAPH, SentenceModel, counts_on, fit, training_texts
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "ko", "ja", "zh", "th")
 UNKNOWN = "und"
@@ -53,16 +53,20 @@ SWITCH_INSIDE, SWITCH_BETWEEN = 14.0, 2.0
 CLIP = 4.0
 
 DATA = re.compile(r"[!-~]{25,}")
-WORD = re.compile(r"[가-힣ᄀ-ᇿ]+|[฀-๿]+|[぀-ヿ㐀-鿿々ｦ-ﾟ]+|[Ѐ-ӿ]+|[A-Za-zªºÀ-ɏ̀-ͯḀ-ỿ]+|[^\W\d_A-Za-zªºÀ-ɏ̀-ͯḀ-ỿЀ-ӿ฀-๿぀-ヿ㐀-鿿々ｦ-ﾟ가-힣ᄀ-ᇿ]+")
+WORD = re.compile(r"[A-Za-zªºÀ-ɏ̀-ͯḀ-ỿ]+|[가-힣ᄀ-ᇿ]+|[฀-๿]+|[぀-ヿ㐀-鿿々ｦ-ﾟ]+|[Ѐ-ӿ]+|[^\W\d_A-Za-zªºÀ-ɏ̀-ͯḀ-ỿЀ-ӿ฀-๿぀-ヿ㐀-鿿々ｦ-ﾟ가-힣ᄀ-ᇿ]+")
 #: A sentence of at least so many words may be in another language if at least this share of them is not known in any
 #: language (Latin) or has letters that Russian has not (Cyrillic), unless this share is function words of its language only.
 UNKNOWN_WORDS, UNKNOWN_SHARE, UNKNOWN_LETTERS, FUNCTION_SHARE = 4, 0.6, 0.3, 0.15
+#: Words, and what may stand between two sentences.
+WORD_OR_END = re.compile(WORD.pattern + rf"|[.!?…。！？｡．‥⁇⁈⁉‼\n{OTHER_MARKS}]+|(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
 #: Letters of other scripts, and the words and ends of lower-case text of Latin script.
 OTHER = re.compile(r"[Ͱ-᷿ἀ-῿Ⰰ-ⷿ⺀-퟿豈-﷿ｦ-ﾟ]")
 LATIN_OR_END = re.compile(r"[a-zªºß-öø-ɏ̀-ͯḁ-ỿ]+|[.!?…]+(?=[\s\"”»’)])|\n\s*\n")
 #: Rough sentences, as far as counting words needs them.
 ROUGH = re.compile(r"\n\s*\n|[.!?。！？…]+[\"”»’」』)]*(?:\s+|(?=[぀-ヿ㐀-鿿]))")
 HAN = re.compile(r"[㐀-鿿]")
+#: A text of fewer words is always split into sentences.
+LEAST_WORDS = 8
 #: A sentence is counted for a language that leads by so much.
 NEED = 1.0
 KANA = re.compile(r"[぀-ヿｦ-ﾟ]")
@@ -83,7 +87,7 @@ class _Index(dict):
         rows = self.model._rows
         self[word] = number = len(self)
         rows.append(self.model.row(word))
-        self.model._new.append((*[word.lower() in OWN_WORDS[x] for x in LATIN], self.model.strange(word)))
+        self.model._new.append((*[word.lower() in OWN_WORDS[x] for x in LATIN], self.model.strange(word), WORD.match(word) is None))
         return number
 
 
@@ -100,11 +104,13 @@ class LanguageModel:
         self._new: list[tuple[bool, ...]] = []
         self._index = _Index(self)
         self._matrix = np.zeros((0, len(STATES)), dtype=np.float32)
-        self._strange = np.zeros((0, 6), dtype=bool)
+        self._strange = np.zeros((0, 7), dtype=bool)
 
     def row(self, word: str) -> list[float]:
-        """Scores by STATES of one word."""
+        """Scores by STATES of one word; what ends sentences has none."""
         c = word[0]
+        if not c.isalpha() and not "\u0300" <= c <= "\u036f":
+            return [0.0] * len(STATES)
         if c < "ͰЀ"[0] or "Ḁ" <= c <= "ỿ":
             scores = self.latin.get(word.lower())
             if scores is None:
@@ -141,7 +147,7 @@ class LanguageModel:
         return out
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Matrix of the scores of ``words``; and for each whether it is a function word of only each of LATIN, and whether it is strange."""
+        """Matrix of the scores of ``words``; and for each whether it is a function word of only each of LATIN, whether it is strange, and whether it is no word."""
         index = self._index
         if len(index) > 400_000:
             index.clear()
@@ -150,7 +156,7 @@ class LanguageModel:
         ids = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
         if len(self._matrix) < len(index):  # only rows of new words are made
             self._matrix = np.concatenate([self._matrix, np.array(self._rows, dtype=np.float32)])
-            self._strange = np.concatenate([self._strange, np.array(self._new, dtype=bool).reshape(-1, 6)])
+            self._strange = np.concatenate([self._strange, np.array(self._new, dtype=bool).reshape(-1, 7)])
             self._rows, self._new = [], []
         return self._matrix[ids], self._strange[ids]
 
@@ -418,7 +424,7 @@ class Labeller:
         margin = own - total.max(axis=1, initial=-np.inf)
         data = (n == 0) | (spread < 0.5 + 0.02 * n)
         conf = np.where(data, 0.0, np.round(1 / (1 + np.exp(-np.clip(margin, -30, 30))).astype(np.float64), 4)).tolist()
-        shares = np.zeros((len(n), 6))
+        shares = np.zeros((len(n), 7))
         if some.any():
             shares[some] = np.add.reduceat(strange, at[some], axis=0, dtype=np.int64) / n[some, None]
         share = shares[:, 5]
@@ -438,6 +444,50 @@ class Labeller:
         return out
 
 
+    def languages_in(self, texts: list[str | None]) -> list[dict[str, float]]:
+        """For each text the languages that it contains (see ``contained``), with their confidence.
+
+        A first pass lets the language switch for the price of a switch between sentences wherever one
+        may end. Where even so no switch pays, none pays between the sentences that there are, and all
+        of them have the one language: sentences are only looked for in the other texts.
+        """
+        tokens: list[str] = []
+        lengths = []
+        for text in texts:
+            got = WORD_OR_END.findall(DATA.sub("\n", text) if DATA.search(text) else text) if text else []
+            tokens += got
+            lengths.append(len(got))
+        scores, marks = self.languages.scores(tokens)
+        word = ~marks[:, 6]
+        opens = np.concatenate([[True], ~word[:-1]])[: len(word)]
+        ends = np.concatenate([[0], np.cumsum(word)])
+        borders = np.cumsum([0, *lengths])
+        n = ends[borders[1:]] - ends[borders[:-1]]
+        scores, strange = scores[word], marks[word]
+        path = viterbi(scores, opens[word], n)
+        at = ends[borders[:-1]]
+        some = np.flatnonzero(n >= LEAST_WORDS)
+        found: list[dict[str, float] | None] = [None] * len(texts)
+        if len(some):
+            edges = np.stack([at[some], at[some] + n[some]], axis=1).ravel()
+            take = slice(None, -1) if edges[-1] == len(path) else slice(None)
+            over = lambda how, x: how.reduceat(x, edges[take], axis=0)[::2]
+            one = over(np.minimum, path)
+            total, odd = over(np.add, scores), over(np.add, strange[:, 5].astype(np.int64))
+            own = total[np.arange(len(some)), one]
+            share = np.where(one == INDEX["ru"], UNKNOWN_LETTERS, UNKNOWN_SHARE)
+            known = (odd < 2 * UNKNOWN_WORDS * share) & (odd < share * n[some])  # too few for two strange sentences, or for one that is all
+            whole = (one == over(np.maximum, path)) & (own >= 0.5 * n[some]) & known
+            total[np.arange(len(some)), one] = -np.inf
+            sure = np.round(1 / (1 + np.exp(-np.clip((own - total.max(axis=1)) / n[some] * LEAST_WORDS, -30, 30))).astype(np.float64), 4)
+            for i in np.flatnonzero(whole).tolist():
+                found[some[i]] = {STATES[one[i]]: float(sure[i])}
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, sentences in zip(rest, self.label([texts[i] for i in rest])):
+            found[i] = contained(sentences)
+        return found
+
+
 def contained(sentences: list[tuple[int, int, str | None, float]]) -> dict[str, float]:
     """Languages in two or more sentences in a row or in all, with their mean confidence; data is passed over."""
     real = [(x, c) for _, _, x, c in sentences if x is not None]
@@ -496,7 +546,7 @@ SEGMENTS = "item_kind string, item_id string, label string, lang string, lang_co
 CONTAINED = "item_kind string, item_id string, label string, lang string, confidence double"
 
 
-def _map(items: DataFrame, labeller: Labeller, schema: str, emit) -> DataFrame:
+def _map(items: DataFrame, labeller: Labeller, schema: str, emit: Callable, label: Callable = Labeller.label) -> DataFrame:
     shared = items.sparkSession.sparkContext.broadcast(labeller)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -505,7 +555,7 @@ def _map(items: DataFrame, labeller: Labeller, schema: str, emit) -> DataFrame:
             texts = batch["text"].tolist()
             heads = list(zip(batch["item_kind"].tolist(), batch["item_id"].tolist(), batch["label"].tolist()))
             for a, b in _chunks(texts):
-                rows = [r for head, s in zip(heads[a:b], shared.value.label(texts[a:b])) for r in emit(head, s)]
+                rows = [r for head, s in zip(heads[a:b], label(shared.value, texts[a:b])) for r in emit(head, s)]
                 yield pd.DataFrame(rows, columns=names)
 
     usable = items.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_kind", "item_id", "text", "label")
@@ -537,7 +587,7 @@ def language_segments(items: DataFrame, labeller: Labeller) -> DataFrame:
 
 def languages_contained(items: DataFrame, labeller: Labeller) -> DataFrame:
     """One row for each language that an item contains (two sentences in a row, or all), with its confidence."""
-    return _map(items, labeller, CONTAINED, lambda head, s: ((*head, x, c) for x, c in contained(s).items()))
+    return _map(items, labeller, CONTAINED, lambda head, found: ((*head, x, c) for x, c in found.items()), Labeller.languages_in)
 
 
 def named_language(label: Column) -> Column:
