@@ -69,3 +69,17 @@ def test_adaptive_scan_keeps_what_is_near():
 def test_empty_table(spark):
     assert N.nearest_texts(table(spark, [])).count() == 0
     assert N.similar_pairs(table(spark, [("x", "b", "m", "r", 1, None)])).count() == 0
+
+
+def test_exact_search_misses_nothing(spark):
+    rng = np.random.default_rng(9)
+    vectors = {f"v{i:04d}": rng.standard_normal(24).astype(np.float32).tolist() for i in range(900)}  # no clusters at all
+    rows = [(t, "b", "m", "r", 24, v) for t, v in vectors.items()]
+    got = {}
+    for r in N.nearest_texts(table(spark, rows), exact=True, list_size=20).orderBy("rank").collect():
+        got.setdefault(("m", "r", r.text_id), []).append(r.neighbour)
+    assert got == brute({("m", "r"): vectors})
+
+
+def test_probes_grow_with_the_lists():
+    assert N.probes_for(1) == N.probes_for(256) == N.PROBES and N.probes_for(1024) == 2 * N.PROBES and N.probes_for(4096) == 4 * N.PROBES

@@ -4,7 +4,8 @@ Vectors of one model and revision are brought to length 1 and rotated at random,
 distances over the first columns estimate the whole. K-means centres, fitted on a bounded sample,
 make the lists; every vector is in one list. First each vector searches its own list, which gives it
 a threshold. Then it probes every other list that can hold something nearer by the triangle
-inequality, nearest centres first, at most PROBES of them. Within a list the columns are read in
+inequality, nearest centres first: PROBES of them, and more as the lists get more (``probes_for``), or
+all of them where an exact search is asked for. Within a list, its own included, the columns are read in
 blocks; after each block a hypothesis test abandons the pairs whose partial distance is already too
 large for the threshold. Survivors are measured exactly and ranked by the rounded cosine.
 
@@ -15,7 +16,7 @@ unbounded list.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +33,8 @@ SAMPLE = 20_000
 #: ... one for about so many vectors, and at most so many.
 LIST_SIZE, MAX_LISTS = 400, 4096
 ITERATIONS = 8
-PROBES = 12
+#: A vector probes so many other lists where there are PROBE_LISTS lists or fewer, and more with the square root of their number.
+PROBES, PROBE_LISTS = 12, 256
 BLOCK_ROWS = 4096
 COLUMN_BLOCK = 16
 #: Significance of the test: a pair is abandoned if its partial distance exceeds the threshold by the factor (1 + EPSILON / sqrt(columns read)).
@@ -97,6 +99,8 @@ class Index:
 
     def __init__(self, centres: dict[str, np.ndarray], rotations: dict[int, np.ndarray], radius: dict[tuple[str, int], float] | None = None) -> None:
         self.centres, self.rotations, self.radius = centres, rotations, radius or {}
+        self.probes: dict[str, int] = {}
+        self.epsilon = EPSILON
 
 
 def rotation(d: int) -> np.ndarray:
@@ -129,7 +133,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.sqrt((gap * gap).sum(axis=1))
 
 
-def fit_index(classes: DataFrame) -> Index:
+def fit_index(classes: DataFrame, list_size: int = LIST_SIZE) -> Index:
     """Fit the centres of every group on a bounded sample (smallest hashes); only the samples come to the driver."""
     sizes = {r.grp: r.n for r in classes.groupBy("grp").agg(F.count("*").alias("n")).collect()}
     centres, rotations = {}, {}
@@ -138,7 +142,7 @@ def fit_index(classes: DataFrame) -> Index:
         part = classes.where((F.col("grp") == grp) & (F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * share)))
         x = _units(part.select("vec").limit(2 * SAMPLE).toArrow().column("vec").combine_chunks())
         turn = rotations.setdefault(x.shape[1], rotation(x.shape[1]))
-        k = max(1, min(MAX_LISTS, math.ceil(n / LIST_SIZE), len(x)))
+        k = max(1, min(MAX_LISTS, math.ceil(n / list_size), len(x)))
         centres[grp] = k_means((np.unique(x, axis=0) @ turn).astype(np.float32), k)
     return Index(centres, rotations)
 
@@ -176,7 +180,7 @@ def assign(classes: DataFrame, index: Index) -> DataFrame:
     return classes.select("grp", "rep", "vec", "members").mapInArrow(run, "grp string, list int, rep string, vec array<float>, members array<string>, gap double")
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rotated rows of q and x whose squared distance is at most limit[i], as far as the test keeps them.
 
     Columns are read in blocks; the first block is one product, later ones only for pairs alive.
@@ -185,7 +189,8 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.n
     step = min(COLUMN_BLOCK, d)
     a, b = q[:, :step], x[:, :step]
     part = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
-    bound = limit * step / d * (1 + EPSILON / math.sqrt(step)) ** 2 if step < d else limit
+    allowed = lambda most, read: np.minimum(most, most * (read / d) * (1 + epsilon / math.sqrt(read)) ** 2) if read < d and epsilon < math.inf else most
+    bound = allowed(limit, step)
     i, j = np.nonzero(part <= (bound + 1e-6)[:, None])
     dist = part[i, j]
     at = step
@@ -194,20 +199,34 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.n
         gap = q[i, at:end] - x[j, at:end]
         dist = dist + (gap * gap).sum(axis=1)
         at = end
-        bound = limit[i] if at == d else limit[i] * at / d * (1 + EPSILON / math.sqrt(at)) ** 2
+        bound = allowed(limit[i], at)
         keep = dist <= bound + 1e-6
         i, j, dist = i[keep], j[keep], dist[keep]
     return i, j
 
 
 def _kth(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Squared distance of the k-th nearest row of x to each row of q, or 4 (opposite vectors)."""
+    """A squared distance to each row of q within which k rows of x lie, or 4 (opposite vectors).
+
+    Rows that are near in the first column block are measured whole; the k-th nearest of them bounds
+    the k-th nearest of all.
+    """
     if len(x) < k:
         return np.full(len(q), 4.0, dtype=np.float32)
-    dist = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+    a, b = q[:, :COLUMN_BLOCK], x[:, :COLUMN_BLOCK]
+    part = (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    few = min(len(x), 8 * k)
+    near = np.argpartition(part, few - 1, axis=1)[:, :few] if few < len(x) else np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
+    gap = x[near] - q[:, None, :]
+    dist = np.einsum("ijk,ijk->ij", gap, gap)
     return np.partition(dist, k - 1, axis=1)[:, k - 1]
 
 
+def probes_for(lists: int) -> int:
+    """How many other lists a vector probes at most."""
+    return math.ceil(PROBES * math.sqrt(max(1.0, lists / PROBE_LISTS)))
+
+
 PAIRS = "grp string, rep string, limit double, other string, sim double, members array<string>"
 
 
@@ -224,11 +243,11 @@ def _search(queries: pa.Table, base: pa.Table, index: Index, own: bool) -> pa.Ta
     k = NEIGHBOURS + 1  # of classes, as the vector itself may be one
     reps, others = np.array(queries.column("rep").to_pylist(), dtype=object), np.array(base.column("rep").to_pylist(), dtype=object)
     members = base.column("members").combine_chunks()
-    for a in range(0, len(q), 512):
-        part = q[a : a + 512]
-        limit = _kth(part, x, k) if own else np.asarray(queries.column("limit").to_numpy()[a : a + 512], dtype=np.float32)
+    for a in range(0, len(q), 256):
+        part = q[a : a + 256]
+        limit = _kth(part, x, k) if own else np.asarray(queries.column("limit").to_numpy()[a : a + 256], dtype=np.float32)
         limit = limit + np.float32(1e-5)  # rounded cosines may tie
-        i, j = adaptive_scan(part, x, limit)
+        i, j = adaptive_scan(part, x, limit, index.epsilon)
         sim = np.round(np.einsum("ij,ij->i", uq[a + i], ux[j]), 6)
         order = np.lexsort((others[j].astype(str), -sim, i)) if len(i) else np.zeros(0, dtype=np.int64)
         i, j, sim = i[order], j[order], sim[order]
@@ -263,19 +282,23 @@ def _meet(queries: DataFrame, base: DataFrame, index: Index, own: bool) -> DataF
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, PAIRS)
 
 
-def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS, exact: bool = False, probes: Callable[[int], int] = probes_for, list_size: int = LIST_SIZE) -> DataFrame:
     """(model, revision, text_id, neighbour, similarity, rank): the k most similar other texts of each text.
 
     Similarity is the cosine rounded to six decimals, ties go to the smaller text_id. See
-    ``usable_vectors`` for what is left out; a text alone in its group has no neighbour.
+    ``usable_vectors`` for what is left out; a text alone in its group has no neighbour. ``probes``
+    gives the number of lists to probe from the number of lists there are; ``exact`` probes every list
+    that the triangle inequality leaves open and compares all columns, so nothing is missed.
     """
     vectors = cut(usable_vectors(embeddings))
     classes, owner = vector_classes(vectors)
     owner = cut(owner)
     if classes.isEmpty():
         return owner.select("model", "revision", "text_id", F.col("text_id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    index = fit_index(classes)
-    listed = cut(_blocks(assign(classes, index)))
+    index = fit_index(classes, list_size)
+    index.probes = {g: len(c) if exact else probes(len(c)) for g, c in index.centres.items()}
+    index.epsilon = math.inf if exact else EPSILON
+    listed = cut(_blocks(cut(assign(classes, index))))
     base = listed.withColumn("qblocks", F.col("blocks"))
     queries = listed.withColumn("qblock", F.col("block"))
     near = cut(_meet(queries, base, index, True))
@@ -294,7 +317,7 @@ def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def _probes(asking: DataFrame, index: Index) -> DataFrame:
-    """(grp, list, rep, vec, limit): each query with every other list that may hold something nearer than its threshold, at most PROBES."""
+    """(grp, list, rep, vec, limit): each query with every other list that may hold something nearer than its threshold, the nearest ``index.probes`` of them."""
     shared = asking.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +337,8 @@ def _probes(asking: DataFrame, index: Index) -> DataFrame:
                     dist = np.sqrt(np.maximum(0, (y * y).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (y @ c.T)))
                     dist[np.arange(len(part)), own[part]] = np.inf
                     open_ = dist - index.radius[grp][None, :] <= limits[part][:, None] + 1e-5
-                    if len(c) > PROBES:
-                        far = np.partition(dist, PROBES - 1, axis=1)[:, PROBES - 1]
+                    if len(c) > (most := index.probes[grp]):
+                        far = np.partition(dist, most - 1, axis=1)[:, most - 1]
                         open_ &= dist <= far[:, None]
                     i, j = np.nonzero(open_)
                     rows_out.append(part[i])
@@ -337,7 +360,7 @@ def _ranked(pairs: DataFrame, owner: DataFrame, k: int) -> DataFrame:
     return out.select("model", "revision", "text_id", F.col("x.t").alias("neighbour"), (-F.col("x.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
-def similar_pairs(embeddings: DataFrame) -> DataFrame:
+def similar_pairs(embeddings: DataFrame, exact: bool = False) -> DataFrame:
     """(model, revision, text_a, text_b), text_a < text_b: pairs in which one is among the most similar of the other."""
-    found = nearest_texts(embeddings)
+    found = nearest_texts(embeddings, exact=exact)
     return found.select("model", "revision", F.least("text_id", "neighbour").alias("text_a"), F.greatest("text_id", "neighbour").alias("text_b")).distinct()
