@@ -67,6 +67,15 @@ def test_strict_jsonl(spark, tmp_path):
     good, bad = ledger.read_records(spark, str(tmp_path / "a.jsonl"), "id string")
     assert [(r.line, r.id) for r in good.orderBy("line").collect()] == [(1, "1"), (5, "4")]
     assert sorted((r.line, r.code) for r in bad.collect()) == [(2, "INVALID_JSONL"), (3, "INVALID_JSON"), (4, "INVALID_JSON")]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "b.jsonl").write_text("".join(f'{{"id": "{i}"}}\r\n' for i in range(5000)))
+    (tmp_path / "many" / "c.jsonl").write_text('{"id": "x"}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")  # many splits of one file
+    try:
+        lines = {(r.file, r.line): r.raw for r in ledger.jsonl_lines(spark, str(tmp_path / "many")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lines == {**{("b.jsonl", i + 1): f'{{"id": "{i}"}}' for i in range(5000)}, ("c.jsonl", 1): '{"id": "x"}'}
     with pytest.raises(ValueError):
         ledger.contained(str(tmp_path), "../x")
     with pytest.raises(ValueError):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,21 +75,21 @@ def coalesced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def fingerprints(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by.., rows, fingerprint): a fingerprint of the distinct rows of each group, whatever their order.
 
-    Row hashes are gathered by their first three hex digits and hashed, then the 4096 bucket hashes
-    of a group: no group is gathered whole, however many rows it has.
+    The four quarters of the row hashes are summed up, which partial aggregation does without
+    gathering anything, however many rows a group has; the fingerprint is the hash of these sums.
     """
     rows = df.select(*by, _hash(df, sorted(columns)).alias("h")).groupBy(*by, "h").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("b", F.substring("h", 1, 3))
-    inner = rows.groupBy(*by, "b").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    outer = inner.groupBy(*by).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
-    return outer
+    quarter = lambda i: F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
+    sums = rows.groupBy(*by).agg(F.sum("n").alias("rows"), *[F.sum(quarter(i)).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)])
+    return sums.select(*by, "rows", F.sha2(F.concat_ws(",", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))
 
 
 class Generations:
-    """A stored table in generations: readers see the one that the manifest names, a writer adds the next and then names it.
+    """A stored table in generations: readers see the latest one that has a manifest, a writer adds the next and then its manifest.
 
-    Paths are used through Hadoop's file system, so any shared storage works. A commit fails if the
-    manifest has moved on since it was read.
+    Paths are used through Hadoop's file system, so any shared storage works. Every write goes to a
+    folder of its own and manifests are numbered and only ever created: of two writers that start from
+    the same generation one succeeds, and a writer that dies leaves the live generation as it was.
     """
 
     def __init__(self, spark, root: str) -> None:
@@ -96,36 +98,56 @@ class Generations:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        """Numbers of all manifests, the latest first."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted((int(n[9:-5]) for n in names if n.startswith("MANIFEST-") and n.endswith(".json")), reverse=True)
+
     def manifest(self) -> dict:
-        path = self._path(f"{self.root}/MANIFEST.json")
-        if not self._fs.exists(path):
-            return {"generation": 0, "fingerprint": None}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/MANIFEST.json").collect()))
+        """The live manifest: generation (0 before the first), folder, fingerprint, at. One that a writer died over is passed over."""
+        for number in self._numbers():
+            text = "\n".join(r.value for r in self.spark.read.text(f"{self.root}/MANIFEST-{number:08d}.json").collect())
+            try:
+                return json.loads(text)
+            except ValueError:
+                continue
+        return {"generation": 0, "fingerprint": None, "folder": None}
 
     def read(self) -> DataFrame | None:
         """The live generation, or None before the first."""
-        live = self.manifest()["generation"]
-        return self.spark.read.parquet(f"{self.root}/gen={live}") if live else None
+        folder = self.manifest()["folder"]
+        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
+
+    def commit(self, df: DataFrame, fingerprint: str, partition_by: tuple[str, ...] = ("run_key",), guard: Callable[[], bool] | None = None) -> str:
+        """Write the next generation and make it live; ``unchanged`` without a write if the fingerprint is that of the live one.
 
-    def commit(self, df: DataFrame, fingerprint: str, partition_by: tuple[str, ...] = ("run_key",)) -> str:
-        """Write the next generation and make it live; ``unchanged`` without a write if the fingerprint is that of the live one."""
-        before = self.manifest()
-        if before["fingerprint"] == fingerprint:
+        guard: asked after the write; if it says no (the inputs have changed meanwhile), nothing becomes live.
+        """
+        before, number = self.manifest(), max(self._numbers(), default=0) + 1
+        if before["generation"] and before["fingerprint"] == fingerprint:
             return "unchanged"
-        number = before["generation"] + 1
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/gen={number}")
-        if self.manifest() != before:
-            raise RuntimeError("another writer has committed; read again and retry")
-        self._put({"generation": number, "fingerprint": fingerprint, "at": time.time()})
+        folder = f"gen-{number:08d}-{uuid4().hex}"
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{folder}")
+        value = {"generation": number, "fingerprint": fingerprint, "folder": folder, "at": time.time()}
+        if (guard is not None and not guard()) or not self._created(f"MANIFEST-{number:08d}.json", json.dumps(value)):
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            raise RuntimeError("the inputs changed or another writer has committed; read again and retry")
         return "committed"
 
-    def _put(self, value: dict) -> None:
-        new, live = self._path(f"{self.root}/MANIFEST.new"), self._path(f"{self.root}/MANIFEST.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(value).encode()))
+    def _created(self, name: str, text: str) -> bool:
+        """Create the manifest, unless there is one of that number."""
+        try:
+            out = self._fs.create(self._path(f"{self.root}/{name}"), False)
+        except Exception as error:
+            if self._fs.exists(self._path(f"{self.root}/{name}")):
+                return False
+            raise error
+        out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(live, False)
-        self._fs.rename(new, live)
+        return True
 
 
 def without_runs(tables: dict[str, DataFrame], runs: DataFrame) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from veristrata.functions.vectors import similarity, vector_problem
 
 OVERLAP_TOKENS = 16
+QUERY_WINDOWS = 10_000
 
 
 #: What a text consists of for a model: where each of its tokens ends, in characters, and how many tokens the model adds.
@@ -97,16 +98,17 @@ def max_similarity(windows: DataFrame, queries: DataFrame, limit: int = 20, key:
 
     windows: (key, window, vector); queries: (vector), the windows of one query. All windows are
     compared, one pass without shuffling vectors. Scores are rounded to six decimals; of equal
-    windows the largest number stands, ties go by key. The query windows are broadcast only if there
-    are at most 10,000.
+    windows the largest number stands, ties go by key. The windows of the query are broadcast; a query
+    of more than QUERY_WINDOWS windows is refused.
     """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be between 1 and 1000")
     if eligible is not None:
         windows = windows.join(eligible.select("run_key").distinct(), "run_key", "left_semi")
     asked = queries.select(F.col("vector").alias("__q"))
-    if asked.limit(10_001).count() <= 10_000:
-        asked = F.broadcast(asked)
+    if asked.limit(QUERY_WINDOWS + 1).count() > QUERY_WINDOWS:
+        raise ValueError("the query has too many windows")
+    asked = F.broadcast(asked)
     score = F.round(similarity(F.col("vector"), F.col("__q")), 6)
     scored = windows.crossJoin(asked).select(key, F.struct(score.alias("score"), F.col("window").alias("window")).alias("s"))
     best = scored.groupBy(key).agg(F.max("s").alias("s")).select(key, "s.score", "s.window")

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veristrata.functions.records import is_strict_object
 
@@ -22,10 +23,17 @@ def contained(root: str, relative: str) -> str:
 
 
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw): the lines of JSONL files, numbered from 1 within their file; the end of the last line is none."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
-    return whole.where(F.length("value") > 0).select("file", F.posexplode(lines).alias("n", "raw")).select("file", (F.col("n") + 1).alias("line"), "raw")
+    """(file, line, raw): the lines of JSONL files, numbered from 1 within their file; the end of the last line is none.
+
+    Files are read in splits. Lines are numbered within their split, and the numbers of lines in the
+    splits before it, one row each, are added; so a file of any size is read by many tasks.
+    """
+    rows = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__row"), F.regexp_replace("value", r"\r\z", "").alias("raw"))
+    within = Window.partitionBy("__path", "__at").orderBy("__row")
+    before = Window.partitionBy("__path").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("__path", "__at").agg(F.count("*").alias("__n")).select("__path", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    numbered = rows.withColumn("__line", F.row_number().over(within)).join(splits, ["__path", "__at"])
+    return numbered.select("file", (F.col("__ahead") + F.col("__line")).alias("line"), "raw")
 
 
 def checked_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
