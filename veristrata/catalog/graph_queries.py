@@ -33,9 +33,11 @@ def _resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bfs(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.distinct_edges(_edges(spark, d)[2]).withColumn("edge_id", F.concat_ws("|", "source_work", "target_work", "relation")).dropDuplicates(["edge_id"])
+    edges = graph.distinct_edges(_edges(spark, d)[2]).withColumn("edge_id", F.concat_ws("|", "source_work", "target_work", "relation")).select("edge_id", "source_work", "target_work").distinct()
+    edges = cut(edges)
     start = edges.agg(F.min("source_work")).first()[0]
-    return graph.traverse(edges, [start] if start else [], depth=2, limit=1000)[0].select("edge_id", "level")
+    taken, _, cut_off = graph.traverse(edges, [start] if start else [], depth=2, limit=1000)
+    return taken.select("edge_id", "level", F.lit(cut_off).alias("truncated"))
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +150,13 @@ UNION ALL SELECT DISTINCT target_work, NULL, CASE WHEN target_work LIKE 'doi:%'
     "graph_bfs": f"""WITH {_CITES},
 g AS (SELECT DISTINCT source_work AS s, target_work AS t, source_work || '|' || target_work || '|' || relation AS edge_id FROM c),
 z AS (SELECT min(s) AS n FROM g),
-one AS (SELECT g.* FROM g, z WHERE s = n OR t = n),
-mid AS (SELECT s AS n FROM one UNION SELECT t FROM one)
-SELECT edge_id, 1 AS level FROM one UNION ALL SELECT DISTINCT g.edge_id, 2 FROM g JOIN mid ON g.s = mid.n OR g.t = mid.n WHERE g.edge_id NOT IN (SELECT edge_id FROM one)""",
+near AS (SELECT DISTINCT g.* FROM g, z WHERE s = n OR t = n),
+one AS (SELECT * FROM near ORDER BY edge_id LIMIT 1000),
+mid AS (SELECT s AS n FROM one UNION SELECT t FROM one),
+next AS (SELECT DISTINCT g.edge_id FROM g JOIN mid ON g.s = mid.n OR g.t = mid.n WHERE g.edge_id NOT IN (SELECT edge_id FROM one)),
+two AS (SELECT edge_id, row_number() OVER (ORDER BY edge_id) AS k FROM next)
+SELECT edge_id, level, (SELECT count(*) FROM near) > 1000 OR (SELECT count(*) FROM next) > 1000 - (SELECT count(*) FROM one) AS truncated
+FROM (SELECT edge_id, 1 AS level FROM one UNION ALL SELECT edge_id, 2 FROM two WHERE k <= 1000 - (SELECT count(*) FROM one))""",
     "record_edges_typed": """
 WITH q AS (SELECT 'Q' || r_regionkey AS id, 'C' || (r_regionkey + 1) AS c FROM region), s AS (SELECT 'S' || n_nationkey AS id, 'S' || (n_nationkey // 2) AS d FROM nation),
 c AS (SELECT 'C' || c_custkey AS id, 'Q' || (c_custkey % 7) AS q, 'S' || c_nationkey AS s, CASE WHEN c_acctbal > 0 THEN 'supports' ELSE 'evidence' END AS r FROM customer),

@@ -35,8 +35,9 @@ def _snapshot(spark: SparkSession, d: str) -> DataFrame:
     docs, texts = table(spark, d, "documents"), table(spark, d, "texts")
     columns = {"documents": (docs, ["global_id", "sha256", "title"]), "texts": (texts, ["text_id", "text_sha256"])}
     one = index.snapshot(columns)
-    two = index.snapshot({n: (df.unionByName(df).repartition(5), c) for n, (df, c) in columns.items()}).select("run_key", F.col("fingerprint").alias("again"))
-    return one.where("run_key IS NOT NULL").join(two, "run_key").select("run_key", "tables", "rows", (F.col("fingerprint") == F.col("again")).alias("same"))
+    two = index.snapshot({n: (df.unionByName(df).repartition(5), c) for n, (df, c) in columns.items()}).select(F.col("run_key").alias("__run"), F.col("fingerprint").alias("again"))
+    same = one.run_key.eqNullSafe(two["__run"])
+    return one.join(two, same).select("run_key", "tables", "rows", (F.col("fingerprint") == F.col("again")).alias("same"))
 
 
 QUERIES = {
@@ -71,5 +72,5 @@ ORACLE = {
     )
     + "SELECT term, count(DISTINCT text_id) AS texts, count(*) AS occurrences FROM p GROUP BY term",
     "index_graph_identities": f"WITH {_NAMES} SELECT f.run_key, f.candidate_id, names.work_key FROM f JOIN names ON names.alias = f.first",
-    "index_snapshot": "SELECT run_key, sum((n > 0)::int)::bigint AS tables, sum(n)::bigint AS rows, true AS same FROM (SELECT run_key, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT run_key, count(*) FROM texts GROUP BY 1) WHERE run_key IS NOT NULL GROUP BY run_key",
+    "index_snapshot": "SELECT run_key, sum((n > 0)::int)::bigint AS tables, sum(n)::bigint AS rows, true AS same FROM (SELECT run_key, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT run_key, count(*) FROM texts GROUP BY 1) GROUP BY run_key",
 }

@@ -21,8 +21,11 @@ EVENTS_CUTOFF, EVENTS_NOW = "TIMESTAMP_NTZ '2024-01-20 00:00:00'", "TIMESTAMP_NT
 LENSES = ("breadth", "primary", "counter", "applicability")
 
 
-def _orders_by_customer(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH')").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey")).alias("orders"))
+def _candidates_of_works(spark: SparkSession, d: str) -> DataFrame:
+    """Works that aliases name, with the candidates that state them."""
+    works = table(spark, d, "aliases").where("work_key IS NOT NULL").select("work_key").distinct()
+    seen = table(spark, d, "observations").groupBy("work_key").agg(F.collect_set("candidate_id").alias("candidates"))
+    return works.join(seen, "work_key", "left")
 
 
 def _unknown(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +66,33 @@ def _no_support(spark: SparkSession, d: str) -> DataFrame:
     return validation.unsupported(edges.where("source_kind = 'claims'").select("claim").distinct(), edges.where("source_kind = 'claims' AND relation = 'supports'"), "NO_SUPPORT", "claims", "claim")
 
 
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Record edges with relations and ids as they compare: (run_key, source_kind, id, relation)."""
+    return table(spark, d, "record_edges").select("run_key", "source_kind", F.concat_ws("/", "run_key", stripped(F.col("source_id"))).alias("id"), F.lower(stripped(F.col("relation"))).alias("relation"), (F.length(stripped(F.col("source_id"))) > 0).alias("named")).where("named")
+
+
+def _no_refutation(spark: SparkSession, d: str) -> DataFrame:
+    claims = _edges(spark, d).where("source_kind = 'claims'").select(F.col("id").alias("claim"), "relation")
+    return validation.unsupported(claims.select("claim").distinct(), claims.where("relation = 'refutes'"), "NO_REFUTATION", "claims", "claim")
+
+
+def _coverage_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Lenses for which a question names sources but no search."""
+    cells = _edges(spark, d).where("source_kind = 'questions'").select("id", F.split_part("relation", F.lit(":"), F.lit(1)).alias("what"), F.split_part("relation", F.lit(":"), F.lit(2)).alias("lens"))
+    return validation.unequal_cells(cells.where("what = 'coverage_source'"), cells.where("what = 'covered_by'"), "COVERAGE_SOURCE_MISMATCH", "questions", "id", "lens")
+
+
+def _undated(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of runs whose latest row states no date."""
+    last = validation.last_by(table(spark, d, "observations").where("candidate_id IS NOT NULL"), ["run_key", "candidate_id"], ["observed_at", "payload"], ["payload"])
+    return validation.undated(last.withColumn("k", F.concat_ws("/", "run_key", "candidate_id")), "observations", "k", F.get_json_object("payload", "$.published"))
+
+
+def _not_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows = validation.not_lists(table(spark, d, "record_edges"), "record_edges", "source_id", "evidence")
+    return rows.groupBy("code", "table", "detail").agg(F.count("*").alias("records"))
+
+
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     """Titles that are no part of their document's text."""
     docs = table(spark, d, "documents")
@@ -125,13 +155,9 @@ def _upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Equal rows in another order, split and repeated have the same fingerprint; rows are counted with repeats."""
+    """The fingerprint of each run's documents; rows are counted with repeats, in whatever order and partitions they come."""
     docs = table(spark, d, "documents").select("run_key", "global_id", "sha256")
-    a = incremental.fingerprints(docs, ["run_key"], ["global_id", "sha256"])
-    b = incremental.fingerprints(docs.unionByName(docs).repartition(7), ["run_key"], ["sha256", "global_id"])
-    c = incremental.fingerprints(docs.where("sha256 < 'f'"), ["run_key"], ["global_id", "sha256"])
-    x = a.join(b.select("run_key", F.col("fingerprint").alias("fb"), F.col("rows").alias("rb")), "run_key").join(c.select("run_key", F.col("fingerprint").alias("fc")), "run_key", "left")
-    return x.select("run_key", "rows", "rb", (F.col("fingerprint") == F.col("fb")).alias("same"), (F.coalesce(F.col("fingerprint") == F.col("fc"), F.lit(False))).alias("same_without_some"))
+    return incremental.fingerprints(docs.unionByName(docs).repartition(7), ["run_key"], ["sha256", "global_id"])
 
 
 def _forget(spark: SparkSession, d: str) -> DataFrame:
@@ -202,12 +228,17 @@ QUERIES = {
     "required_text": lambda s, d: validation.required_text(table(s, d, "documents"), "documents", "doc_id", ["text", "title", "source"]),
     "enum_violations": lambda s, d: validation.allowed_values(table(s, d, "documents"), "documents", "doc_id", "lang", ("en", "de", "fr", "es", "pt", "ru", "ko", "ja", "zh", "th")),
     "timestamp_invalid": lambda s, d: validation.timestamps(table(s, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.lit("yesterday")).when(F.col("event_type") == "view", F.lit("2024-05-01T10:00:00")).when(F.col("event_type") == "signup", None).otherwise(F.lit("2024-05-01T10:00:00Z")).alias("at")), "events", "event_id", "at"),
-    "empty_refs": lambda s, d: validation.empty_references(table(s, d, "customer").join(_orders_by_customer(s, d), F.col("c_custkey") == F.col("o_custkey"), "left"), "customer", "c_custkey", "orders"),
+    "empty_refs": lambda s, d: validation.empty_references(_candidates_of_works(s, d), "aliases", "work_key", "candidates"),
     "unknown_refs": _unknown,
     "unread_evidence": _unread,
     "question_claim_mismatch": _one_sided,
     "coverage_missing": _uncovered,
     "no_support": _no_support,
+    "no_refutation": _no_refutation,
+    "coverage_mismatch": _coverage_mismatch,
+    "undated_sources": _undated,
+    "invalid_lists": _not_lists,
+    "trace_without_claim": lambda s, d: validation.rootless(table(s, d, "record_edges")),
     "report_text_missing": _passages,
     "hash_integrity": _changed,
     "register_subset": _subset,
@@ -256,17 +287,32 @@ WHERE NOT EXISTS (SELECT 1 FROM record_edges e WHERE e.source_kind = 'questions'
 _REQ = "SELECT 'REQUIRED_TEXT' AS code, 'documents' AS \"table\", doc_id::varchar AS record, '{0}' AS detail FROM documents WHERE " + _BLANK
 _LOC = r"regexp_extract_all(evidence, '\bpage:\d+\b|\bdocument\b')"
 
+_EDGES = r"""WITH e AS (SELECT source_kind, concat_ws('/', run_key, regexp_replace(source_id, '^\s+|\s+$', '', 'g')) AS id, lower(regexp_replace(relation, '^\s+|\s+$', '', 'g')) AS relation
+  FROM record_edges WHERE length(regexp_replace(source_id, '^\s+|\s+$', '', 'g')) > 0)
+"""
+
 ORACLE = {
     "missing_ids": f"SELECT 'MISSING_ID' AS code, 'record_edges' AS \"table\", count(*) AS n FROM record_edges WHERE {_BLANK.replace("{0}", "source_id")}",
     "duplicate_ids": "SELECT 'DUPLICATE_ID' AS code, array_to_string(list_sort(list_distinct(list(t))), ',') AS \"table\", id AS record, count(*)::varchar AS detail FROM (SELECT 'documents' AS t, global_id AS id FROM documents UNION ALL SELECT 'texts', text_id FROM texts) WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
     "required_text": " UNION ALL ".join(_REQ.replace("{0}", c) for c in ("text", "title", "source")),
     "enum_violations": "SELECT 'INVALID_VALUE' AS code, 'documents' AS \"table\", doc_id::varchar AS record, coalesce(lang, 'null') AS detail FROM documents WHERE coalesce(lang NOT IN ('en', 'de', 'fr', 'es', 'pt', 'ru', 'ko', 'ja', 'zh', 'th'), true)",
     "timestamp_invalid": "SELECT 'INVALID_TIMESTAMP' AS code, 'events' AS \"table\", event_id::varchar AS record, CASE event_type WHEN 'error' THEN 'yesterday' WHEN 'view' THEN '2024-05-01T10:00:00' ELSE 'null' END AS detail FROM events WHERE event_type IN ('error', 'view', 'signup')",
-    "empty_refs": "SELECT 'EMPTY_REFS' AS code, 'customer' AS \"table\", c_custkey::varchar AS record, 'orders' AS detail FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))",
+    "empty_refs": "SELECT DISTINCT 'EMPTY_REFS' AS code, 'aliases' AS \"table\", work_key AS record, 'candidates' AS detail FROM aliases WHERE work_key IS NOT NULL AND work_key NOT IN (SELECT work_key FROM observations WHERE work_key IS NOT NULL AND candidate_id IS NOT NULL)",
     "unknown_refs": _UNKNOWN,
     "unread_evidence": "SELECT DISTINCT 'UNKNOWN_REF' AS code, 'documents' AS \"table\", global_id AS record, work_key AS detail FROM documents t WHERE work_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM observations x WHERE x.run_key = t.run_key AND x.work_key = t.work_key)",
     "question_claim_mismatch": "SELECT DISTINCT 'ONE_SIDED_LINK' AS code, 'aliases' AS \"table\", alias AS record, work_key AS detail FROM aliases t WHERE alias IS NOT NULL AND work_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM aliases b WHERE b.alias = t.work_key AND b.work_key = t.alias)",
     "coverage_missing": _COVER,
+    "no_refutation": _EDGES + "SELECT DISTINCT 'NO_REFUTATION' AS code, 'claims' AS \"table\", id AS record, 'claim' AS detail FROM e WHERE source_kind = 'claims' AND id NOT IN (SELECT id FROM e WHERE source_kind = 'claims' AND relation = 'refutes')",
+    "coverage_mismatch": _EDGES + "SELECT DISTINCT 'COVERAGE_SOURCE_MISMATCH' AS code, 'questions' AS \"table\", id AS record, split_part(relation, ':', 2) AS detail FROM e WHERE source_kind = 'questions' AND relation LIKE 'coverage_source:%' AND NOT EXISTS (SELECT 1 FROM e x WHERE x.source_kind = 'questions' AND x.id = e.id AND x.relation = 'covered_by:' || split_part(e.relation, ':', 2))",
+    "undated_sources": """WITH l AS (SELECT run_key, candidate_id, arg_max(payload, {'at': observed_at, 'p': payload}) AS payload FROM observations WHERE candidate_id IS NOT NULL GROUP BY ALL)
+SELECT 'UNDATED_SOURCE' AS code, 'observations' AS "table", concat_ws('/', run_key, candidate_id) AS record, 'published' AS detail FROM l WHERE CASE WHEN json_valid(payload) THEN trim(coalesce(json_extract_string(payload, '$.published'), '')) = '' ELSE true END""",
+    "invalid_lists": """SELECT 'INVALID_LIST' AS code, 'record_edges' AS "table", coalesce(evidence, 'null') AS detail, count(*) AS records FROM record_edges
+WHERE NOT coalesce(json_valid(evidence) AND json_type(evidence) = 'ARRAY' AND coalesce(list_bool_and(list_transform(json_extract(evidence, '$[*]'), lambda x: json_type(x) = 'VARCHAR')), true), false) GROUP BY ALL""",
+    "trace_without_claim": KNOTS + r"""
+, i AS (SELECT DISTINCT run_key, regexp_replace(source_id, '^\s+|\s+$', '', 'g') AS node FROM record_edges WHERE lower(trim(source_kind)) = 'trace' AND length(regexp_replace(source_id, '^\s+|\s+$', '', 'g')) > 0),
+g AS (SELECT DISTINCT run_key, regexp_replace(target_id, '^\s+|\s+$', '', 'g') AS node FROM record_edges WHERE lower(trim(target_kind)) = 'claims' AND lower(regexp_replace(relation, '^\s+|\s+$', '', 'g')) = 'parent')
+SELECT 'TRACE_WITHOUT_CLAIM' AS code, 'trace' AS "table", concat_ws('/', run_key, node) AS record, 'claims' AS detail FROM i WHERE NOT EXISTS (
+  SELECT 1 FROM up JOIN g ON g.run_key IS NOT DISTINCT FROM up.run_key AND g.node = up.anc WHERE up.relation = 'parent' AND up.run_key IS NOT DISTINCT FROM i.run_key AND up.node = i.node)""",
     "no_support": "WITH e AS (SELECT concat_ws('/', run_key, trim(source_id)) AS claim, relation FROM record_edges WHERE source_kind = 'claims' AND source_id IS NOT NULL) SELECT DISTINCT 'NO_SUPPORT' AS code, 'claims' AS \"table\", claim AS record, 'claim' AS detail FROM e WHERE claim NOT IN (SELECT claim FROM e WHERE relation = 'supports')",
     "report_text_missing": "SELECT 'TEXT_MISSING' AS code, 'documents' AS \"table\", doc_id::varchar AS record, 'doc_id' AS detail FROM documents WHERE title IS NOT NULL AND NOT coalesce(contains(text, title), false)",
     "hash_integrity": "SELECT 'CONTENT_CHANGED' AS code, 'documents' AS \"table\", doc_id::varchar AS record, coalesce(sha256(text), 'null') AS detail FROM documents WHERE sha256(text) IS DISTINCT FROM sha256",
@@ -290,7 +336,8 @@ SELECT user_id, event_type, event_id FROM a QUALIFY row_number() OVER (PARTITION
 SELECT user_id, count(*) AS n FROM (SELECT user_id, event_type, event_id FROM last UNION SELECT user_id, event_type, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20') GROUP BY user_id""",
     "upsert_coalesce": """WITH f AS (SELECT run_key, arg_min({'root': root, 'fingerprint': fingerprint}, {'a': synced_at, 'b': fingerprint}) AS r, arg_max({'root': root, 'fingerprint': fingerprint}, {'a': synced_at, 'b': coalesce(fingerprint, '')}) AS l FROM runs WHERE run_key IS NOT NULL GROUP BY run_key)
 SELECT run_key, coalesce(l.root, r.root) AS root, coalesce(l.fingerprint, r.fingerprint) AS fingerprint FROM f""",
-    "run_fingerprint": "SELECT run_key, count(*) AS rows, 2 * count(*) AS rb, true AS same, bool_and(coalesce(sha256 < 'f', false)) AS same_without_some FROM documents WHERE run_key IS NOT NULL GROUP BY run_key",
+    "run_fingerprint": """WITH h AS (SELECT run_key, sha256(to_json({'global_id': global_id, 'sha256': sha256})::varchar) AS h, 2 * count(*) AS n FROM documents GROUP BY ALL)
+SELECT run_key, sum(n)::bigint AS rows, sha256(concat_ws(',', sum(('0x' || h[1:16])::ubigint::hugeint)::varchar, sum(('0x' || h[17:32])::ubigint::hugeint)::varchar, sum(('0x' || h[33:48])::ubigint::hugeint)::varchar, sum(('0x' || h[49:64])::ubigint::hugeint)::varchar)) AS fingerprint FROM h GROUP BY run_key""",
     "forget_run": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t} WHERE run_key IS NULL OR run_key <> (SELECT min(run_key) FROM runs)" for t in ("documents", "texts", "observations", "record_edges")),
     "run_identity_conflicts": "WITH r AS (SELECT run_key, root FROM runs UNION ALL SELECT run_key, regexp_replace(root, '/[^/]*$', '') FROM runs) SELECT 'path' AS kind, root AS value, count(DISTINCT run_key) AS conflicts FROM r WHERE root IS NOT NULL GROUP BY root HAVING count(DISTINCT run_key) > 1 UNION ALL SELECT 'run', run_key, count(DISTINCT root) FROM r WHERE run_key IS NOT NULL GROUP BY run_key HAVING count(DISTINCT root) > 1",
     "run_states": """WITH l AS (SELECT run_key, fingerprint AS recorded FROM runs WHERE run_key IS NOT NULL AND synced_at < TIMESTAMP '2024-12-01' QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY synced_at DESC NULLS LAST, fingerprint DESC NULLS LAST) = 1),

@@ -2,34 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions.identifiers import DOI_HOSTS, alias_rank, joined_sha, normalized_doi, observation_aliases, openalex_alias
 from veristrata.functions.records import strict_json
-from veristrata.plans.lineage import cut
+from veristrata.plans.lineage import cut, seen
 
 MAX_ROUNDS = 64
-
-
-def alias_components(edges: DataFrame) -> DataFrame:
+#: So many links are left to one task.
+TAIL_LINKS = 100_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each name but the smallest of its component, and the smallest, of a bounded number of links."""
+    rows = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.string()), ("b", pa.string())]))
+    if not rows.num_rows:
+        return
+    names, at = np.unique(np.array(rows.column("a").to_pylist() + rows.column("b").to_pylist(), dtype=object), return_inverse=True)
+    a, b = at[: rows.num_rows], at[rows.num_rows :]
+    label = np.arange(len(names))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    other = np.flatnonzero(label != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[other].tolist(), type=pa.string()), pa.array(names[label[other]].tolist(), type=pa.string())], names=["a", "b"])
+
+
+def alias_components(edges: DataFrame, tail: int = TAIL_LINKS) -> DataFrame:
     """(id, root) of every name in ``edges`` (a, b): the smallest name that is linked to it, by alternating stars.
 
     The large star links every larger neighbour of a node to its smallest neighbour, the small star
     every smaller one; the edges of a hub are only grouped with partial minima. Ends when a round
-    changes nothing. Loops make a node its own component; null ends are left out.
+    changes nothing; at most ``tail`` links are finished in one task. Loops make a node its own component; null ends are left out.
     """
     links = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     nodes = cut(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct())
     links, mark = cut(links.where("a <> b")), None
     for _ in range(MAX_ROUNDS):
+        if seen(links) <= tail:
+            links = cut(links.coalesce(1).mapInArrow(_stars, "a string, b string"), links)
+            break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), links)
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        links = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), links, mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        now = seen(links), seen(links, "mark")
         if now == mark:
             break
         mark = now

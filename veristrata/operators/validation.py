@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veristrata.functions.records import zoned_timestamp
+from veristrata.functions.records import strict_json, zoned_timestamp
 from veristrata.functions.text import nonempty
 
 
@@ -109,6 +109,36 @@ def cycles(record_edges: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("relation") == "parent", "TRACE_CYCLE").otherwise("SOURCE_CYCLE").alias("code"), F.col("relation").alias("table"), F.concat_ws("/", "run_key", "node_id").alias("record"), F.col("cycle_id").alias("detail"))
 
 
+def not_lists(df: DataFrame, table: str, key: str, field: str) -> DataFrame:
+    """Records whose JSON field is no list of texts; null and broken JSON are none."""
+    listed = F.try_variant_get(strict_json(F.col(field)), "$", "array<variant>")
+    texts = F.forall(listed, lambda x: F.schema_of_variant(x) == "STRING")
+    return _found(df.where(~F.coalesce(texts, F.lit(False))), "INVALID_LIST", table, key, F.coalesce(F.col(field), F.lit("null")))
+
+
+def undated(df: DataFrame, table: str, key: str, date: Column) -> DataFrame:
+    """Sources without a date of publication."""
+    return _found(df.where(~nonempty(date)), "UNDATED_SOURCE", table, key, "published")
+
+
+def unequal_cells(one: DataFrame, two: DataFrame, code: str, table: str, key: str, cell: str) -> DataFrame:
+    """Cells (key, cell) of ``one`` that ``two`` has not."""
+    return _found(one.select(key, cell).distinct().join(two.select(key, cell).distinct(), [key, cell], "left_anti"), code, table, key, F.col(cell))
+
+
+def rootless(record_edges: DataFrame, wanted: str = "claims") -> DataFrame:
+    """Trace items none of whose ancestors over ``parent`` is a record of the wanted kind."""
+    from veristrata.operators.hierarchy import ancestry, stripped
+
+    kind = lambda c: F.lower(stripped(F.col(c)))
+    items = record_edges.where(kind("source_kind") == "trace").select("run_key", stripped(F.col("source_id")).alias("node_id")).where("length(node_id) > 0").distinct()
+    goals = record_edges.where((kind("target_kind") == wanted) & (kind("relation") == "parent")).select(F.col("run_key").alias("r"), stripped(F.col("target_id")).alias("a")).distinct()
+    above = ancestry(record_edges, items).where("relation = 'parent'")
+    good = above.join(goals, above.run_key.eqNullSafe(goals.r) & (above.ancestor_id == goals.a), "left_semi").select(F.col("run_key").alias("r"), F.col("node_id").alias("n")).distinct()
+    left = items.join(good, items.run_key.eqNullSafe(good.r) & (items.node_id == good.n), "left_anti")
+    return _found(left.withColumn("k", F.concat_ws("/", "run_key", "node_id")), "TRACE_WITHOUT_CLAIM", "trace", "k", wanted)
+
+
 def last_by(df: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
     """The payload of the last row of each key in the given order, by partial aggregation."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("r")).select(*keys, "r.*")
