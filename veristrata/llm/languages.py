@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.functions.text import nonempty
 from veristrata.plans.lineage import cut, release
 from veristrata.llm.sentences import OTHER_MARKS, PARAGRAPH, SentenceModel, counts_on, fit, training_texts
 
@@ -522,7 +523,7 @@ def labeller_on(documents: DataFrame) -> Labeller:
 
 def items_of(documents: DataFrame, texts: DataFrame) -> DataFrame:
     """item_kind, item_id, text, label of all documents (their title where the text is null or blank) and texts."""
-    blank = F.col("text").isNull() | (F.length(F.regexp_replace("text", r"[\s\p{Z}]+", "")) == 0)
+    blank = ~nonempty(F.col("text"))
     docs = documents.select(F.lit("document").alias("item_kind"), F.col("doc_id").cast("string").alias("item_id"), F.when(blank, F.col("title")).otherwise(F.col("text")).alias("text"), F.col("lang").alias("label"))
     return docs.unionByName(texts.select(F.lit("text").alias("item_kind"), F.col("text_id").alias("item_id"), "text", F.col("lang").alias("label")))
 
@@ -555,7 +556,9 @@ def _map(items: DataFrame, labeller: Labeller, schema: str, emit: Callable, labe
             texts = batch["text"].tolist()
             heads = list(zip(batch["item_kind"].tolist(), batch["item_id"].tolist(), batch["label"].tolist()))
             for a, b in _chunks(texts):
-                rows = [r for head, s in zip(heads[a:b], label(shared.value, texts[a:b])) for r in emit(head, s)]
+                each = list(dict.fromkeys(texts[a:b]))  # copies of a text are labelled once
+                found = dict(zip(each, label(shared.value, each)))
+                rows = [r for head, t in zip(heads[a:b], texts[a:b]) for r in emit(head, found[t])]
                 yield pd.DataFrame(rows, columns=names)
 
     usable = items.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_kind", "item_id", "text", "label")

@@ -433,15 +433,19 @@ class EdgeCounts:
         return (at("Sw" + first, none), at("Sw" + _shape(first), none), at("Ew" + last, none), at("Ew~" + last[-2:], none), self.heads.get(first, -1), self.seconds["S"].get(first, -1), self.seconds["E"].get(last, -1))
 
     def _put(self, prefix: str, keys: Iterable[str]) -> None:
-        for key in {"", *keys}:
-            if (i := self.index.get(prefix + key)) is not None:
-                self.edge[i] += 1
+        get, held = self.index.get, self._held
+        for key in dict.fromkeys(keys):
+            if (i := get(prefix + key)) is not None:
+                held.append(i)
+        if (i := get(prefix)) is not None:
+            held.append(i)
 
     def add(self, texts: Iterable[str]) -> None:
         """Count all places of ``texts``."""
         words: list[str] = []
         sizes: list[int] = []
         plain: list[str] = []
+        self._held: list[int] = []
         for text in texts:
             for a, b in _paragraphs(text):
                 bare = b
@@ -460,6 +464,7 @@ class EdgeCounts:
                     found = part.split()
                     words += found
                     sizes.append(len(found))
+        self.edge += np.bincount(np.array(self._held, dtype=np.int64), minlength=len(self.edge))
         if words:
             self._add_words(words, sizes)
         if plain:
@@ -475,18 +480,21 @@ class EdgeCounts:
         if new:
             self._ids = np.concatenate([self._ids, np.array(new, dtype=np.int64)])
             self._new = []
-        at = self._ids[np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))]
+        at = np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))
+        often = np.bincount(at, minlength=len(self._ids))
         for column in range(4):
-            self.any += np.bincount(at[:, column], minlength=len(self.any))
+            self.any += np.bincount(self._ids[:, column], weights=often, minlength=len(self.any)).astype(np.int64)
         for side in "SE":
             if (i := self.index.get(side + "w")) is not None:
                 self.any[i] += len(words)
         inner = np.ones(len(words), dtype=bool)
         inner[np.cumsum(sizes) - 1] = False  # the last word of a paragraph heads no pair
-        head = at[:-1, 4][inner[:-1]]
+        inner = np.flatnonzero(inner[:-1])
+        head = self._ids[:, 4][at[inner]]
+        inner, head = inner[head >= 0], head[head >= 0]
         for side, column in (("S", 5), ("E", 6)):
-            second = at[1:, column][inner[:-1]]
-            both = (head >= 0) & (second >= 0)
+            second = self._ids[:, column][at[inner + 1]]
+            both = second >= 0
             code, place = self.pairs[side]
             self._add_found(head[both] * max(1, len(self.seconds[side])) + second[both], code, place, 1)
 
@@ -621,11 +629,15 @@ def fit(texts: Iterable[str], epochs: int = 6, counted: Callable[[frozenset[str]
     seen: Counter[str] = Counter()
     for features, _ in data:
         seen.update(features)
-    weights: dict[str, float] = defaultdict(float)
-    total: dict[str, float] = defaultdict(float)
+    names = [f for f, n in seen.items() if n > 1]  # what was seen once says nothing
+    number = {f: i for i, f in enumerate(names)}
+    rows = [([number[f] for f in features if f in number], y) for features, y in data]
+    weights = [0.0] * len(names)
+    total = np.zeros(len(names))
     rounds = 0
-    order = list(range(len(data)))
+    order = list(range(len(rows)))
     state = TRAIN_SEED
+    exp = math.exp
     for epoch in range(epochs):
         for i in range(len(order) - 1, 0, -1):
             state = (state * 1103515245 + 12345) % 2147483648
@@ -633,18 +645,18 @@ def fit(texts: Iterable[str], epochs: int = 6, counted: Callable[[frozenset[str]
             order[i], order[j] = order[j], order[i]
         rate = 0.15 / (1 + epoch)
         for i in order:
-            features, y = data[i]
-            z = sum(weights[f] for f in features)
-            delta = rate * (y - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            if abs(delta) > 1e-4:
+            features, y = rows[i]
+            z = 0.0
+            for f in features:
+                z += weights[f]
+            delta = rate * (y - 1 / (1 + exp(-max(-30.0, min(30.0, z)))))
+            if delta > 1e-4 or delta < -1e-4:
                 for f in features:
-                    if seen[f] > 1:
-                        weights[f] += delta
+                    weights[f] += delta
         if epoch >= epochs // 2:
             rounds += 1
-            for f, w in weights.items():
-                total[f] += w
-    kept = {f: w / rounds for f, w in total.items() if abs(w) > 0.01 * rounds} if rounds else {}
+            total += weights
+    kept = {f: w / rounds for f, w in zip(names, total.tolist()) if abs(w) > 0.01 * rounds} if rounds else {}
     n1, n0 = sum(v for (_, _, y), v in gaps.items() if y), sum(v for (_, _, y), v in gaps.items() if not y)
     transitions = {}
     for tag in (0, 1):
