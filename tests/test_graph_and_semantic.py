@@ -28,7 +28,9 @@ def test_components_equal_union_find(spark):
         if a and b:
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    got = {r.id: r.root for r in graph.alias_components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got, by_rounds = ({r.id: r.root for r in graph.alias_components(df, tail).collect()} for tail in (graph.TAIL_LINKS, 0))
+    assert got == by_rounds
     assert got == {x: root(x) for x in list(parent)}
 
 
