@@ -66,6 +66,7 @@ LATIN_OR_END = re.compile(r"[a-zªºß-öø-ɏ̀-ͯḁ-ỿ]+|[.!?…]+(?=[\s\"
 #: Rough sentences, as far as counting words needs them.
 ROUGH = re.compile(r"\n\s*\n|[.!?。！？…]+[\"”»’」』)]*(?:\s+|(?=[぀-ヿ㐀-鿿]))")
 HAN = re.compile(r"[㐀-鿿]")
+CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 #: A text of fewer words is always split into sentences.
 LEAST_WORDS = 8
 #: A sentence is counted for a language that leads by so much.
@@ -180,7 +181,10 @@ class LanguageModel:
 
 
 class WordCounts:
-    """Counts of words by language, of Han characters with and without kana, and of Cyrillic words, over rough sentences."""
+    """Counts over rough sentences: of words by language, of Han characters with and without kana, and of Cyrillic letters.
+
+    Words count in sentences without letters of other scripts.
+    """
 
     def __init__(self, labels: LanguageModel) -> None:
         self.labels = labels
@@ -191,26 +195,20 @@ class WordCounts:
     def add(self, texts: Iterable[str]) -> None:
         words: list[str] = []  # with what ends sentences between them
         for text in texts:
-            text = DATA.sub(" ", text)
+            if DATA.search(text):
+                text = DATA.sub(" ", text)
             if not OTHER.search(text):
                 words += LATIN_OR_END.findall(text.lower())
                 words.append(".")
                 continue
             for part in ROUGH.split(text):
-                if not part:
-                    continue
-                found = WORD.findall(part)
-                latin = [w for w in found if w[0] < "Ͱ"]
-                if latin and len(latin) >= 0.8 * len(found):
-                    words += [w.lower() for w in latin]
+                if not OTHER.search(part):
+                    words += LATIN_OR_END.findall(part.lower())
                     words.append(".")
-                    continue
-                joined = "".join([w for w in found if w[0] >= "⺀"])
-                if joined and 2 * sum(map(len, latin)) < 3 * len(part):
-                    if han := HAN.findall(joined):
-                        self.kana[0 if KANA.search(joined) else 1].update(han)
-                elif not joined:
-                    self.cyrillic.update([w.lower() for w in found if "Ѐ" <= w[0] <= "ӿ"])
+                elif han := HAN.findall(part):
+                    self.kana[0 if KANA.search(part) else 1].update(han)
+                else:
+                    self.cyrillic.update(CYRILLIC.findall(part))
         if not words:
             return
         vocabulary: dict[str, int] = {}
@@ -330,7 +328,7 @@ def counted_languages(documents: DataFrame, first: LanguageModel, text: str = "t
     whole = sums.groupBy(script.alias("script"), "word").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("kind") == x, F.col("n"))).alias(x) for x in LATIN])
     han = whole.where("script IN ('kana', 'no kana')").collect()  # characters
     latin = whole.where("script = 'latin' AND all > 1").orderBy(F.desc("all"), "word").limit(MAX_WORDS).collect()
-    cyrillic = whole.where("script = 'ru'").select(F.explode(F.split("word", "")).alias("word"), "all").groupBy("word").agg(F.sum("all").alias("all"))
+    cyrillic = whole.where("script = 'ru'").groupBy(F.lower("word").alias("word")).agg(F.sum("all").alias("all"))
     letters = cyrillic.collect()  # an alphabet
     floor = 1e-5 * sum(r.all for r in letters)
     counts = [Counter({r.word: r[x] or 0 for r in latin}) for x in LATIN]
