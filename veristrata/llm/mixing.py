@@ -173,7 +173,7 @@ def mix(counts: DataFrame, targets: DataFrame, refill: bool = False, bucket_rows
     parts = [state.where("p = 0").select(*columns)]
     rest = state.where("p > 0").withColumn("bucket", F.pmod(F.col("place"), F.lit(buckets)))
     while True:
-        order = ("bucket", "mix_id", "source", "place", "doc_id", "tokens")
+        order = ("bucket", "mix_id", "source", F.desc("tokens"), "place", "doc_id")  # large ones first, so what stays open is small
         spread = rest.repartition("bucket") if buckets > 1 else rest.repartition(1)
         level = cut(spread.sortWithinPartitions(*order).select(*[c.split()[0] for c in STATE.split(", ")]).mapInPandas(_level(buckets == 1), STATE))
         parts.append(level.where(~fractional).select(*columns))
