@@ -173,3 +173,14 @@ def test_tables_between_rounds(spark):
         shared_folder(Cluster)
     Cluster.conf.get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs://all/x/"}.get(key, default))
     assert shared_folder(Cluster) == "hdfs://all/x"
+
+
+def test_lookups_with_hot_keys(spark):
+    from veristrata.plans.skew import lookup
+
+    left = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 100 = 1 THEN NULL ELSE id END AS k")
+    right = spark.range(2000).selectExpr("id AS k", "id * 2 AS v")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, "k", how).select("id", "k", "v").collect()), key=str)
+        for hot in (10_000, 500):
+            assert sorted(map(tuple, lookup(left, right, "k", 3000, how, hot).select("id", "k", "v").collect()), key=str) == want
