@@ -133,7 +133,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.sqrt((gap * gap).sum(axis=1))
 
 
-def fit_index(classes: DataFrame, list_size: int = LIST_SIZE) -> Index:
+def fit_index(classes: DataFrame, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS) -> Index:
     """Fit the centres of every group on a bounded sample (smallest hashes); only the samples come to the driver."""
     sizes = {r.grp: r.n for r in classes.groupBy("grp").agg(F.count("*").alias("n")).collect()}
     centres, rotations = {}, {}
@@ -142,7 +142,7 @@ def fit_index(classes: DataFrame, list_size: int = LIST_SIZE) -> Index:
         part = classes.where((F.col("grp") == grp) & (F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * share)))
         x = _units(part.select("vec").limit(2 * SAMPLE).toArrow().column("vec").combine_chunks())
         turn = rotations.setdefault(x.shape[1], rotation(x.shape[1]))
-        k = max(1, min(MAX_LISTS, math.ceil(n / list_size), len(x)))
+        k = max(1, min(max_lists, math.ceil(n / list_size), len(x)))
         centres[grp] = k_means((np.unique(x, axis=0) @ turn).astype(np.float32), k)
     return Index(centres, rotations)
 
@@ -282,7 +282,7 @@ def _meet(queries: DataFrame, base: DataFrame, index: Index, own: bool) -> DataF
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, PAIRS)
 
 
-def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS, exact: bool = False, probes: Callable[[int], int] = probes_for, list_size: int = LIST_SIZE) -> DataFrame:
+def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS, exact: bool = False, probes: Callable[[int], int] = probes_for, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS) -> DataFrame:
     """(model, revision, text_id, neighbour, similarity, rank): the k most similar other texts of each text.
 
     Similarity is the cosine rounded to six decimals, ties go to the smaller text_id. See
@@ -295,7 +295,7 @@ def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS, exact: bool = Fals
     owner = cut(owner)
     if classes.isEmpty():
         return owner.select("model", "revision", "text_id", F.col("text_id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    index = fit_index(classes, list_size)
+    index = fit_index(classes, list_size, max_lists)
     index.probes = {g: len(c) if exact else probes(len(c)) for g, c in index.centres.items()}
     index.epsilon = math.inf if exact else EPSILON
     listed = cut(_blocks(cut(assign(classes, index))))
