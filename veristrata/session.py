@@ -1,4 +1,7 @@
-"""A session with settings that suit the engine; every operator also runs on any other session."""
+"""A session with settings that suit the engine; every operator also runs on any other classic session.
+
+Iterative operators, generations and models that are broadcast use the driver's JVM, so Spark Connect is not supported.
+"""
 
 from __future__ import annotations
 
