@@ -384,6 +384,24 @@ def viterbi(scores: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
+def scripts_mixed(text: str) -> bool:
+    """Whether a dozen places of a long text show several scripts; a guess that only decides which way is tried first."""
+    n = len(text)
+    if n < 240:
+        return False
+    kinds = set()
+    for i in range(0, n - 20, n // 12):
+        piece = text[i : i + 20]
+        if other := OTHER.search(piece):
+            c = other.group()
+            kinds.add("ko" if "가" <= c <= "힣" else "th" if "฀" <= c <= "๿" else "ru" if "Ѐ" <= c <= "ӿ" else "han")
+        elif sum(map(str.isalpha, piece)) > 14:
+            kinds.add("latin")
+        if len(kinds) > 1:
+            return True
+    return False
+
+
 class Labeller:
     """Languages of the sentences of texts."""
 
@@ -448,12 +466,13 @@ class Labeller:
 
         A first pass lets the language switch for the price of a switch between sentences wherever one
         may end. Where even so no switch pays, none pays between the sentences that there are, and all
-        of them have the one language: sentences are only looked for in the other texts.
+        of them have the one language: sentences are only looked for in the other texts. Texts that visibly
+        mix scripts are not tried.
         """
         tokens: list[str] = []
         lengths = []
         for text in texts:
-            got = WORD_OR_END.findall(DATA.sub("\n", text) if DATA.search(text) else text) if text else []
+            got = WORD_OR_END.findall(DATA.sub("\n", text) if DATA.search(text) else text) if text and not scripts_mixed(text) else []
             tokens += got
             lengths.append(len(got))
         scores, marks = self.languages.scores(tokens)
