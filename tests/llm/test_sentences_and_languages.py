@@ -170,6 +170,28 @@ def test_counts_of_words_and_characters_equal_counting_by_hand():
     assert got["Su"] == got["Eu"] == (1, 12) and got["Su的结"] == (0, 3) and got["Eu的结"][1] in (0, 3, 6)
 
 
+def test_every_place_of_unspaced_texts_is_counted_once():
+    texts = ["甲乙丙丁。戊己庚辛壬癸。子丑寅卯辰巳午未申酉", "犬が走る。 猫が寝る。鳥が飛んで行きます", "ไทยไทย ไทยดี มาก ๆ ไทยไทย", "中文句子在这里。ไทยไทย ไทยดี มาก又是中文"]
+    keys = ["Su", "Eu"] + [s + "u" + x[i : i + k] for s in "SE" for x in texts for k in S.WIDTHS for i in range(len(x) - k + 1)]
+    counts = S.EdgeCounts(dict.fromkeys(keys))
+    counts.add(texts)
+    thai = lambda c: bool(S.THAI.match(c))
+    want = dict.fromkeys(keys, 0)
+    for x in texts:
+        n = len(x)
+        inner = [p for p in range(1, n - 1) if not (thai(x[p - 1]) or thai(x[p]))]
+        starts = inner + [p for p in range(1, n) if x[p - 1] == " " and thai(x[p])]
+        ends = inner + [p for p in range(1, n) if x[p] == " " and thai(x[p - 1])]
+        for side, places in (("S", starts), ("E", ends)):
+            want[side + "u"] += len(places)
+            for k in S.WIDTHS:
+                for p in places:
+                    a, b = (p, p + k) if side == "S" else (p - k, p)
+                    if a >= 0 and b <= n:
+                        want[side + "u" + x[a:b]] += 1
+    assert {k: int(counts.any[i]) for k, i in counts.index.items()} == want
+
+
 def test_models_are_kept(tmp_path, model, labeller):
     path = str(tmp_path / "m.json")
     model.save(path)

@@ -53,6 +53,10 @@ DIGITS = re.compile(r"\d+")
 LOWER_WORD = re.compile(r"[a-zß-öø-ÿа-яё]+(?![\w.\-])")
 #: Lengths of the keys in scripts without blanks.
 WIDTHS = (10, 6, 4, 3, 2, 1)
+#: Hashes of what stands at a place are first looked up by so many of their bits.
+GRAM_BITS = 18
+#: So many characters, and what is left of a paragraph, are counted at once.
+GRAM_CHARS = 500_000
 #: Stripped from what stands before a place, as it is at the ends of paragraphs.
 TAIL = ".!?…。！？｡．\"”»」』)）“’;； \t\r\n\u00a0\u202f\u3000"
 TAIL_CODES = np.array([ord(c) for c in TAIL], dtype=np.uint32)
@@ -378,14 +382,15 @@ def decode(found: list[Candidate], scores: list[float], start: int, transitions:
 PRIOR = {".": 0.5, "!": 2.5, "。": 3.0, "…": -0.5, " ": -1.0}
 
 
-def _rolled(text: str | np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k characters from each place on."""
+def _grams(text: str | np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A 64-bit hash of the k characters from each place on, for every k up to the longest of WIDTHS; the last k - 1 places have none."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") if isinstance(text, str) else text
-    out = np.zeros(len(first), dtype=np.uint64)
-    for j in range(k):
-        out = (out + code[first + j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    code = code.astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(code), dtype=np.uint64)
+    for k in range(1, min(WIDTHS[0], len(code)) + 1):
+        out = (out[: len(code) - k + 1] + code[k - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out
+        yield k, out
 
 
 class EdgeCounts:
@@ -402,23 +407,27 @@ class EdgeCounts:
         self.heads: dict[str, int] = {}
         self.seconds: dict[str, dict[str, int]] = {"S": {}, "E": {}}
         pairs: dict[str, list[tuple[int, int, int]]] = {"S": [], "E": []}
-        grams: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        grams: dict[int, dict[int, dict[str, int]]] = {}
         for k, i in self.index.items():
             side, kind, what = k[0], k[1], k[2:]
             if kind == "w" and " " in what:
                 head, second = what.split(" ", 1)
                 pairs[side].append((self.heads.setdefault(head, len(self.heads)), self.seconds[side].setdefault(second, len(self.seconds[side])), i))
             elif kind == "u" and what:
-                grams.setdefault((side, len(what)), []).append((int(_rolled(what, np.zeros(1, dtype=np.int64), len(what))[0]), i))
+                if len(what) in WIDTHS:
+                    grams.setdefault(len(what), {}).setdefault(int([*_grams(what)][-1][1][0]), {})[side] = i
         self.pairs = {}
         for side, rows in pairs.items():
             code = np.array([h * max(1, len(self.seconds[side])) + x for h, x, _ in rows], dtype=np.int64)
             order = np.argsort(code)
             self.pairs[side] = code[order], np.array([i for _, _, i in rows], dtype=np.int64)[order]
+        #: By width: the hashes in order, whether one with the same first GRAM_BITS bits is needed, and the numbers of the keys of either side.
         self.grams = {}
-        for key, rows in grams.items():
-            rows.sort()
-            self.grams[key] = np.array([h for h, _ in rows], dtype=np.uint64), np.array([i for _, i in rows], dtype=np.int64)
+        for k, rows in grams.items():
+            code = np.array(sorted(rows), dtype=np.uint64)
+            maybe = np.zeros(1 << GRAM_BITS, dtype=bool)
+            maybe[code >> np.uint64(64 - GRAM_BITS)] = True
+            self.grams[k] = code, maybe, {side: np.array([rows[h].get(side, len(self.keys)) for h in code.tolist()], dtype=np.int64) for side in "SE"}
         self._clear()
 
     def _clear(self) -> None:
@@ -467,8 +476,15 @@ class EdgeCounts:
         self.edge += np.bincount(np.array(self._held, dtype=np.int64), minlength=len(self.edge))
         if words:
             self._add_words(words, sizes)
-        if plain:
-            self._add_grams(plain)
+        some: list[str] = []
+        size = 0
+        for part in plain:
+            some.append(part)
+            if (size := size + len(part)) > GRAM_CHARS:
+                self._add_grams(some)
+                some, size = [], 0
+        if some:
+            self._add_grams(some)
 
     def _add_words(self, words: list[str], sizes: list[int]) -> None:
         if len(self._rows) > 400_000:
@@ -496,37 +512,47 @@ class EdgeCounts:
             second = self._ids[:, column][at[inner + 1]]
             both = second >= 0
             code, place = self.pairs[side]
-            self._add_found(head[both] * max(1, len(self.seconds[side])) + second[both], code, place, 1)
+            self._add_found(head[both] * max(1, len(self.seconds[side])) + second[both], code, place)
 
-    def _add_found(self, seen: np.ndarray, code: np.ndarray, place: np.ndarray, weight: int) -> None:
+    def _add_found(self, seen: np.ndarray, code: np.ndarray, place: np.ndarray) -> None:
         if len(code) and len(seen):
             k = np.minimum(np.searchsorted(code, seen), len(code) - 1)
-            self.any += weight * np.bincount(place[k[code[k] == seen]], minlength=len(self.any))
+            self.any += np.bincount(place[k[code[k] == seen]], minlength=len(self.any))
 
     def _add_grams(self, plain: list[str]) -> None:
-        """Every third place of unspaced paragraphs stands for three (Thai: only blanks are places)."""
+        """Every place within unspaced paragraphs counts once, from the first character to the last one, which closes; beside Thai letters every blank."""
         gap = "\0" * WIDTHS[0]
         joined = gap + gap.join(plain) + gap
-        lengths = np.array([len(x) for x in plain])
-        begin = len(gap) + np.concatenate([[0], np.cumsum(lengths + len(gap))[:-1]])
-        thai = np.array([THAI.search(x) is not None for x in plain])
-        thirds = np.where(thai, 0, (lengths - 1) // 3)
-        order = np.arange(thirds.sum()) - np.repeat(np.cumsum(thirds) - thirds, thirds)
-        third = np.repeat(begin, thirds) + 1 + 3 * order
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        within = np.zeros(len(code), dtype=bool)
+        at = len(gap)
+        for text in plain:
+            within[at + 1 : at + len(text) - 1] = True
+            at += len(text) + len(gap)
+        thai = (code >= 0x0E00) & (code <= 0x0E7F)
         blank = np.isin(code, [32, 9, 10, 13, 160, 0x3000])
-        after = np.flatnonzero(blank[:-1] & ~blank[1:] & (code[1:] != 0)) + 1
-        at = np.flatnonzero(~blank[:-1] & blank[1:] & (code[:-1] != 0)) + 1
+        beside, behind = thai.copy(), np.zeros(len(code), dtype=bool)
+        beside[1:] |= thai[:-1]
+        behind[1:] = blank[:-1] & ~blank[1:]
+        within &= ~beside
+        starts = within | (beside & behind)
+        closes = np.flatnonzero(~blank[:-1] & blank[1:] & (code[:-1] != 0)) + 1
         solid = ~np.isin(code, TAIL_CODES)
-        before = np.maximum.accumulate(np.where(solid, np.arange(len(code)) + 1, 0))[np.maximum(at - 1, 0)]
-        for side, spots, weight in (("S", third, 3), ("E", third, 3), ("S", after, 1), ("E", before, 1)):
+        before = np.maximum.accumulate(np.where(solid, np.arange(len(code)) + 1, 0))[closes - 1]
+        ends = within + np.bincount(before[beside[before]], minlength=len(code))
+        for side, places in (("S", starts), ("E", ends)):
             if (i := self.index.get(side + "u")) is not None:
-                self.any[i] += weight * len(spots)
-            for k in WIDTHS:
-                if (side, k) in self.grams:
-                    first = spots if side == "S" else spots - k
-                    first = first[first >= 0]
-                    self._add_found(_rolled(code, first, k), *self.grams[side, k], weight)
+                self.any[i] += int(places.sum())
+        for k, seen in _grams(code):
+            if k not in self.grams:
+                continue
+            wanted, maybe, places = self.grams[k]
+            first = np.flatnonzero(maybe[seen >> np.uint64(64 - GRAM_BITS)])
+            at = np.minimum(np.searchsorted(wanted, seen[first]), len(wanted) - 1)
+            same = wanted[at] == seen[first]
+            first, at = first[same], at[same]
+            for side, weights in (("S", starts[first]), ("E", ends[np.minimum(first + k, len(code) - 1)])):
+                self.any += np.bincount(places[side][at], weights=weights, minlength=len(self.any)).astype(np.int64)
 
     def score(self, side: str, kind: str, keys: list[str]) -> float:
         """Log odds of an edge where ``keys``, the longest first, stand; with back-off to shorter keys."""
