@@ -83,3 +83,39 @@ def test_exact_search_misses_nothing(spark):
 
 def test_probes_grow_with_the_lists():
     assert N.probes_for(1) == N.probes_for(256) == N.PROBES and N.probes_for(1024) == 2 * N.PROBES and N.probes_for(4096) == 4 * N.PROBES
+
+
+def shuffled(spark):
+    """Bytes that shuffles have written so far."""
+    each = spark._jsc.sc().statusStore().executorList(False)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
+def test_vectors_are_not_copied_for_the_lists_they_probe(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((150, 64))
+    vectors = {f"v{i:05d}": (centres[i % 150] + rng.standard_normal(64)).astype(np.float32).tolist() for i in range(4000)}
+    df = table(spark, [(t, "b", "m", "r", 64, v) for t, v in vectors.items()]).cache()
+    df.count()
+    before = shuffled(spark)
+    assert N.nearest_texts(df, list_size=25).count() == 20_000
+    assert shuffled(spark) - before < 10 * 4000 * 64 * 4
+    df.unpersist()
+
+
+def test_units_and_blocks_leave_nothing_behind(spark, monkeypatch):
+    monkeypatch.setattr(N, "UNIT_ROWS", 64)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    kept = []
+    monkeypatch.setattr(N, "store", lambda classes, index, folder, of=N.store: (of(classes, index, folder), kept.append((index, folder))))
+    rng = np.random.default_rng(12)
+    vectors = {f"v{i:04d}": rng.standard_normal(12).astype(np.float32).tolist() for i in range(700)}
+    vectors |= {f"w{i:04d}": vectors[f"v{i % 5:04d}"] for i in range(30)} | {f"x{i:04d}": vectors[f"v{i + 20:04d}"] for i in range(3)}
+    got = {}
+    for r in N.nearest_texts(table(spark, [(t, "b", "m", "r", 12, v) for t, v in vectors.items()]), k=9, exact=True, list_size=100).orderBy("rank").collect():
+        got.setdefault(("m", "r", r.text_id), []).append(r.neighbour)
+    assert got == brute({("m", "r"): vectors}, k=9)
+    (index, folder), = kept
+    assert max(len(x) for x in index.parts.values()) > 2 and len({f for x in index.parts.values() for f, _ in x}) > 8
+    assert not spark._jvm.java.io.File(folder.removeprefix("file:")).exists()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == spark.newSession().conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")

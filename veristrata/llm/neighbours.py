@@ -2,14 +2,19 @@
 
 Vectors of one model and revision are brought to length 1 and rotated at random, so that partial
 distances over the first columns estimate the whole. K-means centres, fitted on a bounded sample,
-make the lists; every vector is in one list. First each vector searches its own list, which gives it
-a threshold. Then it probes every other list that can hold something nearer by the triangle
-inequality, nearest centres first: PROBES of them, and more as the lists get more (``probes_for``), or
-all of them where an exact search is asked for. Within a list, its own included, the columns are read in
+make the lists; every vector is in one list. Lists with near centres make a cell. The vectors of a cell are
+written once, list by list, to a file of the shared folder; a cell of many rows to several files, its units.
+A task searches for the vectors of one unit and reads from the files the lists it needs, one at a time, so
+no vector is copied for the lists that it probes.
+
+First each vector searches its own list, which gives it a threshold. Then it probes every other list
+that can hold something nearer by the triangle inequality, nearest centres first: PROBES of them, and
+more as the lists get more (``probes_for``), or all of them where an exact search is asked for. Each
+list searched may lower the threshold. Within a list, its own included, the columns are read in
 blocks; after each block a hypothesis test abandons the pairs whose partial distance is already too
 large for the threshold. Survivors are measured exactly and ranked by the rounded cosine.
 
-Equal vectors of many texts are searched once. Long lists are cut into blocks, so no task holds an
+Equal vectors of many texts are searched once. Long lists are read in blocks, so no task holds an
 unbounded list.
 """
 
@@ -18,14 +23,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veristrata.plans.lineage import cut
+from veristrata.plans.lineage import cut, release, remove, shared_folder, spent_shuffles
 
 NEIGHBOURS = 5
 #: Centres are fitted on at most so many vectors of a model and revision ...
@@ -36,15 +44,17 @@ ITERATIONS = 8
 #: A vector probes so many other lists where there are PROBE_LISTS lists or fewer, and more with the square root of their number.
 PROBES, PROBE_LISTS = 12, 256
 BLOCK_ROWS = 4096
+#: Lists are put together to cells of about so many vectors; a task searches for about so many.
+UNIT_ROWS = 8192
+MAX_TASKS = 20_000
 COLUMN_BLOCK = 16
 #: Significance of the test: a pair is abandoned if its partial distance exceeds the threshold by the factor (1 + EPSILON / sqrt(columns read)).
 EPSILON = 2.1
 SEED = 7
-SALTS = 32
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
-    """(grp, model, revision, text_id, ukey, vec): each text of a model and revision once; ukey is equal for equal directions.
+    """(grp, text_id, ukey, vec): each text of a model and revision (and dimension: a grp) once; ukey is equal for equal directions.
 
     Left out are null text_ids, null vectors or dimensions, vectors of another length than their
     dimension, with an entry that is null or not finite, or with zeros only. Of several vectors of
@@ -70,37 +80,50 @@ def usable_vectors(embeddings: DataFrame) -> DataFrame:
                 keys += [blake2b(u.tobytes(), digest_size=16).digest() for u in unit]
                 kept += list(x[good])
             take = pa.array(at, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("grp", "model", "revision", "text_id")] + [pa.array(keys, type=pa.binary()), pa.array(kept, type=pa.list_(pa.float32()))], names=["grp", "model", "revision", "text_id", "ukey", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("grp", "text_id")] + [pa.array(keys, type=pa.binary()), pa.array(kept, type=pa.list_(pa.float32()))], names=["grp", "text_id", "ukey", "vec"])
 
-    name = F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("m"), "model"), F.lit("-")), F.coalesce(F.concat(F.lit("r"), "revision"), F.lit("-")), F.col("dimension").cast("string"))
     rows = embeddings.where(F.col("text_id").isNotNull() & (F.size("vector") == F.col("dimension")) & (F.col("dimension") > 0))
-    rows = rows.select(name.alias("grp"), "model", "revision", "text_id", F.col("dimension").cast("double").alias("dimension"), F.col("vector").cast("array<float>").alias("vector"))
-    found = rows.mapInArrow(run, "grp string, model string, revision string, text_id string, ukey binary, vec array<float>")
-    return found.groupBy("grp", "model", "revision", "text_id").agg(F.min(F.struct("ukey", "vec")).alias("v")).select("grp", "model", "revision", "text_id", "v.ukey", "v.vec")
+    rows = rows.select(_group().alias("grp"), "text_id", F.col("dimension").cast("double").alias("dimension"), F.col("vector").cast("array<float>").alias("vector"))
+    found = rows.mapInArrow(run, "grp string, text_id string, ukey binary, vec array<float>")
+    return found.groupBy("grp", "text_id").agg(F.min(F.struct("ukey", "vec")).alias("v")).select("grp", "text_id", "v.ukey", "v.vec")
+
+
+def _group() -> Column:
+    return F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("m"), "model"), F.lit("-")), F.coalesce(F.concat(F.lit("r"), "revision"), F.lit("-")), F.col("dimension").cast("string"))
 
 
 def vector_classes(vectors: DataFrame, keep: int = NEIGHBOURS + 1) -> tuple[DataFrame, DataFrame]:
-    """Vectors of one direction as one: (grp, rep, vec, members) and (grp, model, revision, rep, text_id).
+    """Vectors of one direction as one: (grp, rep, vec, members, more), and (grp, rep, text_id) of the classes with more members.
 
-    members: the ``keep`` smallest text_ids, as no other can be a neighbour. The smallest are found
-    first by salted hash, then over the salts, so that a large class is no single task.
+    members: the ``keep`` smallest text_ids, as no other can be a neighbour; more: whether there are others.
+    The limit of the window holds before its shuffle too, so that a large class is no single task.
     """
-    salted = vectors.select("grp", "ukey", "text_id", "vec", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).alias("salt"))
-    near = Window.partitionBy("grp", "ukey", "salt").orderBy("text_id")
-    few = salted.withColumn("n", F.row_number().over(near)).where(F.col("n") <= keep)
-    top = few.groupBy("grp", "ukey").agg(F.slice(F.sort_array(F.collect_list("text_id")), 1, keep).alias("members"), F.min_by("vec", "text_id").alias("vec"))
-    classes = cut(top.select("grp", "ukey", F.element_at("members", 1).alias("rep"), "vec", "members"))
-    owner = vectors.select("grp", "ukey", "model", "revision", "text_id").join(classes.select("grp", "ukey", "rep"), ["grp", "ukey"]).select("grp", "model", "revision", "rep", "text_id")
-    return classes.drop("ukey"), owner
+    near = Window.partitionBy("grp", "ukey").orderBy("text_id")
+    few = vectors.withColumn("n", F.row_number().over(near)).where(F.col("n") <= keep + 1)
+    first = F.sort_array(F.collect_list("text_id"))
+    top = few.groupBy("grp", "ukey").agg(F.slice(first, 1, keep).alias("members"), F.min_by("vec", "text_id").alias("vec"), (F.count("*") > keep).alias("more"))
+    classes = cut(top.select("grp", "ukey", F.element_at("members", 1).alias("rep"), "vec", "members", "more"))
+    owner = cut(vectors.select("grp", "ukey", "text_id").join(classes.where("more").select("grp", "ukey", "rep"), ["grp", "ukey"]).select("grp", "rep", "text_id"), vectors)
+    return classes, owner
 
 
 class Index:
-    """Rotations and centres by group."""
+    """Rotations, centres, radii and cells by group, and where the vectors of each list are."""
 
-    def __init__(self, centres: dict[str, np.ndarray], rotations: dict[int, np.ndarray], radius: dict[tuple[str, int], float] | None = None) -> None:
-        self.centres, self.rotations, self.radius = centres, rotations, radius or {}
+    def __init__(self, centres: dict[str, np.ndarray], rotations: dict[int, np.ndarray]) -> None:
+        self.centres, self.rotations = centres, rotations
+        self.cells: dict[str, np.ndarray] = {}
+        self.radius: dict[str, np.ndarray] = {}
         self.probes: dict[str, int] = {}
-        self.epsilon = EPSILON
+        self.epsilon, self.keep = EPSILON, NEIGHBOURS + 1
+        #: (file, number of its batch) of each block of a list of a group; a list has as many blocks as its cell has units, or more.
+        self.parts: dict[tuple[str, int], list[tuple[str, int]]] = {}
+
+
+def _cells(centres: np.ndarray, rows: int) -> np.ndarray:
+    """The cell of each list: near centres together, so that cells hold about UNIT_ROWS of ``rows`` vectors."""
+    k = min(len(centres), math.ceil(rows / UNIT_ROWS))
+    return nearest(centres, k_means(centres, k))[0] if k > 1 else np.zeros(len(centres), dtype=np.int64)
 
 
 def rotation(d: int) -> np.ndarray:
@@ -144,7 +167,9 @@ def fit_index(classes: DataFrame, list_size: int = LIST_SIZE, max_lists: int = M
         turn = rotations.setdefault(x.shape[1], rotation(x.shape[1]))
         k = max(1, min(max_lists, math.ceil(n / list_size), len(x)))
         centres[grp] = k_means((np.unique(x, axis=0) @ turn).astype(np.float32), k)
-    return Index(centres, rotations)
+    index = Index(centres, rotations)
+    index.cells = {g: _cells(c, sizes[g]) for g, c in centres.items()}
+    return index
 
 
 def _units(column) -> np.ndarray:
@@ -162,22 +187,71 @@ def _matrix(column) -> np.ndarray:
 
 
 def assign(classes: DataFrame, index: Index) -> DataFrame:
-    """(grp, list, rep, vec, members, gap): the list of every vector and the distance to its centre."""
+    """(grp, cell, list, rep, vec, members, more, gap): the cell and list of every vector and the distance to its centre."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             groups = np.array(batch.column("grp").to_pylist(), dtype=object)
-            lists, gaps = np.zeros(len(groups), dtype=np.int32), np.zeros(len(groups))
+            cells, lists, gaps = np.zeros(len(groups), dtype=np.int32), np.zeros(len(groups), dtype=np.int32), np.zeros(len(groups))
             for grp in set(groups.tolist()):
                 rows = np.flatnonzero(groups == grp)
                 x = _units(batch.column("vec").take(pa.array(rows)))
                 at, gap = nearest((x @ index.rotations[x.shape[1]]).astype(np.float32), index.centres[grp])
-                lists[rows], gaps[rows] = at, gap
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(lists), batch.column("rep"), batch.column("vec"), batch.column("members"), pa.array(gaps)], names=["grp", "list", "rep", "vec", "members", "gap"])
+                cells[rows], lists[rows], gaps[rows] = index.cells[grp][at], at, gap
+            same = [batch.column(c) for c in ("grp", "rep", "vec", "members", "more")]
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(cells), pa.array(lists), *same[1:], pa.array(gaps)], names=["grp", "cell", "list", "rep", "vec", "members", "more", "gap"])
+
+    return classes.select("grp", "rep", "vec", "members", "more").mapInArrow(run, "grp string, cell int, list int, rep string, vec array<float>, members array<string>, more boolean, gap double")
+
 
-    return classes.select("grp", "rep", "vec", "members").mapInArrow(run, "grp string, list int, rep string, vec array<float>, members array<string>, gap double")
+def _stored(uri: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def store(classes: DataFrame, index: Index, folder: str) -> None:
+    """Write the vectors of each unit, list by list and sorted by rep, to a file of ``folder``; sets the parts and radii of ``index``.
+
+    A block of a list is a record batch (rep, vec, turned, members, more); turned is the vector at length 1, rotated. A task
+    that is run again replaces its file by an equal one.
+    """
+    spark = classes.sparkSession
+    sizes = {(r.grp, r.cell): r.n for r in classes.groupBy("grp", "cell").agg(F.count("*").alias("n")).collect()}  # at most max_lists a group
+    rotations, numbers = spark.sparkContext.broadcast(index.rotations), {g: i for i, g in enumerate(sorted(index.centres))}
+    kinds = spark.createDataFrame([(g, c, numbers[g], math.ceil(n / UNIT_ROWS)) for (g, c), n in sizes.items()], "grp string, cell int, number int, units int")
+    units = classes.join(F.broadcast(kinds), ["grp", "cell"]).withColumn("unit", F.pmod(F.xxhash64("rep"), F.col("units")).cast("int")).drop("units")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("list", "ascending"), ("rep", "ascending")]).combine_chunks()
+        first = rows.slice(0, 1).to_pylist()[0]
+        name = f"{first['number']}-{first['cell']}-{first['unit']}.arrow"
+        files, folder_ = _stored(folder)
+        files.create_dir(folder_)
+        made = f"{folder_}/.{uuid4().hex}"
+        lists, at, found = rows.column("list").to_numpy(), 0, []
+        with files.open_output_stream(made) as out:
+            writer = None
+            while at < len(rows):
+                end = min(at + BLOCK_ROWS, int(np.searchsorted(lists, lists[at], side="right")))
+                part = rows.slice(at, end - at)
+                x = _units(part.column("vec"))
+                turned = (x @ rotations.value[x.shape[1]]).astype(np.float32)
+                flat = lambda m, d: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m, dtype=np.float32).reshape(-1)), d)
+                batch = pa.RecordBatch.from_arrays([part.column("rep").combine_chunks(), flat(_matrix(part.column("vec")), x.shape[1]), flat(turned, x.shape[1]), part.column("members").combine_chunks(), part.column("more").combine_chunks()], names=["rep", "vec", "turned", "members", "more"])
+                writer = writer or pa.ipc.new_file(out, batch.schema)
+                writer.write_batch(batch)
+                found.append((first["grp"], int(lists[at]), name, len(found), float(pc.max(part.column("gap")).as_py())))
+                at = end
+            writer.close()
+        files.move(made, f"{folder_}/{name}")
+        return pa.table([pa.array(c) for c in zip(*found)], schema=pa.schema([("grp", pa.string()), ("list", pa.int32()), ("file", pa.string()), ("batch", pa.int32()), ("radius", pa.float64())]))
+
+    made = units.groupBy("grp", "cell", "unit").applyInArrow(run, "grp string, list int, file string, batch int, radius double")
+    index.radius = {g: np.full(len(c), -9.0, dtype=np.float32) for g, c in index.centres.items()}
+    for r in sorted(made.collect()):  # a row for each block of a list
+        index.parts.setdefault((r.grp, r.list), []).append((r.file, r.batch))
+        index.radius[r.grp][r.list] = max(index.radius[r.grp][r.list], r.radius)
 
 
 def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +262,13 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, epsilon: floa
     d = q.shape[1]
     step = min(COLUMN_BLOCK, d)
     a, b = q[:, :step], x[:, :step]
-    part = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
     allowed = lambda most, read: np.minimum(most, most * (read / d) * (1 + epsilon / math.sqrt(read)) ** 2) if read < d and epsilon < math.inf else most
     bound = allowed(limit, step)
-    i, j = np.nonzero(part <= (bound + 1e-6)[:, None])
-    dist = part[i, j]
+    one = lambda m: np.ones((len(m), 1), dtype=m.dtype)
+    over = np.hstack([-2 * a, ((a * a).sum(axis=1) - bound)[:, None].astype(a.dtype), one(a)]) @ np.hstack([b, one(b), (b * b).sum(axis=1)[:, None]]).T  # what the distance exceeds the bound by
+    at = np.flatnonzero(over <= 1e-6)
+    i, j = np.divmod(at, len(x))
+    dist = over.ravel()[at] + bound[i]
     at = step
     while at < d and len(i):
         end = min(d, at + step)
@@ -227,59 +303,154 @@ def probes_for(lists: int) -> int:
     return math.ceil(PROBES * math.sqrt(max(1.0, lists / PROBE_LISTS)))
 
 
-PAIRS = "grp string, rep string, limit double, other string, sim double, members array<string>"
-
-
-def _search(queries: pa.Table, base: pa.Table, index: Index, own: bool) -> pa.Table:
-    """Candidates of the queries in a block of a list. own: find the thresholds here; else they come with the queries."""
-    out: dict[str, list] = {n: [] for n in ("grp", "rep", "limit", "other", "sim", "members")}
-    kinds = pa.schema([("grp", pa.string()), ("rep", pa.string()), ("limit", pa.float64()), ("other", pa.string()), ("sim", pa.float64()), ("members", pa.list_(pa.string()))])
-    if not len(queries) or not len(base):
-        return pa.table(out, schema=kinds)
-    grp = queries.column("grp")[0].as_py()
-    uq, ux = _units(queries.column("vec")), _units(base.column("vec"))
-    turn = index.rotations[uq.shape[1]]
-    q, x = (uq @ turn).astype(np.float32), (ux @ turn).astype(np.float32)
-    k = NEIGHBOURS + 1  # of classes, as the vector itself may be one
-    reps, others = np.array(queries.column("rep").to_pylist(), dtype=object), np.array(base.column("rep").to_pylist(), dtype=object)
-    members = base.column("members").combine_chunks()
-    for a in range(0, len(q), 256):
-        part = q[a : a + 256]
-        limit = _kth(part, x, k) if own else np.asarray(queries.column("limit").to_numpy()[a : a + 256], dtype=np.float32)
-        limit = limit + np.float32(1e-5)  # rounded cosines may tie
-        i, j = adaptive_scan(part, x, limit, index.epsilon)
-        sim = np.round(np.einsum("ij,ij->i", uq[a + i], ux[j]), 6)
-        order = np.lexsort((others[j].astype(str), -sim, i)) if len(i) else np.zeros(0, dtype=np.int64)
-        i, j, sim = i[order], j[order], sim[order]
-        first = np.searchsorted(i, i, side="left")
-        keep = np.arange(len(i)) - first < 2 * k  # no more can be among the first k texts, as each class has at least one
-        i, j, sim = i[keep], j[keep], sim[keep]
-        out["grp"] += [grp] * len(i)
-        out["rep"] += reps[a + i].tolist()
-        out["limit"] += limit[i].astype(float).tolist()
-        out["other"] += others[j].tolist()
-        out["sim"] += sim.tolist()
-        out["members"] += members.take(pa.array(j)).to_pylist()
-    return pa.table(out, schema=kinds)
-
-
-def _blocks(listed: DataFrame) -> DataFrame:
-    """Lists in blocks of about BLOCK_ROWS rows: adds block and the list's number of blocks."""
-    sizes = listed.groupBy("grp", "list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.max("gap").alias("radius"))
-    return listed.join(sizes, ["grp", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
-
-def _meet(queries: DataFrame, base: DataFrame, index: Index, own: bool) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast(index)
-    keys = ["grp", "list", "qblock", "block"]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _search(left, right, shared.value, own)
-
-    columns = [*keys, "rep", "vec"] + ([] if own else ["limit"])
-    right = base.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1))).select(*keys, "rep", "vec", "members")
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, PAIRS)
+class _Found:
+    """What was found for the vectors of a unit: the nearest classes so far and the thresholds that follow."""
+
+    def __init__(self, rows: int, keep: int) -> None:
+        self.keep = keep
+        self.near = np.full((rows, keep), np.inf, dtype=np.float32)
+        self.rows: list[np.ndarray] = []
+        self.sims: list[np.ndarray] = []
+        self.members: list[pa.Array] = []
+
+    def add(self, i: np.ndarray, sim: np.ndarray, members: pa.Array) -> None:
+        """Rows i, each with its pairs together, the nearest first."""
+        self.rows.append(i)
+        self.sims.append(sim)
+        self.members.append(members)
+        rows, first = np.unique(i, return_index=True)
+        place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        some = place < self.keep
+        new = np.full((len(rows), self.keep), np.inf, dtype=np.float32)
+        new[np.searchsorted(rows, i[some]), place[some]] = 2 - 2 * sim[some]
+        self.near[rows] = np.partition(np.hstack([self.near[rows], new]), self.keep - 1, axis=1)[:, : self.keep]
+
+    def limits(self, rows: np.ndarray) -> np.ndarray:
+        """Squared distances within which as many classes as are wanted were found, or 4 (opposite vectors)."""
+        return np.minimum(self.near[rows].max(axis=1), np.float32(4.0))
+
+
+class _Unit:
+    """The search for the vectors of one unit."""
+
+    def __init__(self, grp: str, name: str, index: Index, folder: str) -> None:
+        self.grp, self.index = grp, index
+        self.files, self.folder = _stored(folder)
+        lists = sorted((batch, at) for (g, at), parts in index.parts.items() if g == grp for file, batch in parts if file == name)
+        with self.files.open_input_file(f"{self.folder}/{name}") as source:
+            reader = pa.ipc.open_file(source)
+            batches = [reader.get_batch(b) for b, _ in lists]
+        self.own = np.repeat([at for _, at in lists], [len(b) for b in batches])
+        self.rows = pa.Table.from_batches(batches).combine_chunks()
+        self.u, self.q = _units(self.rows.column("vec")), _matrix(self.rows.column("turned"))
+        self.found = _Found(len(self.q), index.keep)
+
+    def _scan(self, asking: np.ndarray, at: int, own: bool) -> None:
+        """Search list ``at`` for the rows asking. own: find the first thresholds here."""
+        index, keep = self.index, self.index.keep
+        for name, number in index.parts.get((self.grp, at), []):
+            with self.files.open_input_file(f"{self.folder}/{name}") as source:
+                batch = pa.ipc.open_file(source).get_batch(number)
+            x, raw, members = _matrix(batch.column("turned")), _matrix(batch.column("vec")), batch.column("members")
+            for a in range(0, len(asking), 256):
+                rows = asking[a : a + 256]
+                limit = self.found.limits(rows)
+                if own:
+                    limit = np.minimum(limit, _kth(self.q[rows], x, keep))
+                i, j = adaptive_scan(self.q[rows], x, limit + np.float32(1e-5), index.epsilon)  # rounded cosines may tie
+                if not len(i):
+                    continue
+                some, back = np.unique(j, return_inverse=True)
+                wide = raw[some].astype(np.float64)
+                wide /= np.sqrt((wide * wide).sum(axis=1))[:, None]
+                sim = np.round(np.einsum("ij,ij->i", self.u[rows[i]], wide[back]), 6)
+                order = np.lexsort((j, -sim, i))  # a block is sorted by rep
+                i, j, sim = i[order], j[order], sim[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < 2 * keep  # no more can be among the first texts, as each class has at least one
+                self.found.add(rows[i[first]], sim[first], members.take(pa.array(j[first])))
+
+    def search(self) -> None:
+        index, grp = self.index, self.grp
+        for at in np.unique(self.own).tolist():
+            self._scan(np.flatnonzero(self.own == at), at, True)
+        centres, most = index.centres[grp], index.probes[grp]
+        rows_of, lists_of = [], []
+        for a in range(0, len(self.q), 2048):
+            y = self.q[a : a + 2048]
+            rows = np.arange(a, a + len(y))
+            dist = np.sqrt(np.maximum(0, (y * y).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * (y @ centres.T)))
+            dist[np.arange(len(y)), self.own[rows]] = np.inf
+            open_ = dist - index.radius[grp][None, :] <= np.sqrt(self.found.limits(rows))[:, None] + 1e-5
+            if len(centres) > most:
+                open_ &= dist <= np.partition(dist, most - 1, axis=1)[:, most - 1][:, None]
+            i, j = np.nonzero(open_)
+            rows_of.append(rows[i])
+            lists_of.append(j)
+        asked, lists = np.concatenate(rows_of), np.concatenate(lists_of)
+        order = np.argsort(lists, kind="stable")
+        asked, lists = asked[order], lists[order]
+        ids, first = np.unique(lists, return_index=True)
+        bounds = np.append(first, len(lists))
+        for n in np.argsort(-np.diff(bounds), kind="stable").tolist():  # those that most ask for are the nearest
+            self._scan(asked[bounds[n] : bounds[n + 1]], int(ids[n]), False)
+
+    def texts(self, k: int) -> pa.Table:
+        """Rows of FOUND: the first k texts of each text, and the first k + 1 of each class that has members unknown here."""
+        found, keep = self.found, self.index.keep
+        i, sim = np.concatenate(found.rows), np.concatenate(found.sims)
+        members = pa.concat_arrays(found.members)
+        order = np.lexsort((-sim, i))
+        ranked, first = sim[order], np.searchsorted(i[order], np.arange(len(self.q)))
+        count = np.diff(np.append(first, len(i)))
+        least = ranked[first + np.minimum(count, keep) - 1]  # each class has at least one text
+        kept = np.flatnonzero(sim >= least[i])
+        members = members.take(pa.array(kept))
+        each = members.value_lengths().to_numpy()
+        near = pa.table({"i": np.repeat(i[kept], each), "sim": np.repeat(sim[kept], each), "text": members.flatten()}).sort_by([("i", "ascending"), ("sim", "descending"), ("text", "ascending")])
+        i, sim, text = near.column("i").to_numpy(), near.column("sim").to_numpy(), near.column("text").combine_chunks()
+        place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+        some = np.flatnonzero(place <= k)
+        i, sim, place, text = i[some], sim[some], place[some], text.take(pa.array(some))
+        own, more = self.rows.column("members").combine_chunks(), self.rows.column("more").to_numpy()
+        reps = self.rows.column("rep").combine_chunks()
+        # each member of a class with each text of its class's list
+        sizes = np.where(more, 1, own.value_lengths().to_numpy())
+        begin = own.offsets.to_numpy()[:-1]
+        count = np.bincount(i, minlength=len(sizes))
+        start = np.cumsum(count) - count
+        member = np.repeat(np.arange(len(sizes)), sizes)
+        nth = np.arange(len(member)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        pair = np.repeat(np.arange(len(member)), count[member])
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(count[member]) - count[member], count[member]) + np.repeat(start[member], count[member])
+        whose = member[pair]
+        mine, other = own.values.take(pa.array((begin[member] + nth)[pair])), text.take(pa.array(at))
+        keep_ = more[whose] | pc.not_equal(mine, other).to_numpy(zero_copy_only=False)
+        pair, at, whose, mine, other = pair[keep_], at[keep_], whose[keep_], mine.filter(pa.array(keep_)), other.filter(pa.array(keep_))
+        rank = np.arange(len(pair)) - np.searchsorted(pair, pair, side="left")
+        some = np.flatnonzero(more[whose] | (rank < k))
+        whose, unknown = whose[some], pa.array(more[whose[some]])
+        none = pa.scalar(None, type=pa.string())
+        text_id, rep = mine.take(pa.array(some)), reps.take(pa.array(whose))
+        return pa.table([pa.array([self.grp] * len(some), type=pa.string()), pc.if_else(unknown, rep, none), pc.if_else(unknown, none, text_id), other.take(pa.array(some)), pa.array(sim[at[some]]), pa.array((rank[some] + 1).astype(np.int32))], names=["grp", "rep", "text_id", "neighbour", "similarity", "rank"])
+
+
+FOUND = "grp string, rep string, text_id string, neighbour string, similarity double, rank int"
+
+
+def _search(spark: SparkSession, index: Index, folder: str, k: int) -> DataFrame:
+    """Rows of FOUND of all units; a task has one unit, or several where there are very many."""
+    shared = spark.sparkContext.broadcast(index)
+    units = sorted({(g, file) for (g, _), parts in index.parts.items() for file, _ in parts})
+    names = spark.sparkContext.broadcast(units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column("id").to_pylist():
+                unit = _Unit(*names.value[n], shared.value, folder)
+                unit.search()
+                yield from unit.texts(k).to_batches(10_000)
+
+    return spark.range(0, len(units), 1, min(len(units), MAX_TASKS)).mapInArrow(run, FOUND)
 
 
 def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS, exact: bool = False, probes: Callable[[int], int] = probes_for, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS) -> DataFrame:
@@ -289,75 +460,33 @@ def nearest_texts(embeddings: DataFrame, k: int = NEIGHBOURS, exact: bool = Fals
     ``usable_vectors`` for what is left out; a text alone in its group has no neighbour. ``probes``
     gives the number of lists to probe from the number of lists there are; ``exact`` probes every list
     that the triangle inequality leaves open and compares all columns, so nothing is missed.
-    """
-    vectors = cut(usable_vectors(embeddings))
-    classes, owner = vector_classes(vectors)
-    owner = cut(owner)
-    if classes.isEmpty():
-        return owner.select("model", "revision", "text_id", F.col("text_id").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    index = fit_index(classes, list_size, max_lists)
-    index.probes = {g: len(c) if exact else probes(len(c)) for g, c in index.centres.items()}
-    index.epsilon = math.inf if exact else EPSILON
-    listed = cut(_blocks(cut(assign(classes, index))))
-    base = listed.withColumn("qblocks", F.col("blocks"))
-    queries = listed.withColumn("qblock", F.col("block"))
-    near = cut(_meet(queries, base, index, True))
-    limits = near.groupBy("grp", "rep").agg(F.min("limit").alias("limit"))
-    radii = {(r.grp, r.list): r.radius for r in listed.groupBy("grp", "list").agg(F.max("gap").alias("radius")).collect()}  # a row for each list: at most MAX_LISTS a group
-    index.radius = {g: np.array([radii.get((g, i), -9.0) for i in range(len(c))], dtype=np.float32) for g, c in index.centres.items()}
-    asking = listed.join(limits, ["grp", "rep"], "left").select("grp", F.col("list").alias("own"), "rep", "vec", F.coalesce("limit", F.lit(4.0)).alias("limit"))
-    probes = _probes(asking, index)
-    sizes = listed.groupBy("grp", "list").agg(F.first("blocks").alias("blocks"))
-    asked = probes.groupBy("grp", "list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("qblocks"))
-    shape = cut(sizes.join(asked, ["grp", "list"]))
-    left = probes.join(shape, ["grp", "list"]).withColumn("qblock", F.pmod(F.xxhash64("rep"), F.col("qblocks")).cast("int"))
-    right = listed.drop("blocks").join(shape, ["grp", "list"])
-    far = _meet(left, right, index, False)
-    return _ranked(near.unionByName(far), owner, k)
-
-
-def _probes(asking: DataFrame, index: Index) -> DataFrame:
-    """(grp, list, rep, vec, limit): each query with every other list that may hold something nearer than its threshold, the nearest ``index.probes`` of them."""
-    shared = asking.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            groups = np.array(batch.column("grp").to_pylist(), dtype=object)
-            rows_out, lists_out = [], []
-            limits = np.sqrt(batch.column("limit").to_numpy(zero_copy_only=False))
-            own = batch.column("own").to_numpy(zero_copy_only=False)
-            for grp in set(groups.tolist()):
-                rows = np.flatnonzero(groups == grp)
-                x = _units(batch.column("vec").take(pa.array(rows)))
-                q, c = (x @ index.rotations[x.shape[1]]).astype(np.float32), index.centres[grp]
-                for a in range(0, len(rows), 2048):
-                    part = rows[a : a + 2048]
-                    y = q[a : a + 2048]
-                    dist = np.sqrt(np.maximum(0, (y * y).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (y @ c.T)))
-                    dist[np.arange(len(part)), own[part]] = np.inf
-                    open_ = dist - index.radius[grp][None, :] <= limits[part][:, None] + 1e-5
-                    if len(c) > (most := index.probes[grp]):
-                        far = np.partition(dist, most - 1, axis=1)[:, most - 1]
-                        open_ &= dist <= far[:, None]
-                    i, j = np.nonzero(open_)
-                    rows_out.append(part[i])
-                    lists_out.append(j)
-            at = pa.array(np.concatenate(rows_out) if rows_out else np.zeros(0, dtype=np.int64))
-            lists = pa.array((np.concatenate(lists_out) if lists_out else np.zeros(0)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("grp").take(at), lists, batch.column("rep").take(at), batch.column("vec").take(at), batch.column("limit").take(at)], names=["grp", "list", "rep", "vec", "limit"])
-
-    return asking.mapInArrow(run, "grp string, list int, rep string, vec array<float>, limit double")
-
-
-def _ranked(pairs: DataFrame, owner: DataFrame, k: int) -> DataFrame:
-    """The first k texts of each text from pairs of classes."""
-    texts = pairs.select("grp", "rep", F.explode("members").alias("neighbour"), "sim").distinct()
-    order = Window.partitionBy("grp", "rep").orderBy(F.desc("sim"), "neighbour")
-    lists = texts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("grp", "rep").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), F.col("neighbour").alias("t")))).alias("near"))
-    mine = owner.join(lists, ["grp", "rep"]).withColumn("near", F.slice(F.filter("near", lambda x: x["t"] != F.col("text_id")), 1, k))
-    out = mine.select("model", "revision", "text_id", F.posexplode("near").alias("rank", "x"))
-    return out.select("model", "revision", "text_id", F.col("x.t").alias("neighbour"), (-F.col("x.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+    The vectors are written to ``spark.checkpoint.dir`` in files that Python tasks read themselves
+    (pyarrow.fs), which are removed before this returns.
+    """
+    spark = embeddings.sparkSession
+    with spent_shuffles(spark):
+        classes, owner = vector_classes(cut(usable_vectors(embeddings)), k + 1)
+        named = embeddings.groupBy(_group().alias("grp")).agg(F.first("model").alias("model"), F.first("revision").alias("revision"))
+        if classes.isEmpty():
+            found = spark.createDataFrame([], FOUND)
+        else:
+            index = fit_index(classes, list_size, max_lists)
+            index.probes = {g: len(c) if exact else probes(len(c)) for g, c in index.centres.items()}
+            index.epsilon, index.keep = math.inf if exact else EPSILON, k + 1
+            folder = f"{shared_folder(spark)}/vectors-{uuid4().hex}"
+            try:
+                listed = cut(assign(classes, index), classes)
+                store(listed, index, folder)
+                release(listed)
+                found = cut(_search(spark, index, folder, k))
+            finally:
+                remove(spark, folder)
+        alone = found.where(F.col("rep").isNull()).drop("rep")
+        others = found.where(F.col("rep").isNotNull()).groupBy("grp", "rep").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("neighbour").alias("t"), F.col("similarity").alias("s")))).alias("near"))
+        mine = owner.join(others, ["grp", "rep"]).withColumn("near", F.slice(F.filter("near", lambda x: x["t"] != F.col("text_id")), 1, k))
+        crowd = mine.select("grp", "text_id", F.posexplode("near").alias("rank", "x")).select("grp", "text_id", F.col("x.t").alias("neighbour"), F.col("x.s").alias("similarity"), F.col("rank") + 1)
+        return alone.union(crowd).join(F.broadcast(cut(named)), "grp").select("model", "revision", "text_id", "neighbour", "similarity", "rank")
 
 
 def similar_pairs(embeddings: DataFrame, exact: bool = False) -> DataFrame:
